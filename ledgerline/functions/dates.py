@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import rules
-from ledgerline.functions.staged import finish, run_steps
-from ledgerline.functions.text import BLANK_CLASS, strip
+from ledgerline.functions.staged import Parser, parse
+from ledgerline.functions.text import BLANK_CLASS, BLANKS, strip
 
 _SEPARATORS = rf"[/\-.,{BLANK_CLASS}]+"
+_SEPARATOR_CHARS = "/-.," + BLANKS
 _TIME = r"(?s)^(.*?)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?"
 _MONTH_LINE = " ".join(rules.MONTHS)
 
@@ -47,7 +48,7 @@ def is_date_text(value: Column) -> Column:
 
 
 def _digits(token: Column) -> Column:
-    return token.rlike("^[0-9]+$")
+    return (token != "") & (F.translate(token, "0123456789", "") == "")
 
 
 def days_in_month(year: Column, month: Column) -> Column:
@@ -71,39 +72,55 @@ def calendar_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(valid, F.make_date(year, month, day))
 
 
-def _tokenise_steps(raw: dict[str, str]):
-    def trimmed(v, p):
-        return {"t": strip(F.col(raw[p]))}
+PARTS = ["is_date", "a", "b", "c", "separator", "alpha_month_at", "year_at", "time_seconds"]
 
-    def clock(v, p):
-        timed = v("t").rlike(_TIME)
+
+def date_parts(value: Column, order: Column | None = None) -> Parser:
+    """Parser of a date text into `PARTS`, without deciding what they mean.
+
+    ``alpha_month_at`` and ``year_at`` are token positions or -1,
+    ``time_seconds`` is the time of day. All but ``is_date`` are NULL when the
+    value is no date. With an order, ``date`` is the calendar date under it.
+    """
+
+    def trimmed(v):
+        return {"t": strip(value)}
+
+    def clock(v):
+        # The colon test is cheap and spares most cells the pattern.
+        return {"timed": F.contains(v("t"), F.lit(":")) & v("t").rlike(_TIME)}
+
+    def portion(v):
+        def part(i):
+            return F.when(v("timed"), F.regexp_extract(v("t"), _TIME, i).try_cast("int"))
         return {
-            "timed": timed,
-            "dp": F.when(timed, F.regexp_extract(v("t"), _TIME, 1)).otherwise(v("t")),
-            "h": F.when(timed, F.regexp_extract(v("t"), _TIME, 2).try_cast("int")),
-            "mi": F.when(timed, F.regexp_extract(v("t"), _TIME, 3).try_cast("int")),
-            "s": F.when(timed, F.coalesce(F.regexp_extract(v("t"), _TIME, 4).try_cast("int"), F.lit(0))),
+            "dp": F.when(v("timed"), F.btrim(F.regexp_extract(v("t"), _TIME, 1), F.lit(BLANKS))).otherwise(v("t")),
+            "h": part(2),
+            "mi": part(3),
+            "s": F.when(v("timed"), F.coalesce(part(4), F.lit(0))),
         }
 
-    def split(v, p):
-        core = F.regexp_replace(v("dp"), f"^{_SEPARATORS}|{_SEPARATORS}$", "")
+    def words(v):
+        spaced = F.trim(F.translate(v("dp"), _SEPARATOR_CHARS, " " * len(_SEPARATOR_CHARS)))
         return {
-            "core": strip(v("dp")),
-            "tok": F.split(core, _SEPARATORS),
+            "w": F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced),
             "sec": F.when((v("h") <= 23) & (v("mi") <= 59) & (v("s") <= 59), v("h") * 3600 + v("mi") * 60 + v("s")),
+            "compact": (F.length(v("dp")) == 8) & _digits(v("dp")),
         }
 
-    def tokens(v, p):
-        compact = v("core").rlike("^[0-9]{8}$")
-        three = F.size(v("tok")) == 3
-        out = {"compact": compact, "three": three}
-        for i in range(3):
-            plain = F.when(three, F.get(v("tok"), F.lit(i)))
-            at = (1, 5, 7)[i]
-            out[f"k{i}"] = F.when(compact, F.substring(v("core"), at, (4, 2, 2)[i])).otherwise(plain)
+    def tokens(v):
+        three = F.length(v("w")) - F.length(F.translate(v("w"), " ", "")) == 2
+        pieces = [
+            F.substring_index(v("w"), " ", 1),
+            F.substring_index(F.substring_index(v("w"), " ", 2), " ", -1),
+            F.substring_index(v("w"), " ", -1),
+        ]
+        out = {"three": three}
+        for i, (at, size) in enumerate(((1, 4), (5, 2), (7, 2))):
+            out[f"k{i}"] = F.when(v("compact"), F.substring(v("dp"), at, size)).when(three, pieces[i])
         return out
 
-    def numbers(v, p):
+    def numbers(v):
         out = {}
         for i in range(3):
             token = v(f"k{i}")
@@ -113,56 +130,53 @@ def _tokenise_steps(raw: dict[str, str]):
             out[f"y{i}"] = numeric & (F.length(token) == 4)
         return out
 
-    def judge(v, p):
+    def judge(v):
         n0, n1, n2 = v("n0"), v("n1"), v("n2")
-        year_at = F.when(v("compact"), F.lit(0)).when(v("y2"), F.lit(2)).when(v("y1"), F.lit(1)).when(v("y0"), F.lit(0)).otherwise(F.lit(-1))
-        alpha_at = F.when(v("a2"), F.lit(2)).when(v("a1"), F.lit(1)).when(v("a0"), F.lit(0)).otherwise(F.lit(-1))
         in_range = (F.least(n0, n1, n2) >= 1) & (v("y0") | v("y1") | v("y2") | (F.greatest(n0, n1, n2) <= 99))
         whole = n0.isNotNull() & n1.isNotNull() & n2.isNotNull()
         # The compact form is accepted before any range check.
-        is_date = F.when(v("compact"), F.lit(True)).otherwise(F.coalesce(v("three") & whole & in_range, F.lit(False)))
+        return {"ok": v("compact") | F.coalesce(v("three") & whole & in_range, F.lit(False))}
+
+    def parts(v):
+        compact, ok = v("compact"), v("ok")
+        year_at = F.when(compact, F.lit(0)).when(v("y2"), F.lit(2)).when(v("y1"), F.lit(1)).when(v("y0"), F.lit(0)).otherwise(F.lit(-1))
+        alpha_at = F.when(v("a2"), F.lit(2)).when(v("a1"), F.lit(1)).when(v("a0"), F.lit(0)).otherwise(F.lit(-1))
         separator = (
-            F.when(v("compact"), F.lit(None).cast("string"))
+            F.when(compact, F.lit(None).cast("string"))
             .when(F.contains(v("dp"), F.lit("/")), F.lit("/"))
             .when(F.contains(v("dp"), F.lit("-")), F.lit("-"))
             .when(F.contains(v("dp"), F.lit(".")), F.lit("."))
             .otherwise(F.lit(" "))
         )
-        return {
-            "ok": is_date,
-            "sep": F.when(is_date, separator),
-            "yat": F.when(is_date, year_at),
-            "aat": F.when(is_date, F.when(v("compact"), F.lit(-1)).otherwise(alpha_at)),
-            "tod": F.when(is_date, v("sec")),
-        }
+        values = [ok, *[F.when(ok, v(f"n{i}")) for i in range(3)], F.when(ok, separator)]
+        values += [F.when(ok, F.when(compact, F.lit(-1)).otherwise(alpha_at)), F.when(ok, year_at), F.when(ok, v("sec"))]
+        return dict(zip(PARTS, values))
 
-    return [trimmed, clock, split, tokens, numbers, judge]
+    steps = [trimmed, clock, portion, words, tokens, numbers, judge]
+    if order is None:
+        return Parser(steps, parts)
 
+    def fields(v):
+        return {"is_date": v("is_date"), "time_seconds": v("time_seconds"), "date": calendar_date(v("y"), v("m"), v("d"))}
 
-def with_date_parts(df: DataFrame, raw: str, prefix: str) -> DataFrame:
-    """Tokenise a date column into ``{prefix}_{is_date,a,b,c,separator,...}``.
+    return Parser([*steps, parts, lambda v: year_month_day(v, order)], fields)
 
-    ``alpha_month_at`` and ``year_at`` are token positions or -1;
-    ``time_seconds`` is the time of day. All are NULL when the value is no date.
-    """
-    df = run_steps(df, [prefix], _tokenise_steps({prefix: raw}))
-    v = lambda name: F.col(f"__{prefix}_{name}")
-    outputs = {f"{prefix}_is_date": F.coalesce(v("ok"), F.lit(False))}
-    for i, letter in enumerate("abc"):
-        outputs[f"{prefix}_{letter}"] = F.when(v("ok"), v(f"n{i}"))
-    outputs |= {
-        f"{prefix}_separator": v("sep"),
-        f"{prefix}_alpha_month_at": v("aat"),
-        f"{prefix}_year_at": v("yat"),
-        f"{prefix}_time_seconds": v("tod"),
-    }
-    return finish(df, [prefix], outputs)
+
+def with_date_parts(df: DataFrame, raw: str, prefix: str) -> DataFrame:
+    """Tokenise a date column into ``{prefix}_<part>`` columns."""
+    return parse(df, {prefix: date_parts(F.col(raw))})
 
 
 def date_from_parts(prefix: str, order: Column) -> Column:
-    """The calendar date of tokenised parts under a column order, else NULL."""
-    a, b, c = (F.col(f"{prefix}_{x}") for x in "abc")
-    alpha, year_at = F.col(f"{prefix}_alpha_month_at"), F.col(f"{prefix}_year_at")
+    """The calendar date of `with_date_parts` columns under an order, else NULL."""
+    x = year_month_day(lambda name: F.col(f"{prefix}_{name}"), order)
+    return calendar_date(x["y"], x["m"], x["d"])
+
+
+def year_month_day(part, order: Column) -> dict[str, Column]:
+    """Which part is which under an order; ``part(name)`` gives each."""
+    a, b, c = (part(x) for x in "abc")
+    alpha, year_at = part("alpha_month_at"), part("year_at")
     # A leading four-digit year overrides the orders that expect it elsewhere.
     leading_year = (year_at == 0) & ~order.isin("YMD", "YDM")
     shape = (
@@ -175,61 +189,58 @@ def date_from_parts(prefix: str, order: Column) -> Column:
     year = F.when(shape.isin("YMD", "YDM"), a).otherwise(c)
     month = F.when(shape == "MDY", a).when(shape == "YDM", c).otherwise(b)
     day = F.when(shape == "YMD", c).when(shape == "DMY", a).otherwise(b)
-    return calendar_date(expand_year(year), month, day)
+    return {"y": expand_year(year), "m": month, "d": day}
 
 
-def drop_parts(df: DataFrame, *prefixes: str) -> DataFrame:
-    names = [f"{p}_{x}" for p in prefixes for x in ("is_date", "a", "b", "c", "separator", "alpha_month_at", "year_at", "time_seconds")]
-    return df.drop(*names)
+# --- the lighter reader used by the quality checks --------------------------
 
 
-# --- the lighter reader used by the quality checks --------------------------
+PREVIEW_PARTS = ["looks", "a", "b", "c", "alpha", "iso"]
 
 
-def with_preview_parts(df: DataFrame, raw: str, prefix: str) -> DataFrame:
-    """``{prefix}_{looks,a,b,c,alpha,iso}`` of the lighter date reader."""
+def preview_parts(value: Column) -> Parser:
+    """Parser of a date text as the lighter reader sees it."""
 
-    def split(v, p):
-        value = strip(F.col(raw))
-        core = F.regexp_replace(F.regexp_extract(value, "(?s)^([^T ]*)", 1), r"^[/\-.]+|[/\-.]+$", "")
-        return {"v": value, "tok": F.split(core, r"[/\-.]+")}
+    def words(v):
+        day = F.substring_index(F.substring_index(v("v"), "T", 1), " ", 1)
+        spaced = F.trim(F.translate(day, "/-.", "   "))
+        return {"w": F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " +", " ")).otherwise(spaced)}
 
-    def tokens(v, p):
-        compact = v("v").rlike("^[0-9]{8}$")
-        three = F.size(v("tok")) == 3
+    def tokens(v):
+        compact = (F.length(v("v")) == 8) & _digits(v("v"))
+        three = F.length(v("w")) - F.length(F.translate(v("w"), " ", "")) == 2
+        middle = F.substring_index(F.substring_index(v("w"), " ", 2), " ", -1)
         return {
             "compact": compact,
-            "p0": F.when(compact, F.substring(v("v"), 1, 4)).when(three, F.get(v("tok"), F.lit(0))),
-            "p1": F.when(compact, F.substring(v("v"), 5, 2)).when(three, F.get(v("tok"), F.lit(1))),
-            "p2": F.when(compact, F.substring(v("v"), 7, 2)).when(three, F.get(v("tok"), F.lit(2))),
+            "p0": F.when(compact, F.substring(v("v"), 1, 4)).when(three, F.substring_index(v("w"), " ", 1)),
+            "p1": F.when(compact, F.substring(v("v"), 5, 2)).when(three, middle),
+            "p2": F.when(compact, F.substring(v("v"), 7, 2)).when(three, F.substring_index(v("w"), " ", -1)),
         }
 
-    def numbers(v, p):
+    def numbers(v):
         alpha = month_number(v("p1"))
         return {
             "al": alpha,
-            "n0": v("p0").try_cast("int"),
+            "n0": F.when(_digits(v("p0")), v("p0").try_cast("int")),
             "n1": F.coalesce(alpha, F.when(_digits(v("p1")), v("p1").try_cast("int"))),
-            "n2": v("p2").try_cast("int"),
+            "n2": F.when(_digits(v("p2")), v("p2").try_cast("int")),
         }
 
-    df = run_steps(df, [prefix], [split, tokens, numbers])
-    v = lambda name: F.col(f"__{prefix}_{name}")
-    digits = F.coalesce(_digits(v("p0")) & _digits(v("p2")), F.lit(False))
-    looks = F.coalesce(digits & v("n0").isNotNull() & v("n1").isNotNull() & v("n2").isNotNull(), F.lit(False))
-    alpha = looks & v("al").isNotNull()
-    return finish(
-        df,
-        [prefix],
-        {
-            f"{prefix}_looks": looks,
-            f"{prefix}_a": F.when(looks, v("n0")),
-            f"{prefix}_b": F.when(looks, v("n1")),
-            f"{prefix}_c": F.when(looks, v("n2")),
-            f"{prefix}_alpha": alpha,
-            f"{prefix}_iso": looks & ~alpha & (v("compact") | (F.length(v("p0")) == 4)),
-        },
-    )
+    def verdict(v):
+        looks = v("n0").isNotNull() & v("n1").isNotNull() & v("n2").isNotNull()
+        return {"looks": looks, "alpha": looks & v("al").isNotNull()}
+
+    def parts(v):
+        looks, alpha = v("looks"), v("alpha")
+        iso = looks & ~alpha & F.coalesce(v("compact") | (F.length(v("p0")) == 4), F.lit(False))
+        values = [looks, *[F.when(looks, v(f"n{i}")) for i in range(3)], alpha, iso]
+        return dict(zip(PREVIEW_PARTS, values))
+
+    return Parser([lambda v: {"v": strip(value)}, words, tokens, numbers, verdict], parts)
+
+
+def with_preview_parts(df: DataFrame, raw: str, prefix: str) -> DataFrame:
+    return parse(df, {prefix: preview_parts(F.col(raw))})
 
 
 def preview_order(prefix: str, included: Column | None = None) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import rules
-from ledgerline.functions.staged import finish, run_steps
-from ledgerline.functions.text import BLANK_CLASS, strip
+from ledgerline.functions.staged import Parser, parse
+from ledgerline.functions.text import BLANKS, strip
 
 MINOR = "decimal(38,0)"
 _MARK = "\u0001"
@@ -26,125 +26,136 @@ def grouping_is_wellformed(text: Column, separator: Column) -> Column:
     return ~marked.rlike(rf"(?<![0-9]){_MARK}|{_MARK}(?![0-9]{{3}}(?![0-9]))")
 
 
-def with_minor_units(
-    df: DataFrame,
-    cells: dict[str, str],
-    decimal_separator: Column,
-    group_separator: Column,
-    scale: Column,
-) -> DataFrame:
-    """Read money cells into signed minor units.
+def minor_units(cell: Column, decimal_separator: Column, group_separator: Column, scale: Column) -> Parser:
+    """Parser of a money cell into signed minor units.
 
-    ``cells`` maps each output column to its text column. Blank and unreadable
-    cells are NULL, which is not zero. ``group_separator`` may be NULL.
+    Blank and unreadable cells are NULL, which is not zero. ``group_separator``
+    may be NULL.
     """
-    prefixes = list(cells)
 
-    def outer(v, p):
-        t = strip(F.col(cells[p]))
-        return {"t": t}
+    def outer(v):
+        return {"t": strip(cell)}
 
-    def parentheses(v, p):
-        wrapped = v("t").rlike(r"^\(.*\)$")
-        return {"par": wrapped, "u": F.when(wrapped, strip(F.expr(f"substring(`__{p}_t`, 2, length(`__{p}_t`) - 2)"))).otherwise(v("t"))}
+    def parentheses(v):
+        wrapped = F.startswith(v("t"), F.lit("(")) & F.endswith(v("t"), F.lit(")")) & (F.length(v("t")) > 1)
+        return {"par": wrapped, "u": F.when(wrapped, strip(F.substring(v("t"), F.lit(2), F.length(v("t")) - 2))).otherwise(v("t"))}
 
-    def suffix(v, p):
-        marker = F.upper(F.regexp_extract(v("u"), rules.SIGN_SUFFIX, 1))
+    def suffix(v):
+        # Most cells are digits and separators only; the patterns skip those.
+        worded = v("u").rlike("[^0-9.,'+ -]")
+        bare = strip(F.regexp_replace(strip(F.regexp_replace(v("u"), rules.SIGN_SUFFIX, "")), rules.CURRENCY_MARKS, ""))
+        marker = F.when(worded, F.upper(F.regexp_extract(v("u"), rules.SIGN_SUFFIX, 1)))
         return {
-            "neg0": v("par") | marker.isin(rules.DEBIT_MARKERS),
-            "w": strip(F.regexp_replace(strip(F.regexp_replace(v("u"), rules.SIGN_SUFFIX, "")), rules.CURRENCY_MARKS, "")),
+            "neg0": v("par") | F.coalesce(marker.isin(rules.DEBIT_MARKERS), F.lit(False)),
+            "w": F.when(worded, bare).otherwise(v("u")),
         }
 
-    def leading(v, p):
+    def leading(v):
         sign = F.substring(v("w"), 1, 1)
         rest = strip(F.substring(v("w"), F.lit(2), F.length(v("w"))))
         return {"minus1": sign == "-", "x": F.when(sign.isin("-", "+"), rest).otherwise(v("w"))}
 
-    def trailing(v, p):
+    def trailing(v):
         sign = F.right(v("x"), F.lit(1))
         rest = strip(F.substring(v("x"), F.lit(1), F.length(v("x")) - 1))
         return {"minus2": sign == "-", "y": F.when(sign.isin("-", "+"), rest).otherwise(v("x"))}
 
-    def ungroup(v, p):
+    def ungroup(v):
         grouped = group_separator.isNotNull()
+        separator = F.coalesce(group_separator, F.lit(_MARK))
         return {
-            "grp": ~grouped | grouping_is_wellformed(v("y"), F.coalesce(group_separator, F.lit(_MARK))),
+            "grp": ~F.contains(v("y"), separator) | grouping_is_wellformed(v("y"), separator),
             "z": F.when(grouped, F.replace(v("y"), group_separator, F.lit(""))).otherwise(v("y")),
         }
 
-    def decimal_mark(v, p):
-        solid = F.regexp_replace(v("z"), f"[{BLANK_CLASS}]", "")
+    def decimal_mark(v):
+        solid = F.when(v("z").rlike("[^0-9.,]"), F.translate(v("z"), BLANKS, "")).otherwise(v("z"))
         return {"d": F.when(decimal_separator == ",", F.translate(solid, ",.", ".")).otherwise(F.translate(solid, ",", ""))}
 
-    def parts(v, p):
-        readable = (v("t") != "") & v("grp") & v("d").rlike(r"^[0-9]*(\.[0-9]*)?$") & ~v("d").isin("", ".")
+    def parts(v):
         dot = F.instr(v("d"), ".")
+        readable = (v("t") != "") & v("grp") & v("d").rlike(r"^[0-9]*\.?[0-9]*$") & ~v("d").isin("", ".")
         whole = F.when(dot > 0, F.substring(v("d"), F.lit(1), dot - 1)).otherwise(v("d"))
         fraction = F.when(dot > 0, F.substring(v("d"), dot + 1, F.length(v("d")))).otherwise(F.lit(""))
         return {"ok": readable, "whole": whole, "frac": F.rpad(fraction, scale + 1, F.lit("0"))}
 
-    def assemble(v, p):
-        kept = F.concat(F.lit("0"), v("whole"), F.left(v("frac"), scale)).try_cast(MINOR)
+    def digits(v):
+        text = F.concat(F.lit("0"), v("whole"), F.left(v("frac"), scale))
         carry = F.when(F.substring(v("frac"), scale + 1, F.lit(1)) >= "5", F.lit(1)).otherwise(F.lit(0))
-        magnitude = F.when(v("ok"), F.try_add(kept, carry.cast(MINOR)).cast(MINOR))
-        flips = v("minus1") != v("minus2")
-        return {"out": F.when(v("neg0") != flips, -magnitude).otherwise(magnitude)}
+        # Up to 17 digits fit a long, which is far cheaper to read.
+        short = (text.try_cast("bigint") + carry).cast(MINOR)
+        long = F.try_add(text.try_cast(MINOR), carry.cast(MINOR)).cast(MINOR)
+        return {"mag": F.when(v("ok"), F.when(F.length(text) <= 17, short).otherwise(long))}
 
-    df = run_steps(df, prefixes, [outer, parentheses, suffix, leading, trailing, ungroup, decimal_mark, parts, assemble])
-    return finish(df, prefixes, {p: F.col(f"__{p}_out").cast(MINOR) for p in prefixes})
+    def signed(v):
+        return {"": F.when(v("neg0") != (v("minus1") != v("minus2")), -v("mag")).otherwise(v("mag")).cast(MINOR)}
 
+    return Parser([outer, parentheses, suffix, leading, trailing, ungroup, decimal_mark, parts, digits], signed)
+
+
+def with_minor_units(
+    df: DataFrame, cells: dict[str, str], decimal_separator: Column, group_separator: Column, scale: Column
+) -> DataFrame:
+    """`minor_units` of several text columns; ``cells`` maps output to input."""
+    return parse(df, {out: minor_units(F.col(raw), decimal_separator, group_separator, scale) for out, raw in cells.items()})
 
-def with_preview_number(df: DataFrame, cells: dict[str, str]) -> DataFrame:
-    """The lighter reader: ``{out}`` DECIMAL(38,6) and ``{out}_ambiguous``.
+
+def preview_number(cell: Column) -> Parser:
+    """Parser of the lighter reader: the value as DECIMAL(38,6), and ``ambiguous``.
 
     It knows no file format, so a lone separator before three digits is read as
     grouping and flagged.
     """
-    prefixes = list(cells)
 
-    def outer(v, p):
-        return {"t": strip(F.col(cells[p]))}
+    def outer(v):
+        return {"t": strip(cell)}
+
+    def bare(v):
+        wrapped = F.startswith(v("t"), F.lit("(")) & F.endswith(v("t"), F.lit(")")) & (F.length(v("t")) > 1)
+        inner = F.when(wrapped, F.substring(v("t"), F.lit(2), F.length(v("t")) - 2)).otherwise(v("t"))
+        return {"par": wrapped, "inner": inner}
 
-    def bare(v, p):
-        wrapped = v("t").rlike(r"^\(.*\)$")
-        inner = F.when(wrapped, F.expr(f"substring(`__{p}_t`, 2, length(`__{p}_t`) - 2)")).otherwise(v("t"))
-        return {"par": wrapped, "u": F.regexp_replace(F.regexp_replace(inner, rules.PREVIEW_MARKS, ""), f"[{BLANK_CLASS}]", "")}
+    def unmarked(v):
+        worded = v("inner").rlike("[^0-9.,'+ -]")
+        text = F.when(worded, F.regexp_replace(v("inner"), rules.PREVIEW_MARKS, "")).otherwise(v("inner"))
+        return {"u": F.translate(text, BLANKS, "")}
 
-    def trailing(v, p):
+    def trailing(v):
         sign = F.right(v("u"), F.lit(1))
         rest = F.substring(v("u"), F.lit(1), F.length(v("u")) - 1)
         return {"m2": sign == "-", "w": F.when(sign.isin("-", "+"), rest).otherwise(v("u"))}
 
-    def leading(v, p):
+    def leading(v):
         sign = F.substring(v("w"), 1, 1)
         rest = F.substring(v("w"), F.lit(2), F.length(v("w")))
         return {"m1": sign == "-", "x": F.when(sign.isin("-", "+"), rest).otherwise(v("w"))}
 
-    def suffix(v, p):
+    def suffix(v):
         mark = F.lower(F.right(v("x"), F.lit(2)))
         rest = F.substring(v("x"), F.lit(1), F.length(v("x")) - 2)
         return {"dr": mark == "dr", "y": F.when(mark.isin("dr", "cr"), rest).otherwise(v("x"))}
 
-    def shape(v, p):
+    def shape(v):
         clean = F.translate(v("y"), "'", "")
         return {
-            "num": (v("t") != "") & v("y").rlike("^[0-9.,']*$") & v("y").rlike("[0-9]"),
+            "num": (v("t") != "") & (F.translate(v("y"), "0123456789.,'", "") == "") & (F.translate(v("y"), ".,'", "") != ""),
             "c": clean,
-            "dots": F.regexp_count(clean, F.lit(r"\.")),
-            "commas": F.regexp_count(clean, F.lit(",")),
-            "last": F.regexp_extract(clean, r"([.,])[^.,]*$", 1),
-            "tail": F.length(F.regexp_extract(clean, r"[.,]([^.,]*)$", 1)),
+            "dots": F.length(clean) - F.length(F.translate(clean, ".", "")),
+            "commas": F.length(clean) - F.length(F.translate(clean, ",", "")),
+            # The part after the last separator of either kind.
+            "tail": F.length(F.substring_index(F.translate(clean, ",", "."), ".", -1)),
         }
 
-    def number(v, p):
+    def number(v):
         both = (v("dots") > 0) & (v("commas") > 0)
+        last = F.substring(v("c"), F.length(v("c")) - v("tail"), F.lit(1))
         count = v("dots") + v("commas")
         lone_group = (count > 1) | (v("tail") == 3)
         dot_last = F.translate(v("c"), ",", "")
         comma_last = F.translate(v("c"), ",.", ".")
         text = (
             F.when(count == 0, v("c"))
-            .when(both, F.when(v("last") == ".", dot_last).otherwise(comma_last))
+            .when(both, F.when(last == ".", dot_last).otherwise(comma_last))
             .when(lone_group, F.translate(v("c"), ".,", ""))
             .otherwise(F.translate(v("c"), ",", "."))
         )
@@ -153,15 +164,18 @@ def with_preview_number(df: DataFrame, cells: dict[str, str]) -> DataFrame:
             "amb": v("num") & ~both & (count == 1) & (v("tail") == 3),
         }
 
-    df = run_steps(df, prefixes, [outer, bare, trailing, leading, suffix, shape, number])
-    outputs = {}
-    for p in prefixes:
-        v = lambda name, p=p: F.col(f"__{p}_{name}")
+    def result(v):
         # Each of the four marks flips the sign once.
         odd = (v("par").cast("int") + v("m1").cast("int") + v("m2").cast("int") + v("dr").cast("int")) % 2 == 1
-        outputs[p] = F.when(odd, -v("val")).otherwise(v("val")).cast("decimal(38,6)")
-        outputs[f"{p}_ambiguous"] = F.coalesce(v("amb") & v("val").isNotNull(), F.lit(False))
-    return finish(df, prefixes, outputs)
+        value = F.when(odd, -v("val")).otherwise(v("val")).cast("decimal(38,6)")
+        return {"": value, "ambiguous": F.coalesce(v("amb") & v("val").isNotNull(), F.lit(False))}
+
+    return Parser([outer, bare, unmarked, trailing, leading, suffix, shape, number], result)
+
+
+def with_preview_number(df: DataFrame, cells: dict[str, str]) -> DataFrame:
+    """`preview_number` of several columns as ``{out}`` and ``{out}_ambiguous``."""
+    return parse(df, {out: preview_number(F.col(raw)) for out, raw in cells.items()})
 
 
 def render_minor(minor: Column, scale: Column | int) -> Column:

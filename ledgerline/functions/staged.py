@@ -1,47 +1,57 @@
-"""Staged projections.
+"""Step-by-step parsing as stacked projections.
 
 A cell parser needs a dozen steps, each using the one before it several times.
-Written as one nested expression that grows exponentially; written as stacked
-projections each step is computed once, and Spark keeps the stack inside one
-generated loop.
+Nested in one expression that doubles with every step. Here every step is a
+projection of its own, shared by all cells parsed together, so each value is
+computed once and stays in generated code. Keep the frame narrow: each step
+copies the row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-Step = Callable[[Callable[[str], Column]], dict[str, Column]]
+Env = Callable[[str], Column]
 
 
-def run_steps(df: DataFrame, prefixes: list[str], steps: list[Callable]) -> DataFrame:
-    """Apply every step to every prefix; a step maps ``v(name)`` to new columns."""
-    made: list[str] = []
-    for step in steps:
-        columns: dict[str, Column] = {}
-        for prefix in prefixes:
-            def v(name: str, prefix=prefix) -> Column:
-                return F.col(f"__{prefix}_{name}")
-            for name, expr in step(v, prefix).items():
-                columns[f"__{prefix}_{name}"] = expr
-        made.extend(name for name in columns if name not in made)
-        df = df.withColumns(columns)
-    return df
+class Parser(NamedTuple):
+    """Steps that make named values, and the fields made of them at the end."""
+
+    steps: list[Callable[[Env], dict[str, Column]]]
+    fields: Callable[[Env], dict[str, Column]]
+
+
+def parse(df: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
+    """Run parsers side by side; field ``x`` of parser ``p`` becomes ``p_x``, field ``""`` ``p``."""
+
+    def env(prefix: str) -> Env:
+        return lambda name: F.col(f"__{prefix}_{name}")
+
+    for i in range(max(len(p.steps) for p in parsers.values())):
+        made = {}
+        for prefix, parser in parsers.items():
+            if i < len(parser.steps):
+                for name, expr in parser.steps[i](env(prefix)).items():
+                    made[f"__{prefix}_{name}"] = expr
+        df = df.withColumns(made)
+    outputs = {
+        f"{prefix}_{name}" if name else prefix: expr
+        for prefix, parser in parsers.items()
+        for name, expr in parser.fields(env(prefix)).items()
+    }
+    return pin(df, outputs, tuple(f"__{prefix}_" for prefix in parsers))
 
 
 def pin(df: DataFrame, outputs: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:
     """Add columns through a one-element generator; drop those prefixed ``drop``.
 
     Spark rewrites a filter on a projected column in terms of that column's
-    inputs and pushes it down. Through a stack of steps that would repeat every
-    step many times over; a filter on a generated column stays where it is.
+    inputs and pushes it down, so a parser would run once more per filter. A
+    filter on a generated column stays where it is.
     """
     kept = [c for c in df.columns if c not in outputs and not (drop and c.startswith(drop))]
     packed = F.explode(F.array(F.struct(*[expr.alias(name) for name, expr in outputs.items()])))
     return df.select(*kept, packed.alias("__out")).select(*kept, *[F.col("__out")[name].alias(name) for name in outputs])
-
-
-def finish(df: DataFrame, prefixes: list[str], outputs: dict[str, Column]) -> DataFrame:
-    """Name the results, pin them and drop the helper columns of the prefixes."""
-    return pin(df, outputs, tuple(f"__{p}_" for p in prefixes))

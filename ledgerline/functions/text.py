@@ -20,8 +20,13 @@ BLANK_CLASS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def strip(value: Column) -> Column:
-    """Trim every blank, not only spaces."""
-    return F.btrim(value, F.lit(BLANKS))
+    """Trim every blank, not only spaces.
+
+    A text that starts and ends in printable ASCII needs no trimming; that test
+    reads two bytes, the full trim compares with every blank.
+    """
+    first, last = F.ascii(value), F.ascii(F.substring(value, -1, 1))
+    return F.when(first.between(33, 126) & last.between(33, 126), value).otherwise(F.btrim(value, F.lit(BLANKS)))
 
 
 def blank(value: Column) -> Column:

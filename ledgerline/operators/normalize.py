@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import rules
 from ledgerline.functions.classify import indicates_debit, transaction_type
-from ledgerline.functions.dates import date_from_parts, drop_parts, with_date_parts
-from ledgerline.functions.money import MINOR, with_minor_units
+from ledgerline.functions.dates import date_parts
+from ledgerline.functions.money import MINOR, minor_units
+from ledgerline.functions.staged import Parser, parse, pin
 from ledgerline.operators.columns import role_cell
 from ledgerline.operators.formats import currency_conflicts
 
@@ -48,21 +49,25 @@ def attach_profile(rows: DataFrame, profile: DataFrame, accounts: DataFrame) ->
 
 
 def signed_amount() -> Column:
-    """One signed value under the file's convention; NULL when unreadable."""
-    amount, debit, credit = F.col("__amount"), F.col("__debit"), F.col("__credit")
+    """One signed value under the file's convention; NULL when unreadable.
+
+    ``first_minor`` is the debit of a pair and otherwise the amount,
+    ``second_minor`` the credit of a pair.
+    """
+    first, second = F.col("first_minor"), F.col("second_minor")
     pair = (
-        F.when(debit.isNotNull() & (debit != 0), -F.abs(debit))
-        .when(credit.isNotNull() & (credit != 0), F.abs(credit))
-        .when(debit.isNull() & credit.isNull(), F.lit(None))
+        F.when(first.isNotNull() & (first != 0), -F.abs(first))
+        .when(second.isNotNull() & (second != 0), F.abs(second))
+        .when(first.isNull() & second.isNull(), F.lit(None))
         .otherwise(F.lit(0))
     )
-    marked = F.when(indicates_debit(role_cell("type")), -F.abs(amount)).otherwise(F.abs(amount))
+    marked = F.when(indicates_debit(F.col("type_cell")), -F.abs(first)).otherwise(F.abs(first))
     convention = F.col("convention")
     return (
         F.when(convention == "debit-credit", pair)
         .when(convention == "magnitude-with-indicator", marked)
-        .when(convention == "signed-inverted", -amount)
-        .otherwise(amount)
+        .when(convention == "signed-inverted", -first)
+        .otherwise(first)
         .cast(MINOR)
     )
 
@@ -74,54 +79,68 @@ def normalise(rows: DataFrame, profile: DataFrame, accounts: DataFrame) -> DataF
     `reject_issues`.
     """
     df = attach_profile(rows.select("file_id", "source_row", "cells"), profile, accounts)
-    has_date = F.col("at.date").isNotNull()
     posted = role_cell("postedDate")
-    df = df.withColumns(
-        {
-            "__date": F.coalesce(F.nullif(role_cell("date"), F.lit("")), posted),
-            "__user": F.when(has_date, posted).otherwise(F.lit("")),
-            **{f"__raw_{r}": role_cell(r) for r in ("amount", "debit", "credit", "balance")},
-        }
+    pair = F.col("convention") == "debit-credit"
+    # Cells first, so the wide array does not travel through the parsers.
+    df = df.select(
+        "file_id",
+        "account_id",
+        "source_row",
+        "scale",
+        "account_currency",
+        "convention",
+        "date_order",
+        "date_has_time",
+        "decimal_separator",
+        "group_separator",
+        F.coalesce(F.nullif(role_cell("date"), F.lit("")), posted).alias("date_cell"),
+        F.when(F.col("at.date").isNotNull(), posted).otherwise(F.lit("")).alias("user_cell"),
+        F.when(pair, role_cell("debit")).otherwise(role_cell("amount")).alias("first_cell"),
+        F.when(pair, role_cell("credit")).otherwise(F.lit("")).alias("second_cell"),
+        role_cell("balance").alias("balance_cell"),
+        role_cell("type").alias("type_cell"),
+        F.coalesce(F.nullif(role_cell("description"), F.lit("")), role_cell("payee")).alias("description"),
+        role_cell("memo").alias("memo_cell"),
+        role_cell("currency").alias("currency_cell"),
+        role_cell("checkNumber").alias("check_cell"),
+        role_cell("referenceNumber").alias("reference_cell"),
     )
-    df = with_date_parts(df, "__date", "dp")
-    df = with_date_parts(df, "__user", "du")
-    df = with_minor_units(
+
+    def minor(cell: str) -> Parser:
+        return minor_units(F.col(cell), F.col("decimal_separator"), F.col("group_separator"), F.col("scale"))
+
+    order = F.col("date_order")
+    df = parse(
         df,
-        {f"__{r}": f"__raw_{r}" for r in ("amount", "debit", "credit", "balance")},
-        F.col("decimal_separator"),
-        F.col("group_separator"),
-        F.col("scale"),
-    )
-    df = df.withColumns(
         {
-            "date_posted": date_from_parts("dp", F.col("date_order")),
-            "date_user": date_from_parts("du", F.col("date_order")),
-            "time_seconds": F.when(F.col("date_has_time"), F.col("dp_time_seconds")),
-            "amount_minor": signed_amount(),
-            "__description": F.coalesce(F.nullif(role_cell("description"), F.lit("")), role_cell("payee")),
-            "__memo": role_cell("memo"),
-        }
+            "posted": date_parts(F.col("date_cell"), order),
+            "user": date_parts(F.col("user_cell"), order),
+            "first_minor": minor("first_cell"),
+            "second_minor": minor("second_cell"),
+            "balance_minor": minor("balance_cell"),
+        },
     )
-    df = drop_parts(df, "dp", "du")
-    description, memo = F.col("__description"), F.col("__memo")
-    return df.select(
+    text = F.concat_ws(" ", "type_cell", "description")
+    resolved = pin(df, {"amount_minor": signed_amount(), "text": text, "lowered": F.lower(text)})
+    description, memo = F.col("description"), F.col("memo_cell")
+    return resolved.select(
         "file_id",
         "account_id",
         "source_row",
-        "date_posted",
-        "time_seconds",
-        "date_user",
-        transaction_type(role_cell("type"), description, F.col("amount_minor")).alias("type"),
+        F.col("posted_date").alias("date_posted"),
+        F.when(F.col("date_has_time"), F.col("posted_time_seconds")).alias("time_seconds"),
+        F.col("user_date").alias("date_user"),
+        transaction_type(F.col("text"), F.col("lowered"), F.col("amount_minor")).alias("type"),
         "amount_minor",
-        F.coalesce(F.nullif(F.upper(role_cell("currency")), F.lit("")), F.col("account_currency")).alias("currency"),
+        F.coalesce(F.nullif(F.upper("currency_cell"), F.lit("")), F.col("account_currency")).alias("currency"),
         "scale",
         F.coalesce(F.nullif(description, F.lit("")), F.nullif(memo, F.lit("")), F.lit(rules.NAME_PLACEHOLDER)).alias("name"),
         F.when((memo != "") & (memo != description), memo).alias("memo"),
-        F.nullif(role_cell("checkNumber"), F.lit("")).alias("check_number"),
-        F.nullif(role_cell("referenceNumber"), F.lit("")).alias("reference_number"),
-        F.col("__balance").alias("balance_minor"),
-        F.when(F.col("date_posted").isNull(), "bad-date").when(F.col("amount_minor").isNull(), "bad-amount").alias("reject_code"),
-        F.col("__date").alias("date_cell"),
+        F.nullif("check_cell", F.lit("")).alias("check_number"),
+        F.nullif("reference_cell", F.lit("")).alias("reference_number"),
+        "balance_minor",
+        F.when(F.col("posted_date").isNull(), "bad-date").when(F.col("amount_minor").isNull(), "bad-amount").alias("reject_code"),
+        "date_cell",
     )
 
 

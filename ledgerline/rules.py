@@ -200,6 +200,22 @@ TYPE_RULES = [
     (r"(?i)\bpayment\b", "PAYMENT"),
 ]
 
+# A text that matches a type rule contains one of its stems.
+TYPE_STEMS = {
+    "ATM": ["atm", "cash"],
+    "CHECK": ["che"],
+    "INT": ["int"],
+    "DIV": ["dividend"],
+    "SRVCHG": ["charge", "fee"],
+    "FEE": ["fee", "charge", "commission", "gst"],
+    "DIRECTDEP": ["salary", "payroll", "direct", "neft", "imps"],
+    "DIRECTDEBIT": ["direct", "standing", "auto", "ach"],
+    "XFER": ["fer", "neft", "rtgs", "imps", "upi", "wire"],
+    "POS": ["pos", "card"],
+    "DEP": ["deposit"],
+    "PAYMENT": ["payment"],
+}
+
 NAME_PLACEHOLDER = "TRANSACTION"
 
 # Account defaults where neither the request nor the file names a value.

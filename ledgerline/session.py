@@ -21,10 +21,18 @@ RUNTIME_CONF = {
 }
 
 
+# The cell parsers generate long methods, which the JVM interprets unless told
+# to compile them. Without the flag, smaller methods (one per projection) win.
+COMPILE_LONG_METHODS = "-XX:-DontCompileHugeMethods"
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else made."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    flags = spark.conf.get("spark.driver.extraJavaOptions", "") + spark.conf.get("spark.executor.extraJavaOptions", "")
+    if COMPILE_LONG_METHODS not in flags:
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark
 
 
@@ -35,6 +43,7 @@ def local_session(cpus: str = "*", app: str = "ledgerline", shuffle_partitions:
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", driver_memory)
+        .config("spark.driver.extraJavaOptions", COMPILE_LONG_METHODS)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     spark = configure(builder.getOrCreate())

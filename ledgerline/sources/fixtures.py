@@ -51,7 +51,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     stem = _pick(PHRASES, key % 16)
     base = table(spark, sf_dir, "orders").select(
-        F.floor(F.col("o_custkey") / CUSTOMERS_PER_ACCOUNT).alias("account"),
+        F.expr(f"o_custkey div {CUSTOMERS_PER_ACCOUNT}").alias("account"),
         key.alias("order_key"),
         F.to_date("o_orderdate").alias("date"),
         F.when(F.col("o_orderstatus") == "F", -cents(F.col("o_totalprice"))).otherwise(cents(F.col("o_totalprice"))).alias("minor"),
@@ -136,7 +136,7 @@ def statement_cells(spark: SparkSession, sf_dir: str, corrupt: bool = False) ->
 
 def statement_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per statement file: ``(file_id, account, locale, headers)``."""
-    accounts = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / CUSTOMERS_PER_ACCOUNT).alias("account")).distinct()
+    accounts = table(spark, sf_dir, "orders").select(F.expr(f"o_custkey div {CUSTOMERS_PER_ACCOUNT}").alias("account")).distinct()
     locale = (F.col("account") % 4).cast("int")
     headers = F.element_at(F.array(*[F.array(*[F.lit(h) for h in hs]) for hs in HEADERS]), locale + 1)
     return accounts.select(account_id(F.col("account")).alias("file_id"), "account", locale.alias("locale"), headers.alias("headers"))
