@@ -1 +1,6 @@
+"""The registered queries, each beside its SQL."""
 
+from ledgerline.catalog import rows  # noqa: F401
+from ledgerline.catalog.common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

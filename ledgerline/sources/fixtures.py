@@ -192,12 +192,12 @@ def raw_usage_events(events: DataFrame) -> DataFrame:
         _pick(rules.ROW_BANDS + ["9999"], k % 5).alias("row_bucket"),
         _pick(["google.com", "direct", "internal", "evil.example"], user % 4).alias("referrer_host"),
         _pick(RAW_CODES, k % len(RAW_CODES)).alias("error_code"),
-        F.when(k % 7 != 6, _pick(AGENTS, k % 7)).alias("user_agent"),
+        F.when(k % 11 != 10, _pick(AGENTS, k % 7)).alias("user_agent"),
         F.create_map(
             F.lit("x-vercel-ip-country"), F.when(k % 2 == 0, _pick(COUNTRIES, user % 6)),
             F.lit("cf-ipcountry"), F.when(k % 3 == 0, F.lit("IE")),
             F.lit("x-country-code"), F.lit("zz9"),
-            F.lit("x-forwarded-for"), F.when(user % 10 != 0, F.concat(F.lit(" 10.0."), F.floor(user / 256), F.lit("."), user % 256, F.lit(", 172.16.0.1"))),
+            F.lit("x-forwarded-for"), F.when(user % 10 != 0, F.concat(F.lit(" 10.0."), F.expr("user_id div 256"), F.lit("."), user % 256, F.lit(", 172.16.0.1"))),
             F.lit("x-real-ip"), F.when(user % 20 == 0, F.lit("2001:db8::1")).when(user % 20 == 10, F.lit("unknown")),
         ).alias("headers"),
     )
@@ -212,7 +212,7 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def allowance_attempts(events: DataFrame) -> DataFrame:
     """Conversion attempts: purchases of a user, in milliseconds."""
     return events.filter(F.col("event_type") == "purchase").select(
-        F.col("user_id").alias("visitor_id"), F.col("event_id").alias("attempt_id"), F.unix_millis("ts").alias("at_ms")
+        F.col("user_id").alias("visitor_id"), F.col("event_id").alias("attempt_id"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms")
     )
 
 
@@ -233,6 +233,52 @@ def subscription_feed(events: DataFrame) -> DataFrame:
         F.format_string("sub_%d", user).alias("subscription_id"),
         F.when(k % 5 != 0, F.format_string("price_%d", k % 3)).alias("price_id"),
         F.when(kind.isin("click", "purchase"), "active").when(kind == "view", "trialing").when(kind == "error", "past_due").otherwise("incomplete").alias("status"),
-        F.when(k % 4 != 0, F.unix_seconds("ts") + 86400 * 30).alias("current_period_end_s"),
+        F.when(k % 4 != 0, F.unix_seconds(F.col("ts").cast("timestamp")) + 86400 * 30).alias("current_period_end_s"),
         (k % 2 == 0).alias("cancel_at_period_end"),
     )
+
+
+# --- statement files ---------------------------------------------------------
+
+FILE_ROWS = 2_000
+FILE_DELIMITERS = [",", ";", "|", "\t"]
+
+
+def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statement rows written as files: ``(file_id, file_name, length, content)``.
+
+    A file holds at most `FILE_ROWS` rows of one account. Delimiter and encoding
+    follow the locale (UTF-8 with mark, UTF-16, windows-1252, plain UTF-8), every
+    third account has a preamble, and every file ends with a trailer.
+    """
+    cells = statement_cells(spark, sf_dir)
+    delimiter = _pick(FILE_DELIMITERS, F.col("locale"))
+
+    def quoted(c: Column) -> Column:
+        risky = F.contains(c, delimiter) | F.contains(c, F.lit('"')) | F.contains(c, F.lit("\n"))
+        return F.when(risky, F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+    lines = cells.select(
+        "file_id", "account", "locale", "source_row",
+        F.expr(f"source_row div {FILE_ROWS}").alias("part"),
+        F.array_join(F.transform("cells", quoted), F.lit("\u0001")).alias("line"),
+    )
+    # Bounded: at most FILE_ROWS lines come together.
+    files = lines.groupBy("file_id", "account", "locale", "part").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("source_row", "line"))), lambda x: x["line"]).alias("lines")
+    )
+    headers = F.element_at(F.array(*[F.array(*[F.lit(h) for h in hs]) for hs in HEADERS]), F.col("locale") + 1)
+    head = F.array(F.array_join(headers, F.lit("\u0001")))
+    preamble = F.when(F.col("account") % 3 == 0, F.array(F.lit("Account Statement"), F.concat(F.lit("Account: "), F.col("file_id")), F.lit(""))).otherwise(F.array().cast("array<string>"))
+    all_lines = F.concat(preamble, head, F.col("lines"), F.array(F.lit("End of statement"), F.lit("")))
+    text = F.replace(F.array_join(all_lines, F.lit("\r\n")), F.lit("\u0001"), delimiter)
+    content = (
+        F.when(F.col("locale") == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
+        .when(F.col("locale") == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
+        .when(F.col("locale") == 2, F.encode(text, "windows-1252"))
+        .otherwise(F.encode(text, "UTF-8"))
+    )
+    name = F.concat_ws("-", "file_id", F.col("part").cast("string"))
+    return files.select(name.alias("file_id"), F.concat(name, F.lit(".csv")).alias("file_name"), content.alias("content")).select(
+        "file_id", "file_name", F.octet_length("content").cast("bigint").alias("length"), "content"
+    )
