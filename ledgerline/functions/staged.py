@@ -2,9 +2,8 @@
 
 A cell parser needs a dozen steps, each using the one before it several times.
 Nested in one expression that doubles with every step. Here every step is a
-projection of its own, shared by all cells parsed together, so each value is
-computed once and stays in generated code. Keep the frame narrow: each step
-copies the row.
+projection of its own, so each value is computed once and stays in generated
+code. Keep the frame narrow, as steps may copy the row.
 """
 
 from __future__ import annotations
@@ -25,24 +24,20 @@ class Parser(NamedTuple):
 
 
 def parse(df: DataFrame, parsers: dict[str, Parser]) -> DataFrame:
-    """Run parsers side by side; field ``x`` of parser ``p`` becomes ``p_x``, field ``""`` ``p``."""
-
-    def env(prefix: str) -> Env:
-        return lambda name: F.col(f"__{prefix}_{name}")
-
-    for i in range(max(len(p.steps) for p in parsers.values())):
-        made = {}
-        for prefix, parser in parsers.items():
-            if i < len(parser.steps):
-                for name, expr in parser.steps[i](env(prefix)).items():
-                    made[f"__{prefix}_{name}"] = expr
-        df = df.withColumns(made)
-    outputs = {
-        f"{prefix}_{name}" if name else prefix: expr
-        for prefix, parser in parsers.items()
-        for name, expr in parser.fields(env(prefix)).items()
-    }
-    return pin(df, outputs, tuple(f"__{prefix}_" for prefix in parsers))
+    """Run parsers; field ``x`` of parser ``p`` becomes ``p_x``, field ``""`` ``p``.
+
+    One after the other, each pinned: generated methods stay short enough to be
+    compiled well, which running all side by side would not.
+    """
+    for prefix, parser in parsers.items():
+        def v(name: str, prefix: str = prefix) -> Column:
+            return F.col(f"__{prefix}_{name}")
+
+        for step in parser.steps:
+            df = df.withColumns({f"__{prefix}_{name}": expr for name, expr in step(v).items()})
+        fields = {f"{prefix}_{name}" if name else prefix: expr for name, expr in parser.fields(v).items()}
+        df = pin(df, fields, (f"__{prefix}_",))
+    return df
 
 
 def pin(df: DataFrame, outputs: dict[str, Column], drop: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from ledgerline.operators.columns import amount_convention, cell, date_index
 
 def _sampled(rows: DataFrame, roles: DataFrame, sample_rows: int | None) -> DataFrame:
     head = rows if sample_rows is None else rows.filter(F.col("source_row") < sample_rows)
-    return head.select("file_id", "source_row", "cells").join(roles.select("file_id", "at"), "file_id")
+    return head.select("file_id", "source_row", "cells").join(roles.select("file_id", "at"), "file_id", "left")
 
 
 def infer_dates(samples: DataFrame, value: str = "value") -> DataFrame:

@@ -38,14 +38,15 @@ def account_meta(files: DataFrame, accounts: DataFrame | None = None) -> DataFra
 def attach_profile(rows: DataFrame, profile: DataFrame, accounts: DataFrame) -> DataFrame:
     """Put each file's profile and account beside its rows.
 
-    Both sides hold one row per file, which may be millions, so neither is
-    forced to broadcast: Spark does that itself while it measures them small,
-    and otherwise splits a hot file's partition at run time.
+    There may be millions of files, so nothing is forced to broadcast: Spark
+    does that itself while it measures the profiles small, and otherwise splits
+    a hot file's partition at run time. An outer join keeps the rows the
+    streamed side.
     """
     side = profile.select(*PROFILE).join(
         accounts.select("file_id", "account_id", "scale", F.col("currency").alias("account_currency")), "file_id"
     )
-    return rows.join(side, "file_id")
+    return rows.join(side, "file_id", "left")
 
 
 def signed_amount() -> Column:

@@ -39,7 +39,7 @@ def listed(rows: Column, total: Column) -> Column:
 def read_rows(rows: DataFrame, mapping: DataFrame, sample_rows: int | None) -> DataFrame:
     """Checked rows with the cells the checks look at, read the light way."""
     body = rows if sample_rows is None else rows.filter(F.col("source_row") < sample_rows)
-    joined = body.select("file_id", "source_row", "cells").join(roles_by_file(mapping).select("file_id", "at"), "file_id")
+    joined = body.select("file_id", "source_row", "cells").join(roles_by_file(mapping).select("file_id", "at"), "file_id", "left")
     pair = F.col("at.debit").isNotNull() & F.col("at.credit").isNotNull()
     picked = joined.select(
         "file_id",
