@@ -9,6 +9,7 @@ from ledgerline.operators import quality
 from ledgerline.operators.issues import fold_issues
 from ledgerline.operators.normalize import normalise, reject_issues
 from ledgerline.operators.skew import number_rows
+from ledgerline.plans.convert import staged
 from ledgerline.sources.fixtures import cents
 
 
@@ -57,14 +58,25 @@ def _totals(rows):
     return rows.groupBy("file_id").agg(F.count(F.lit(1)).alias("total_rows"))
 
 
-def _checks(spark, sf):
+def _fresh_checks(spark, sf):
     rows = corrupt_cells(spark, sf)
     return quality.quality_checks(rows, mapping(spark, sf), _totals(rows))
 
 
+_kept: dict = {}
+
+
+def _checks(spark, sf):
+    """The checks written once per session; the single-check queries read them."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _kept:
+        _kept[key] = staged(_fresh_checks(spark, sf), "checks")
+    return _kept[key]
+
+
 @query("q_all_checks", _CHECKS + "SELECT * FROM fin")
 def all_checks(spark, sf):
-    return _checks(spark, sf).select("file_id", "check_id", "status", "detail")
+    return _fresh_checks(spark, sf).select("file_id", "check_id", "status", "detail")
 
 
 def _single(name, check):

@@ -261,17 +261,17 @@ def statement_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = cells.select(
         "file_id", "account", "locale", "source_row",
         F.expr(f"source_row div {FILE_ROWS}").alias("part"),
-        F.array_join(F.transform("cells", quoted), F.lit("\u0001")).alias("line"),
+        F.array_join(F.transform("cells", quoted), "\u0001").alias("line"),
     )
     # Bounded: at most FILE_ROWS lines come together.
     files = lines.groupBy("file_id", "account", "locale", "part").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("source_row", "line"))), lambda x: x["line"]).alias("lines")
     )
     headers = F.element_at(F.array(*[F.array(*[F.lit(h) for h in hs]) for hs in HEADERS]), F.col("locale") + 1)
-    head = F.array(F.array_join(headers, F.lit("\u0001")))
+    head = F.array(F.array_join(headers, "\u0001"))
     preamble = F.when(F.col("account") % 3 == 0, F.array(F.lit("Account Statement"), F.concat(F.lit("Account: "), F.col("file_id")), F.lit(""))).otherwise(F.array().cast("array<string>"))
     all_lines = F.concat(preamble, head, F.col("lines"), F.array(F.lit("End of statement"), F.lit("")))
-    text = F.replace(F.array_join(all_lines, F.lit("\r\n")), F.lit("\u0001"), delimiter)
+    text = F.replace(F.array_join(all_lines, "\r\n"), F.lit("\u0001"), delimiter)
     content = (
         F.when(F.col("locale") == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.encode(text, "UTF-8")))
         .when(F.col("locale") == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(text, "UTF-16LE")))
