@@ -9,7 +9,7 @@ from ledgerline.operators import quality
 from ledgerline.operators.issues import fold_issues
 from ledgerline.operators.normalize import normalise, reject_issues
 from ledgerline.operators.skew import number_rows
-from ledgerline.plans.convert import staged
+from ledgerline.session import staged
 from ledgerline.sources.fixtures import cents
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline.operators.columns import map_columns
 from ledgerline.operators.formats import profile_formats
 from ledgerline.operators.normalize import accepted, account_meta, normalise
-from ledgerline.plans.convert import staged
-from ledgerline.session import configure
+from ledgerline.session import configure, staged
 from ledgerline.sources import fixtures
 from ledgerline.sources.tables import table
 

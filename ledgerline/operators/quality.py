@@ -15,6 +15,7 @@ from ledgerline.functions.staged import parse, pin
 from ledgerline.operators.columns import cell, date_index, roles_by_file
 from ledgerline.operators.issues import fold_issues
 from ledgerline.operators.skew import first_rows, merge_first, with_previous
+from ledgerline.session import staged
 
 LISTED = 3
 CHECKS = [
@@ -170,8 +171,11 @@ def _reference_facts(read: DataFrame) -> DataFrame:
 
 
 def row_facts(rows: DataFrame, mapping: DataFrame, sample_rows: int | None = None) -> DataFrame:
-    """Everything the checks need, one row per file with checked rows."""
-    read = read_rows(rows, mapping, sample_rows)
+    """Everything the checks need, one row per file with checked rows.
+
+    The rows are read once and staged, as three aggregations start from them.
+    """
+    read = staged(read_rows(rows, mapping, sample_rows), "checked")
     out = _sequence_facts(read)
     for side in (_duplicate_facts(read), _reference_facts(read)):
         out = out.join(side, "file_id", "left")

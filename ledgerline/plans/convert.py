@@ -17,17 +17,10 @@ from ledgerline.operators.formats import amount_samples, profile_formats, sample
 from ledgerline.operators.identity import with_fit_ids
 from ledgerline.operators.normalize import accepted, account_meta, currency_issues, file_outcomes, normalise, reject_issues
 from ledgerline.operators.statements import documents, statements
-from ledgerline.session import work_dir
+from ledgerline.session import staged
 from ledgerline.sources.landing import decode_files, triage
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared work folder and read it back."""
-    path = work_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 class Inspection(NamedTuple):
     files: DataFrame
     rows: DataFrame

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC makes hour buckets and rendered dates independent of the host. The two
 # legacy settings let `decode` accept the bank charsets of `rules.CHARSETS` and
@@ -67,3 +67,14 @@ def work_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame to the shared work folder and read it back.
+
+    For rows several later steps need: they are computed once, the lineage ends
+    at the files, and a lost executor costs only its own tasks.
+    """
+    path = work_dir(df.sparkSession, label)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
