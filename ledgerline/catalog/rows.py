@@ -223,7 +223,7 @@ SELECT id, kind, CASE WHEN length(x) <= 255 THEN x ELSE rtrim(regexp_replace(sub
 def markup(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("bigint").alias("id"), F.lit("d").alias("kind"), "text")
     c = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).cast("bigint").alias("id"), F.lit("c").alias("kind"), "text")
-    return d.unionByName(c).select("id", "kind", text.markup_text(F.col("text"), 255).alias("memo"), F.md5(text.markup_text(F.col("text"), 1_000_000_000)).alias("whole"))
+    return d.unionByName(c).select("id", "kind", text.markup_text(F.col("text"), 255).alias("memo"), F.md5(text.escaped_text(F.col("text"))).alias("whole"))
 
 
 @query("n20_id_tokens", """

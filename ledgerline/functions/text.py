@@ -122,7 +122,15 @@ def _ranges(chars: list[str]) -> str:
 
 
 def ascii_fold(value: Column) -> Column:
-    """ASCII form of a text: marks dropped, quotes and dashes plain, rest ``?``."""
+    """ASCII form of a text: marks dropped, quotes and dashes plain, rest ``?``.
+
+    Printable ASCII, the common case, only has its spaces collapsed.
+    """
+    spaced = F.regexp_replace(value, "  +", " ")
+    return F.when(value.rlike(r"[^\x20-\x7e]"), _fold_all(value)).otherwise(spaced)
+
+
+def _fold_all(value: Column) -> Column:
     source, target, classes = _folding()
     out = F.translate(value, source, target)
     out = F.regexp_replace(out, r"[\u0300-\u036f\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
@@ -133,10 +141,18 @@ def ascii_fold(value: Column) -> Column:
     return F.regexp_replace(out, r"[^\x00-\x7e]", "?")
 
 
-def markup_text(value: Column, cap: int) -> Column:
-    """Fold, escape and cut a text for a markup leaf; a cut entity is dropped."""
+def escaped_text(value: Column) -> Column:
+    """Folded, escaped and trimmed text of a markup leaf."""
     out = F.replace(ascii_fold(value), F.lit("&"), F.lit("&amp;"))
-    out = F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    out = F.trim(out)
-    cut = F.rtrim(F.regexp_replace(F.substring(out, 1, cap), "&[^;&]*$", ""))
-    return F.when(F.length(out) <= cap, out).otherwise(cut)
+    return F.trim(F.replace(F.replace(out, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")))
+
+
+def markup_text(value: Column, cap: int) -> Column:
+    """`escaped_text` cut to a length; a cut entity is dropped.
+
+    Looks at one character more than the cap and puts a marker in its place
+    when there is one, so that the text itself is evaluated once.
+    """
+    head = F.substring(escaped_text(value), 1, cap + 1)
+    marked = F.regexp_replace(head, rf"(?s)^(.{{{cap}}}).$", "$1\u0001")
+    return F.rtrim(F.regexp_replace(marked, "(&[^;&]*)?\u0001$", ""))
