@@ -136,9 +136,12 @@ def _fold_all(value: Column) -> Column:
     out = F.regexp_replace(out, r"[\u0300-\u036f\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     out = F.replace(F.replace(F.replace(out, F.lit("€"), F.lit("EUR")), F.lit("£"), F.lit("GBP")), F.lit("₹"), F.lit("INR"))
     out = F.regexp_replace(out, r"[\t\n\r \u00a0]+", " ")
+    unfolded = out
     for size, members in sorted(classes.items()):
-        out = F.regexp_replace(out, members, "?" * size)
-    return F.regexp_replace(out, r"[^\x00-\x7e]", "?")
+        unfolded = F.regexp_replace(unfolded, members, "?" * size)
+    # The classes are long; Latin texts and general punctuation hold none of them.
+    wide = value.rlike(r"[\u0300-\u1fff\u2100-\uffff]")
+    return F.regexp_replace(F.when(wide, unfolded).otherwise(out), r"[^\x00-\x7e]", "?")
 
 
 def escaped_text(value: Column) -> Column:
