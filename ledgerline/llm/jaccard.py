@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import shingles
 from ledgerline.llm.common import binaries, map_batches, utf8
-from ledgerline.llm.near import classes, near_components, only_ids
+from ledgerline.llm.near import SENT_IDS, classes, near_components, only_ids, shared_keys
 from ledgerline.session import staged
 
 PERCENT, BANDS, ROWS = 75, 60, 4
@@ -53,7 +53,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     def arrays_of(ids: DataFrame) -> DataFrame:
         named = linked.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
         wanted = only_ids(named, ids).select("doc_id", F.col("id").alias("wanted"))
-        found = texts.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, "doc_id")
+        found = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "doc_id")
 
         def own(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets_ = shingles.shingle_sets(binaries(batch.column("text")))
@@ -64,7 +64,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
 
         return map_batches(found, own, "id long, own binary").dropDuplicates(["id"])
 
-    roots = near_components(sets, arrays_of, percent)
+    members = shared_keys(sets.select(F.explode("keys").alias("key"), "id"))
+    roots = near_components(members, sets, arrays_of, percent)
     firsts = linked.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("first"))
     rooted = firsts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

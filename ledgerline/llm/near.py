@@ -1,8 +1,8 @@
 """From MinHash keys of distinct sets to verified links and components.
 
 Only components are wanted, so no group is expanded into all its pairs. First
-each set is compared with the smallest one under each of its keys (its hub);
-the links found join nearly all copies. Then only sets under one key whose
+each set is compared with the smallest one under a key (its hub), for the two of
+its hubs that promise most; the links found join nearly all copies. Then only sets under one key whose
 components still differ are compared: few under most keys, so plain pairs; many
 under a frequent passage, so in tiles of bounded size.
 """
@@ -32,17 +32,23 @@ def classes(rows: DataFrame) -> DataFrame:
     return staged(rows.where("id IS NOT NULL").groupBy("id").agg(*firsts), "classes")
 
 
-def near_components(sets: DataFrame, arrays_of: Callable[[DataFrame], DataFrame], percent: int, tiled: Callable | None = None) -> DataFrame:
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, id, hub) of the keys that more than one id has; `keyed` has (key, id), repeats allowed."""
+    ends = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("key", "hub")
+    return staged(keyed.join(ends, "key").distinct(), "members")
+
+
+def near_components(members: DataFrame, sets: DataFrame, arrays_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, root) of every set with a link to another one.
 
-    `sets`: id, n, keys, bits. `arrays_of(ids)`: (id, own) with the sorted hashes
-    as bytes for the ids asked for. `tiled(members, percent)`: pairs of sets under
-    frequent keys that an upper bound does not rule out.
+    `members`: key, id, hub. `sets`: id, n, bits of all these ids. `arrays_of(ids)`:
+    (id, own) with the sorted hashes as bytes for the ids asked for.
     """
-    keyed = sets.select(F.explode("keys").alias("key"), "id")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = staged(keyed.join(shared, "key"), "members")
-    first = verified(members.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets, arrays_of, percent)
+    # Each set with two of its hubs: the one it shares most keys with and the smallest.
+    hubs = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    best = hubs.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("nearest"), F.min("hub").alias("least"))
+    pairs = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("nearest", "least"))).alias("b"))
+    first = verified(pairs, sets, arrays_of, percent)
     roots = staged(components(first), "roots")
 
     rooted = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
@@ -54,7 +60,7 @@ def near_components(sets: DataFrame, arrays_of: Callable[[DataFrame], DataFrame]
     pairs = left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b")
     many = open_.where(F.col("size") > PAIRED)
     if not many.isEmpty():
-        pairs = pairs.unionByName((tiled or tile_pairs)(many.join(sets.select("id", "n", "bits"), "id"), percent))
+        pairs = pairs.unionByName(tile_pairs(many.join(sets.select("id", "n", "bits"), "id"), percent))
     rest = verified(pairs.distinct(), sets, arrays_of, percent)
     return components(first.unionByName(rest))
 

@@ -81,27 +81,38 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 def grouped_sets(words: np.ndarray, group: np.ndarray, n: int) -> list[np.ndarray]:
     """The same from word hashes and the (ascending) group each word belongs to."""
     bounds = np.searchsorted(group, np.arange(n + 1))
-    rolled = np.zeros(0, np.uint64)
-    if len(words) >= WIDTH:
-        rolled = words[: len(words) - WIDTH + 1] * _WEIGHTS[0]
-        for k in range(1, WIDTH):
-            rolled = rolled + words[k : len(words) - WIDTH + 1 + k] * _WEIGHTS[k]
-        rolled = mix(rolled)
+    roll = rolled(words)
     out = []
     for i in range(n):
         a, b = bounds[i], bounds[i + 1]
         if b - a >= WIDTH:
-            own = np.sort(rolled[a : b - WIDTH + 1])
+            own = np.sort(roll[a : b - WIDTH + 1])
             keep = np.ones(len(own), bool)
             np.not_equal(own[1:], own[:-1], out=keep[1:])
             out.append(own[keep])
         elif b > a:
-            out.append(mix((words[a:b] * _WEIGHTS[: b - a]).sum(keepdims=True) + _of_length(b - a)))
+            out.append(whole(words[a:b]))
         else:
-            out.append(rolled[:0])
+            out.append(roll[:0])
     return out
 
 
+def rolled(words: np.ndarray) -> np.ndarray:
+    """Hash of the five words from each word on, while there are five."""
+    n = len(words) - WIDTH + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    out = words[:n] * _WEIGHTS[0]
+    for k in range(1, WIDTH):
+        out = out + words[k : n + k] * _WEIGHTS[k]
+    return mix(out)
+
+
+def whole(words: np.ndarray) -> np.ndarray:
+    """The one shingle of fewer than five words."""
+    return mix((words * _WEIGHTS[: len(words)]).sum(keepdims=True) + _of_length(len(words)))
+
+
 def _of_length(n: int) -> np.ndarray:
     return np.array([n], np.uint64) * _LENGTH
 
