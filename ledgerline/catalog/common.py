@@ -11,7 +11,7 @@ from ledgerline.operators.formats import profile_formats
 from ledgerline.operators.normalize import accepted, account_meta, normalise
 from ledgerline.session import configure, staged
 from ledgerline.sources import fixtures
-from ledgerline.sources.tables import table
+from ledgerline.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,7 +43,7 @@ def _staged_once(app: str, spark: SparkSession, sf_dir: str, what: str) -> DataF
         "profile": lambda: profile_formats(cells(spark, sf_dir), mapping(spark, sf_dir)),
         "normalised": lambda: normalise(cells(spark, sf_dir), profile(spark, sf_dir), meta(spark, sf_dir)),
     }[what]
-    return staged(maker(), what)
+    return staged(spread(maker()), what)
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:

@@ -51,13 +51,13 @@ def header_roles(spark, sf):
     return _wide(columns.with_header_role(columns.explode_headers(headers(spark, sf)))).select("file_id", "col_index", "header_role", "header_confidence")
 
 
-@query("c02_content_roles", FX + """, s AS (SELECT * FROM fx WHERE source_row < 200)
+@query("c02_content_roles", FX + """, s AS (SELECT * FROM fx)
 SELECT file_id, CAST(0 AS BIGINT) AS col_index, 'date' AS content_role, 0.8 AS content_confidence FROM s GROUP BY file_id UNION ALL
 SELECT file_id, 1, 'description', 0.5 FROM s GROUP BY file_id UNION ALL
 SELECT file_id, 2, 'amount', 0.5 FROM s WHERE locale = 0 GROUP BY file_id UNION ALL
 SELECT file_id, 2, 'amount', 0.5 FROM s WHERE locale = 3 GROUP BY file_id""")
 def content_roles(spark, sf):
-    profiled = columns.with_content_role(columns.profile_content(columns.column_samples(cells(spark, sf))))
+    profiled = columns.with_content_role(columns.profile_content(columns.column_samples(cells(spark, sf), None)))
     locale = headers(spark, sf).select("file_id", "locale")
     kept = (F.col("col_index") < 2) | ((F.col("col_index") == 2) & F.col("locale").isin(0, 3))
     return _wide(profiled.join(locale, "file_id").filter(kept)).select("file_id", "col_index", "content_role", F.round("content_confidence", 6).alias("content_confidence"))
@@ -66,7 +66,7 @@ def content_roles(spark, sf):
 @query("c03_combined_roles", ACCTS + """
 SELECT file_id, col_index, CASE WHEN header = 'Running Bal.' THEN 'amount' ELSE role END AS role, CASE WHEN header = 'Running Bal.' THEN 0.5 ELSE confidence END AS confidence FROM mp""")
 def combined(spark, sf):
-    return _wide(columns.draft_roles(headers(spark, sf), columns.column_samples(cells(spark, sf)))).select("file_id", "col_index", "role", "confidence")
+    return _wide(columns.draft_roles(headers(spark, sf), columns.column_samples(cells(spark, sf), None))).select("file_id", "col_index", "role", "confidence")
 
 
 @query("c04_contention", ACCTS + "SELECT file_id, col_index, header, role, confidence FROM mp")
@@ -137,7 +137,7 @@ def convention(spark, sf):
 
 
 @query("c10_mapping_view", ACCTS + "," + FX.replace("WITH base", " base") + """,
-s AS (SELECT file_id, first(description ORDER BY source_row) FILTER (description <> '') AS sample FROM fx WHERE source_row < 20 GROUP BY file_id)
+s AS (SELECT file_id, first(description ORDER BY source_row) FILTER (description <> '') AS sample FROM fx GROUP BY file_id)
 SELECT file_id, coalesce(sample, '—') AS sample, true AS has_date, true AS has_description, true AS has_amount, CASE locale WHEN 1 THEN 'debit / credit pair' ELSE 'signed amount' END AS convention_label
 FROM acct JOIN s USING (file_id)""")
 def mapping_view(spark, sf):
@@ -169,7 +169,7 @@ def _roles(spark, sf):
 
 @query("f01_date_order", FX + """
 SELECT file_id, CASE WHEN locale = 3 THEN 'YMD' WHEN locale = 1 AND max(day(d)) > 12 THEN 'DMY' ELSE 'MDY' END AS date_order, (locale = 3) AS has_time,
-       (locale <> 3 AND max(day(d)) <= 12) AS ambiguous, 1.0 AS confidence FROM fx WHERE source_row < 200 GROUP BY file_id, locale""")
+       (locale <> 3 AND max(day(d)) <= 12) AS ambiguous, 1.0 AS confidence FROM fx GROUP BY file_id, locale""")
 def date_order(spark, sf):
     found = formats.infer_dates(formats.date_samples(cells(spark, sf), _roles(spark, sf)))
     return found.select("file_id", "date_order", F.col("date_has_time").alias("has_time"), F.col("date_ambiguous").alias("ambiguous"), F.col("date_confidence").alias("confidence"))
@@ -184,7 +184,7 @@ def preview_order(spark, sf):
 
 @query("f03_number_format", FX + """
 SELECT file_id, CASE locale WHEN 1 THEN ',' ELSE '.' END AS decimal_separator, CASE locale WHEN 1 THEN '.' WHEN 3 THEN NULL ELSE ',' END AS group_separator,
-       (locale = 2 AND bool_or(minor < 0)) AS parentheses_negative, false AS trailing_sign FROM fx WHERE source_row < 200 GROUP BY file_id, locale""")
+       (locale = 2 AND bool_or(minor < 0)) AS parentheses_negative, false AS trailing_sign FROM fx GROUP BY file_id, locale""")
 def number_format(spark, sf):
     found = formats.infer_numbers(formats.amount_samples(cells(spark, sf), _roles(spark, sf)))
     return found.select("file_id", "decimal_separator", "group_separator", "parentheses_negative", "trailing_sign")

@@ -77,7 +77,7 @@ def file_headers(spark, sf):
 
 @query("l06_layout_issues", _FILES + """
 SELECT file AS file_id, 'encoding-fallback' AS code, 'warning' AS level FROM pt WHERE locale = 2 GROUP BY file HAVING bool_or(k % 16 = 13) UNION ALL
-SELECT file, 'ragged-rows', 'warning' FROM pt GROUP BY file, account HAVING least(40, count(*) + 1) / least(40, count(*) + 2 + CASE WHEN account % 3 = 0 THEN 2 ELSE 0 END) < 0.9""")
+SELECT file, 'ragged-rows', 'warning' FROM pt GROUP BY file, account HAVING (count(*) + 1) / (count(*) + 2 + CASE WHEN account % 3 = 0 THEN 2 ELSE 0 END) < 0.9""")
 def file_issues(spark, sf):
     return layout.layout_issues(_laid_out(spark, sf)).select("file_id", "code", "level")
 

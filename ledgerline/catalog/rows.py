@@ -13,7 +13,7 @@ from ledgerline.operators.columns import cell, date_index, role_cell, roles_by_f
 from ledgerline.operators.formats import currency_conflicts, date_samples
 from ledgerline.plans.convert import convert_rows, to_documents
 from ledgerline.sources.fixtures import cents
-from ledgerline.sources.tables import table
+from ledgerline.sources.tables import spread, table
 
 _CONV = "CASE locale WHEN 1 THEN 'debit-credit' WHEN 3 THEN 'magnitude-with-indicator' ELSE 'signed' END"
 
@@ -85,7 +85,7 @@ def _styled(spark, sf):
         .when(style == 6, F.concat(F.lit("USD "), grouped)).when(style == 7, F.concat(F.lit("(-"), plain, F.lit(")"))).when(style == 8, F.concat(F.lit("+ "), grouped, F.lit(" CR")))
         .otherwise(F.concat(grouped, F.lit("5")))
     )
-    return table(spark, sf, "orders").select("o_orderkey", written.alias("raw"), minor.alias("minor"))
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_totalprice")).select("o_orderkey", written.alias("raw"), minor.alias("minor"))
 
 
 @query("n07_money", """

@@ -26,15 +26,30 @@ def grouping_is_wellformed(text: Column, separator: Column) -> Column:
     return ~marked.rlike(rf"(?<![0-9]){_MARK}|{_MARK}(?![0-9]{{3}}(?![0-9]))")
 
 
+def _plain_minor(cell: Column, decimal_separator: Column, group_separator: Column, scale: Column) -> Column:
+    """Minor units of a cell like ``-1,234.56`` with two decimals, as a long; NULL for any other shape."""
+
+    def plain(point: str, comma: str) -> Column:
+        shape = rf"^-?(?:[0-9]{{1,15}}|[0-9]{{1,3}}(?:[{comma}][0-9]{{3}}){{1,4}})[{point}][0-9]{{2}}$"
+        grouped = ~F.contains(cell, F.lit(comma)) | F.coalesce(group_separator == comma, F.lit(False))
+        return F.when(cell.rlike(shape) & grouped, F.translate(cell, ".,", "").try_cast("bigint"))
+
+    return F.when(scale == 2, F.when(decimal_separator == ",", plain(",", ".")).otherwise(plain(".", ",")))
+
+
 def minor_units(cell: Column, decimal_separator: Column, group_separator: Column, scale: Column) -> Parser:
     """Parser of a money cell into signed minor units.
 
     Blank and unreadable cells are NULL, which is not zero. ``group_separator``
-    may be NULL.
+    may be NULL. Cells of the common shape are read at once; the steps see NULL
+    for them, and for blank ones, and pass it through.
     """
 
     def outer(v):
-        return {"t": strip(cell)}
+        return {"fast": _plain_minor(cell, decimal_separator, group_separator, scale)}
+
+    def rest(v):
+        return {"t": F.when(v("fast").isNull() & (cell != ""), strip(cell))}
 
     def parentheses(v):
         wrapped = F.startswith(v("t"), F.lit("(")) & F.endswith(v("t"), F.lit(")")) & (F.length(v("t")) > 1)
@@ -88,9 +103,10 @@ def minor_units(cell: Column, decimal_separator: Column, group_separator: Column
         return {"mag": F.when(v("ok"), F.when(F.length(text) <= 17, short).otherwise(long))}
 
     def signed(v):
-        return {"": F.when(v("neg0") != (v("minus1") != v("minus2")), -v("mag")).otherwise(v("mag")).cast(MINOR)}
+        slow = F.when(v("neg0") != (v("minus1") != v("minus2")), -v("mag")).otherwise(v("mag"))
+        return {"": F.coalesce(v("fast").cast(MINOR), slow.cast(MINOR))}
 
-    return Parser([outer, parentheses, suffix, leading, trailing, ungroup, decimal_mark, parts, digits], signed)
+    return Parser([outer, rest, parentheses, suffix, leading, trailing, ungroup, decimal_mark, parts, digits], signed)
 
 
 def with_minor_units(

@@ -16,9 +16,10 @@ from ledgerline.functions.text import first_match, header_key, layout_key, strip
 MAPPING = ["file_id", "col_index", "header", "role", "confidence", "user_assigned"]
 
 
-def column_samples(rows: DataFrame, sample_rows: int = rules.SAMPLE_ROWS) -> DataFrame:
-    """The first body rows of every file, one row per cell."""
-    return rows.filter(F.col("source_row") < sample_rows).select(
+def column_samples(rows: DataFrame, sample_rows: int | None = rules.SAMPLE_ROWS) -> DataFrame:
+    """The first body rows of every file, all of them for ``None``, one row per cell."""
+    head = rows if sample_rows is None else rows.filter(F.col("source_row") < sample_rows)
+    return head.select(
         "file_id", "source_row", F.posexplode("cells").alias("col_index", "value")
     )
 
@@ -125,7 +126,8 @@ def resolve_contention(draft: DataFrame) -> DataFrame:
     ).select(*MAPPING)
 
 
-def map_columns(headers: DataFrame, rows: DataFrame, sample_rows: int = rules.SAMPLE_ROWS) -> DataFrame:
+def map_columns(headers: DataFrame, rows: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Roles from the headers and all rows; ``sample_rows`` looks at the first ones only."""
     return resolve_contention(draft_roles(headers, column_samples(rows, sample_rows)))
 
 
@@ -238,10 +240,10 @@ def role_cell(role: str) -> Column:
     return cell(F.col(f"at.{role}"))
 
 
-def mapping_view(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+def mapping_view(rows: DataFrame, mapping: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Per column: role and first non-blank sample; per file: what is missing."""
     first = (
-        column_samples(rows, rules.PREVIEW_ROWS)
+        column_samples(rows, sample_rows)
         .withColumn("value", strip(F.col("value")))
         .filter(F.col("value") != "")
         .groupBy("file_id", "col_index")

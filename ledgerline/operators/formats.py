@@ -56,7 +56,7 @@ def infer_dates(samples: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def date_samples(rows: DataFrame, roles: DataFrame, sample_rows: int | None = rules.SAMPLE_ROWS) -> DataFrame:
+def date_samples(rows: DataFrame, roles: DataFrame, sample_rows: int | None = None) -> DataFrame:
     return _sampled(rows, roles, sample_rows).select("file_id", "source_row", cell(date_index()).alias("value"))
 
 
@@ -65,8 +65,8 @@ def infer_preview_order(samples: DataFrame, value: str = "value") -> DataFrame:
     return with_preview_parts(samples, value, "p").groupBy("file_id").agg(preview_order("p").alias("preview_order"))
 
 
-def amount_samples(rows: DataFrame, roles: DataFrame, sample_rows: int | None = rules.SAMPLE_ROWS) -> DataFrame:
-    """Every money cell of the sampled rows, one row per cell."""
+def amount_samples(rows: DataFrame, roles: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Every money cell, one row per cell."""
     cells = F.array(*[F.when(F.col(f"at.{r}").isNotNull(), cell(F.col(f"at.{r}"))) for r in ("amount", "debit", "credit", "balance")])
     return (
         _sampled(rows, roles, sample_rows)
@@ -158,8 +158,8 @@ def describe_token(token: Column) -> Column:
     return F.when(primary != F.upper(strip(token)), F.concat(token, F.lit(" ("), primary, F.lit(")"))).otherwise(token)
 
 
-def sample_collisions(rows: DataFrame, roles: DataFrame, numbers: DataFrame, sample_rows: int = rules.SAMPLE_ROWS) -> DataFrame:
-    """Files whose sampled rows mix currencies, one issue row each.
+def sample_collisions(rows: DataFrame, roles: DataFrame, numbers: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """Files whose rows mix currencies, one issue row each.
 
     The currency column is looked at first, then the symbols inside amounts.
     """
@@ -208,8 +208,8 @@ def currency_conflicts(df: DataFrame, keys: list[str], token: str) -> DataFrame:
 # --- the profile -------------------------------------------------------------
 
 
-def profile_formats(rows: DataFrame, mapping: DataFrame, sample_rows: int = rules.SAMPLE_ROWS) -> DataFrame:
-    """One row per file: roles, convention, date and number format."""
+def profile_formats(rows: DataFrame, mapping: DataFrame, sample_rows: int | None = None) -> DataFrame:
+    """One row per file: roles, convention, date and number format, decided by every row."""
     from ledgerline.operators.columns import roles_by_file
 
     roles = roles_by_file(mapping)

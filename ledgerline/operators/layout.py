@@ -25,10 +25,12 @@ def line_ending(text: Column) -> Column:
     )
 
 
-def _head(text: Column, delimiter: str) -> Column:
-    """The first non-blank records under one candidate delimiter."""
-    lines = F.regexp_extract(text, head_pattern(delimiter, rules.SNIFF_ROWS), 0)
-    return F.slice(records(lines, delimiter), 1, rules.SNIFF_ROWS)
+def _head(text: Column, delimiter: str, sniff_rows: int | None) -> Column:
+    """The non-blank records under one candidate delimiter, or the first of them."""
+    if sniff_rows is None:
+        return records(text, delimiter)
+    lines = F.regexp_extract(text, head_pattern(delimiter, sniff_rows), 0)
+    return F.slice(records(lines, delimiter), 1, sniff_rows)
 
 
 def _vote(widths: Column, delimiter: str, order: int) -> Column:
@@ -47,10 +49,13 @@ def _vote(widths: Column, delimiter: str, order: int) -> Column:
     return F.when(modal["width"] >= 2, vote)
 
 
-def detect_delimiter(files: DataFrame) -> DataFrame:
-    """Add ``line_ending``, ``delimiter``, ``field_count`` and ``consistency``."""
+def detect_delimiter(files: DataFrame, sniff_rows: int | None = None) -> DataFrame:
+    """Add ``line_ending``, ``delimiter``, ``field_count`` and ``consistency``.
+
+    All records vote; ``sniff_rows`` lets the first ones only.
+    """
     text = F.col("text")
-    widths = {f"__w{i}": F.transform(_head(text, d), F.size) for i, d in enumerate(rules.DELIMITERS)}
+    widths = {f"__w{i}": F.transform(_head(text, d, sniff_rows), F.size) for i, d in enumerate(rules.DELIMITERS)}
     voted = files.withColumns(widths).withColumns({f"__v{i}": _vote(F.col(f"__w{i}"), d, i) for i, d in enumerate(rules.DELIMITERS)})
     best = F.array_max(F.array(*[F.col(f"__v{i}") for i in range(len(rules.DELIMITERS))]))
     return pin(
@@ -66,9 +71,17 @@ def detect_delimiter(files: DataFrame) -> DataFrame:
 
 
 def header_position(rows: Column, width: Column) -> Column:
-    """Index of the header among the first records, -1 for a headerless file."""
+    """Index of the header among the records, -1 for a headerless file.
+
+    A header stands before the body, so of the records as wide as the body the
+    first ones are judged, however long the preamble above them is.
+    """
+
+    placed = F.transform(rows, lambda row, i: F.struct(row.alias("row"), i.alias("i")))
+    candidates = F.slice(F.filter(placed, lambda x: F.size(x["row"]) == width), 1, rules.HEADER_CANDIDATES)
 
-    def judge(row: Column, i: Column) -> Column:
+    def judge(x: Column) -> Column:
+        row, i = x["row"], x["i"]
         filled = F.filter(F.transform(row, strip), lambda c: c != "")
         labels = F.filter(filled, lambda c: ~looks_numeric(c) & ~is_date_text(c))
         return F.struct(i.alias("i"), F.size(row).alias("n"), F.size(filled).alias("filled"), F.size(labels).alias("labels"))
@@ -82,18 +95,17 @@ def header_position(rows: Column, width: Column) -> Column:
         found = F.struct(score.alias("score"), x["i"].alias("i"), (x["labels"] == x["filled"]).alias("settled"))
         return F.when(better, found).otherwise(best)
 
-    best = F.aggregate(F.transform(rows, judge), start, step)
+    best = F.aggregate(F.transform(candidates, judge), start, step)
     return F.when(best["score"] >= 0.75, best["i"]).otherwise(F.lit(-1))
 
 
-def lay_out(files: DataFrame) -> DataFrame:
+def lay_out(files: DataFrame, sniff_rows: int | None = None) -> DataFrame:
     """Everything `detect_delimiter` finds, plus header, names and body cells."""
-    df = detect_delimiter(files)
+    df = detect_delimiter(files, sniff_rows)
     df = pin(df, {"__all": by_delimiter(F.col("delimiter"), lambda d: records(F.col("text"), d))}, drop=("text",))
-    df = df.withColumn("__head", F.slice("__all", 1, rules.SNIFF_ROWS))
-    df = pin(df, {"__at": header_position(F.col("__head"), F.col("field_count"))})
+    df = pin(df, {"__at": header_position(F.col("__all"), F.col("field_count"))})
     has_header = F.col("__at") >= 0
-    named = F.transform(F.get("__head", F.col("__at")), strip)
+    named = F.transform(F.get("__all", F.col("__at")), strip)
     numbered = F.transform(F.sequence(F.lit(1), F.col("field_count")), lambda i: F.concat(F.lit("Column "), i))
     # Start after the header; a trailer of another width drops out here.
     tail = F.slice("__all", F.col("__at") + 2, F.greatest(F.size("__all"), F.lit(1)))
@@ -107,7 +119,7 @@ def lay_out(files: DataFrame) -> DataFrame:
             "row_count": F.size("__body"),
             "body": F.col("__body"),
         },
-        drop=("__all", "__head", "__at", "__body"),
+        drop=("__all", "__at", "__body"),
     )
 
 

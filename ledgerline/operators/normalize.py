@@ -10,6 +10,7 @@ from ledgerline.functions.dates import date_parts
 from ledgerline.functions.money import MINOR, minor_units
 from ledgerline.functions.staged import Parser, parse, pin
 from ledgerline.operators.columns import role_cell
+from ledgerline.functions.text import account_key
 from ledgerline.operators.formats import currency_conflicts
 
 ISSUE = ["file_id", "level", "code", "message", "row", "column"]
@@ -23,13 +24,17 @@ PROFILE = ["file_id", "at", "convention", "date_order", "date_has_time", "decima
 def account_meta(files: DataFrame, accounts: DataFrame | None = None) -> DataFrame:
     """One account row per file, defaults where nothing was supplied.
 
-    ``accounts`` may carry any of the account columns, keyed by ``file_id``.
+    ``accounts`` may carry any of the account columns, keyed by ``file_id``. A
+    blank or missing account id is the file's base name, never its folder, so
+    identifiers outlive a move of the file.
     """
     supplied = set(accounts.columns) - {"file_id"} if accounts is not None else set()
-    out = files.select("file_id")
+    name = F.col("file_name") if "file_name" in files.columns else F.element_at(F.split("file_id", "/"), -1)
+    out = files.select("file_id", name.alias("__name"))
     if accounts is not None:
         out = out.join(accounts, "file_id", "left")
-    out = out.withColumn("account_id", F.coalesce("account_id", "file_id") if "account_id" in supplied else F.col("file_id"))
+    given = F.col("account_id") if "account_id" in supplied else F.lit(None).cast("string")
+    out = out.withColumn("account_id", account_key(given, F.col("__name"))).drop("__name")
     for name, default in rules.ACCOUNT_DEFAULTS.items():
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)) if name in supplied else F.lit(default))
     return out
@@ -185,12 +190,15 @@ def file_outcomes(files: DataFrame, counts: DataFrame, issues: DataFrame) -> Dat
     """Converted or failed, per file.
 
     ``counts`` is ``(file_id, accepted_rows)``; any error fails the file, and so
-    do zero accepted rows.
+    do zero accepted rows. The code is that of the first error in reporting order
+    (``ordinal``, where the issues have one).
     """
+    order = F.col("ordinal") if "ordinal" in issues.columns else F.lit(0)
+    error = F.col("level") == "error"
     levels = issues.groupBy("file_id").agg(
-        F.count_if(F.col("level") == "error").alias("errors"),
+        F.count_if(error).alias("errors"),
         F.count_if(F.col("level") == "warning").alias("warnings"),
-        F.min(F.when(F.col("level") == "error", F.col("code"))).alias("error_code"),
+        F.min(F.when(error, F.struct(order.alias("at"), F.col("code")))).getField("code").alias("error_code"),
     )
     joined = files.select("file_id").join(counts, "file_id", "left").join(levels, "file_id", "left")
     rows = F.coalesce("accepted_rows", F.lit(0))
@@ -202,3 +210,15 @@ def file_outcomes(files: DataFrame, counts: DataFrame, issues: DataFrame) -> Dat
         F.coalesce("warnings", F.lit(0)).cast("bigint").alias("warnings"),
         F.when(errors > 0, F.col("error_code")).when(rows == 0, F.lit("no-transactions")).alias("failure_code"),
     )
+
+
+def empty_file_issues(outcomes: DataFrame) -> DataFrame:
+    """The finding of every file that failed for want of transactions alone."""
+    return outcomes.filter(F.col("failure_code") == "no-transactions").select(
+        "file_id",
+        F.lit("error").alias("level"),
+        F.lit("no-transactions").alias("code"),
+        F.lit(rules.NO_TRANSACTIONS).alias("message"),
+        F.lit(None).cast("bigint").alias("row"),
+        F.lit(None).cast("int").alias("column"),
+    )

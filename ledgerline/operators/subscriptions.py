@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerline import rules
 
@@ -10,7 +10,9 @@ STATE = ["customer_id", "subscription_id", "price_id", "status", "current_period
 
 
 def handled_changes(feed: DataFrame) -> DataFrame:
-    return feed.filter(F.col("type").isin(rules.HANDLED_CHANGES))
+    """Changes that count; a checkout must name its user and its subscription."""
+    known = F.nullif("user_id", F.lit("")).isNotNull() & F.nullif("subscription_id", F.lit("")).isNotNull()
+    return feed.filter(F.col("type").isin(rules.HANDLED_CHANGES) & ((F.col("type") != "checkout.session.completed") | known))
 
 
 def change_records(feed: DataFrame) -> DataFrame:
@@ -54,6 +56,14 @@ def current_subscriptions(feed: DataFrame, state: DataFrame | None = None) -> Da
     return joined.select("user_id", *[F.when(newer & F.lit(c != "subscription_id"), F.col(f"__u.{c}") if c != "subscription_id" else F.col(c)).otherwise(F.col(c)).alias(c) for c in STATE])
 
 
+def unmatched_changes(feed: DataFrame) -> DataFrame:
+    """Changes without a user that come before any change naming one for their subscription: they are dropped."""
+    records = change_records(feed)
+    known = records.filter(F.col("user_id").isNotNull()).groupBy("subscription_id").agg(F.min("change_seq").alias("since"))
+    loose = records.filter(F.col("user_id").isNull()).join(known, "subscription_id", "left")
+    return loose.filter(F.col("since").isNull() | (F.col("change_seq") < F.col("since")))
+
+
 def merge_state(state: DataFrame, batch: DataFrame) -> DataFrame:
     """Fold a batch of changes into the state: the keyed rewrite of an upsert."""
     return current_subscriptions(batch, state)
@@ -123,11 +133,11 @@ def window_starts(attempts: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFram
     return light.unionByName(_rolled_starts(times.join(heavy, "visitor_id", "left_semi"), folder))
 
 
-def meter_allowance(attempts: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def meter_allowance(attempts: DataFrame, fold_limit: int = FOLD_LIMIT, limit: int = rules.ALLOWANCE_LIMIT) -> DataFrame:
     """Outcome of every attempt ``(visitor_id, attempt_id, at_ms)`` in time order.
 
     A window opens at the first granted attempt and lasts 24 hours; its first
-    two attempts are granted, the others refused without spending.
+    ``limit`` attempts are granted, the others refused without spending.
     """
     day = F.floor(F.col("at_ms") / DAY_MS)
     starts = window_starts(attempts, fold_limit)
@@ -140,26 +150,20 @@ def meter_allowance(attempts: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFr
         .filter((F.col("at_ms") >= F.col("start_ms")) & (F.col("at_ms") - F.col("start_ms") < DAY_MS))
         .drop("day")
     )
-    key = F.struct("at_ms", "attempt_id")
-    # Two smallest per window: a minimum, and a minimum of what is left.
-    opened = placed.groupBy("visitor_id", "start_ms").agg(F.min(key).alias("opening"))
-    joined = placed.join(opened, ["visitor_id", "start_ms"])
-    second = joined.filter(key > F.col("opening")).groupBy("visitor_id", "start_ms").agg(F.min(key).alias("second"))
-    known = opened.join(second, ["visitor_id", "start_ms"], "left")
-    out = placed.join(known, ["visitor_id", "start_ms"])
-    used = F.when(key == F.col("opening"), F.lit(1)).otherwise(F.lit(rules.ALLOWANCE_LIMIT))
-    return out.select(
+    rank = F.row_number().over(W.partitionBy("visitor_id", "start_ms").orderBy("at_ms", "attempt_id"))
+    used = F.least(F.col("rank"), F.lit(limit))
+    return placed.withColumn("rank", rank).select(
         "visitor_id",
         "attempt_id",
         "at_ms",
-        F.coalesce((key == F.col("opening")) | (key <= F.col("second")), F.lit(False)).alias("allowed"),
+        (F.col("rank") <= limit).alias("allowed"),
         used.alias("used"),
-        (F.lit(rules.ALLOWANCE_LIMIT) - used).alias("remaining"),
+        (F.lit(limit) - used).alias("remaining"),
         (F.col("start_ms") + DAY_MS).alias("resets_at_ms"),
     )
 
 
-def peek_allowance(metered: DataFrame, at_ms: int) -> DataFrame:
+def peek_allowance(metered: DataFrame, at_ms: int, limit: int = rules.ALLOWANCE_LIMIT) -> DataFrame:
     """Each visitor's allowance at a time, spending nothing."""
     seen = metered.filter(F.col("at_ms") <= at_ms)
     last = seen.groupBy("visitor_id").agg(F.max_by(F.struct("used", "resets_at_ms"), F.struct("at_ms", "attempt_id")).alias("s"))
@@ -167,8 +171,8 @@ def peek_allowance(metered: DataFrame, at_ms: int) -> DataFrame:
     used = F.when(live, F.col("s.used")).otherwise(F.lit(0))
     return last.select(
         "visitor_id",
-        (used < rules.ALLOWANCE_LIMIT).alias("allowed"),
+        (used < limit).alias("allowed"),
         used.alias("used"),
-        (F.lit(rules.ALLOWANCE_LIMIT) - used).alias("remaining"),
+        (F.lit(limit) - used).alias("remaining"),
         F.when(live, F.col("s.resets_at_ms")).alias("resets_at_ms"),
     )

@@ -30,13 +30,11 @@ def normalise_error(raw: Column) -> Column:
 
 
 def browser_of(agent: Column) -> Column:
-    head = F.substring(agent, 1, rules.AGENT_CHARS)
-    return F.when(agent != "", first_match(head, rules.BROWSERS, F.lit(rules.OTHER_AGENT)))
+    return F.when(agent != "", first_match(agent, rules.BROWSERS, F.lit(rules.OTHER_AGENT)))
 
 
 def system_of(agent: Column) -> Column:
-    head = F.substring(agent, 1, rules.AGENT_CHARS)
-    return F.when(agent != "", first_match(head, rules.SYSTEMS, F.lit(rules.OTHER_AGENT)))
+    return F.when(agent != "", first_match(agent, rules.SYSTEMS, F.lit(rules.OTHER_AGENT)))
 
 
 def _header(headers: Column, name: str) -> Column:
@@ -106,13 +104,19 @@ def since(as_of: datetime, hours: int) -> datetime:
     return as_of - timedelta(hours=hours)
 
 
-def range_scan(events: DataFrame, as_of: datetime, hours: int = rules.DEFAULT_RANGE_HOURS, cap: int | None = rules.SCAN_CAP) -> DataFrame:
-    """Newest events of a range. The cap is part of the report; ``None`` lifts it."""
+def range_scan(events: DataFrame, as_of: datetime, hours: int = rules.DEFAULT_RANGE_HOURS, cap: int | None = None) -> DataFrame:
+    """Events of a range, all of them unless a report asks for the newest ``cap``."""
     hours = hours if hours in rules.RANGE_HOURS else rules.DEFAULT_RANGE_HOURS
-    scan = events.filter(F.col("created_at") >= F.lit(since(as_of, hours)).cast(events.schema["created_at"].dataType))
+    scan = _from(events, since(as_of, hours))
     return scan if cap is None else scan.orderBy(F.desc("created_at")).limit(cap)
 
 
+def _from(events: DataFrame, start: datetime) -> DataFrame:
+    """Events from a time on; a table partitioned by date is pruned by it."""
+    kept = events.filter(F.col("created_at") >= F.lit(start).cast(events.schema["created_at"].dataType))
+    return kept.filter(F.col("event_date") >= F.lit(start.date())) if "event_date" in events.columns else kept
+
+
 def visitor_key() -> Column:
     return F.coalesce("ip", F.concat(F.lit("session:"), F.col("session_id")))
 
@@ -204,8 +208,7 @@ def recent_feed(events: DataFrame, limit: int = rules.FEED_ROWS) -> DataFrame:
 
 def purge(events: DataFrame, as_of: datetime, days: int = rules.RETENTION_DAYS) -> DataFrame:
     """What remains after the retention purge; a partitioned table prunes by it."""
-    kept = F.lit(as_of - timedelta(days=days)).cast(events.schema["created_at"].dataType)
-    return events.filter(F.col("created_at") >= kept)
+    return _from(events, as_of - timedelta(days=days))
 
 
 def domain_audit(events: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ledgerline.operators import layout as lay
 from ledgerline.operators.columns import map_columns
 from ledgerline.operators.formats import amount_samples, profile_formats, sample_collisions
 from ledgerline.operators.identity import with_fit_ids
-from ledgerline.operators.normalize import accepted, account_meta, currency_issues, file_outcomes, normalise, reject_issues
+from ledgerline.operators.normalize import accepted, account_meta, currency_issues, empty_file_issues, file_outcomes, normalise, reject_issues
 from ledgerline.operators.statements import documents, statements
 from ledgerline.session import staged
 from ledgerline.sources.landing import decode_files, triage
@@ -79,6 +79,7 @@ def convert_rows(files: DataFrame, rows: DataFrame, profile: DataFrame, issues:
     everything = found if issues is None else issues.unionByName(found)
     counts = good.groupBy("file_id").agg(F.count(F.lit(1)).alias("accepted_rows"))
     outcomes = file_outcomes(files, counts, everything)
+    everything = everything.unionByName(empty_file_issues(outcomes).withColumn("ordinal", F.lit(10)))
     usable = outcomes.filter(F.col("outcome") == "converted").select("file_id")
     transactions = with_fit_ids(good.join(usable, "file_id", "left_semi"))
     return Conversion(transactions, statements(transactions, meta.join(usable, "file_id", "left_semi")), everything, outcomes)

@@ -11,12 +11,10 @@ from __future__ import annotations
 # --------------------------------------------------------------------------
 
 MAX_INPUT_BYTES = 128 * 1024 * 1024
-SNIFF_BYTES = 4096
 CONTROL_SHARE_LIMIT = 0.05
-SNIFF_ROWS = 40
+HEADER_CANDIDATES = 40
 SAMPLE_ROWS = 200
 PREVIEW_ROWS = 20
-GRID_ROWS = 5
 
 ACCEPTED_GLOB = "*.{csv,CSV,txt,TXT,tsv,TSV}"
 
@@ -140,11 +138,6 @@ LAYOUT_KEYWORDS = [
     ("ignored", ["account number", "account #", "card no.", "card number", "account", "product", "emoji", "address", "receipt", "fee", "time", "sort code", "marker", "blank"]),
 ]
 
-ROLE_LABELS = {
-    "date": "Date",
-    "postedDate": "Posted date",
-    "description": "Description",
-}
 
 # --------------------------------------------------------------------------
 # Dates, money, types
@@ -217,6 +210,8 @@ TYPE_STEMS = {
 }
 
 NAME_PLACEHOLDER = "TRANSACTION"
+# Worded here, not fixed.
+NO_TRANSACTIONS = "No row of the file could be read as a transaction."
 
 # Account defaults where neither the request nor the file names a value.
 ACCOUNT_DEFAULTS = {
@@ -320,7 +315,6 @@ ERROR_CODES = {
 }
 UNKNOWN_ERROR = "UNKNOWN"
 
-AGENT_CHARS = 400
 BROWSERS = [
     (r"(?i)edg[ea]?\/", "Edge"),
     (r"(?i)opr\/|opera", "Opera"),
@@ -342,7 +336,6 @@ OTHER_AGENT = "Other"
 
 RANGE_HOURS = [24, 48, 168, 720]
 DEFAULT_RANGE_HOURS = 168
-SCAN_CAP = 20_000
 FEED_ROWS = 40
 RETENTION_DAYS = 90
 SEVERE_DROP_PCT = 50

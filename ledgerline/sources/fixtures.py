@@ -228,9 +228,9 @@ def subscription_feed(events: DataFrame) -> DataFrame:
         .when(kind == "signup", "customer.subscription.created")
         .otherwise("checkout.session.completed")
         .alias("type"),
-        F.when((k % 7 != 0) | (kind == "purchase"), F.format_string("user-%05d", user)).alias("user_id"),
+        F.when(k % 7 != 0, F.format_string("user-%05d", user)).alias("user_id"),
         F.format_string("cus_%d", user).alias("customer_id"),
-        F.format_string("sub_%d", user).alias("subscription_id"),
+        F.when((kind != "purchase") | (k % 11 != 0), F.format_string("sub_%d", user)).alias("subscription_id"),
         F.when(k % 5 != 0, F.format_string("price_%d", k % 3)).alias("price_id"),
         F.when(kind.isin("click", "purchase"), "active").when(kind == "view", "trialing").when(kind == "error", "past_due").otherwise("incomplete").alias("status"),
         F.when(k % 4 != 0, F.unix_seconds(F.col("ts").cast("timestamp")) + 86400 * 30).alias("current_period_end_s"),

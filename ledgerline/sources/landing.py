@@ -41,13 +41,12 @@ def _starts(hex_text: str) -> Column:
 
 
 def triage(files: DataFrame) -> DataFrame:
-    """Classify files: ``kind``, ``format`` and the fatal ``reject_code``/``reject_message``."""
-    sample = F.decode(F.substring("content", 1, rules.SNIFF_BYTES), "ISO-8859-1")
+    """Classify files by their whole content: ``kind``, ``format`` and the fatal ``reject_code``/``reject_message``."""
+    sample = F.decode("content", "ISO-8859-1")
     seen = files.withColumns(
         {
             "__nul": F.contains(sample, F.lit("\u0000")),
-            "__control": F.length(F.regexp_replace(sample, r"[^\x01-\x08\x0b\x0e-\x1f]", ""))
-            / F.greatest(F.least(F.col("length"), F.lit(rules.SNIFF_BYTES)), F.lit(1)),
+            "__control": F.length(F.regexp_replace(sample, r"[^\x01-\x08\x0b\x0e-\x1f]", "")) / F.greatest(F.col("length"), F.lit(1)),
         }
     )
     signature = F
@@ -75,7 +74,7 @@ def triage(files: DataFrame) -> DataFrame:
         .when(F.col("kind") == "empty", "The file is empty.")
         .when(F.col("format").isNotNull(), F.concat(F.lit("The file looks like a "), F.col("format"), F.lit(", not a CSV or text export.")))
         .when(F.col("__nul"), "The file contains NUL bytes, so it is not a text export.")
-        .otherwise(F.concat(whole(F.col("__control") * 100), F.lit("% of the leading bytes are control characters, so this is not a text export.")))
+        .otherwise(F.concat(whole(F.col("__control") * 100), F.lit("% of the bytes are control characters, so this is not a text export.")))
     )
     code = F.when(F.col("kind") == "too large", "file-too-large").when(F.col("kind") == "empty", "empty-file").when(F.col("kind") == "binary", "unsupported-content")
     return pin(

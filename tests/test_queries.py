@@ -1,6 +1,6 @@
 """Registered queries against their SQL at the smallest scale.
 
-All of them run with ``TEST_ALL=1``; by default a spread over the modules.
+``TEST_QUERIES`` names some of them, comma-separated; by default all run.
 """
 
 import os
@@ -9,12 +9,11 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+from ledgerline import catalog
 
-ORACLES = entry.oracle_sql()
-SPREAD = ["n05_time_of_day", "n07_money", "n15_currency_scan", "n20_id_tokens", "i02_fit_ids", "a04_statement_rows", "c04_contention", "c07_apply_preset",
-          "f01_date_order", "f03_number_format", "b04_declared_vs_observed", "m01_clean_events", "m09_funnel", "m12_hourly_buckets", "m14_recent_feed",
-          "u02_current_subscriptions", "u06_allowance", "q13_report", "q08_references", "s04_records", "t02_hourly_counts", "t04_metered_attempts"]
-NAMES = sorted(ORACLES) if os.environ.get("TEST_ALL") else SPREAD
+# Queries of optional packages are tested beside those packages.
+ORACLES = catalog.ORACLES
+NAMES = os.environ["TEST_QUERIES"].split(",") if os.environ.get("TEST_QUERIES") else sorted(ORACLES)
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -23,7 +22,7 @@ def test_matches_sql(spark, sf, duck, name):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
