@@ -8,7 +8,9 @@ from ledgerline import rules
 from ledgerline.catalog.common import as_of, events, long, micros, query
 from ledgerline.operators import subscriptions as subs
 from ledgerline.operators import telemetry as tel
+from ledgerline.session import work_dir
 from ledgerline.sources import fixtures
+from ledgerline.sources.sinks import append_events
 from ledgerline.sources.tables import table
 
 
@@ -43,6 +45,22 @@ def clean(spark, sf):
     return fixtures.usage_events(spark, sf).select("event_id", "event", "session_id", "surface", "bank_slug", "dialect", "row_bucket", "referrer_host")
 
 
+@query("m01_quarantine", EV + "SELECT event_id, CASE WHEN k = 99 THEN 'event' ELSE 'session' END AS reason FROM raw WHERE k IN (98, 99)")
+def quarantine(spark, sf):
+    return tel.rejected_events(fixtures.raw_usage_events(table(spark, sf, "events"))).select("event_id", "reason")
+
+
+@query("s10_event_sink", EV + """, r AS (SELECT * FROM ev, now WHERE created_at >= now.t - INTERVAL 24 HOUR)
+SELECT event_id, event, CAST(CAST(created_at AS DATE) AS VARCHAR) AS event_date FROM r""")
+def event_sink(spark, sf):
+    # Two batches appended to a table by date; the range of a day reads one or two of its folders.
+    path, made = work_dir(spark, "events"), fixtures.usage_events(spark, sf)
+    for part in (0, 1):
+        append_events(made.filter(F.col("event_id") % 2 == part), path)
+    written = spark.read.parquet(path)
+    return tel.range_scan(written, as_of(written), 24).select("event_id", "event", F.col("event_date").cast("string").alias("event_date"))
+
+
 @query("m02_error_codes", EV + "SELECT event_id, error_code FROM ev")
 def errors(spark, sf):
     return events(spark, sf).select("event_id", "error_code")

@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.operators import layout as lay
-from ledgerline.operators.columns import map_columns
+from ledgerline.operators.columns import apply_overrides, apply_preset, layout_headers, map_columns
 from ledgerline.operators.formats import amount_samples, profile_formats, sample_collisions
 from ledgerline.operators.identity import with_fit_ids
 from ledgerline.operators.normalize import accepted, account_meta, currency_issues, empty_file_issues, file_outcomes, normalise, reject_issues
@@ -36,14 +36,32 @@ class Conversion(NamedTuple):
     outcomes: DataFrame
 
 
-def inspect_files(files: DataFrame, declared_charset: str | None = None) -> Inspection:
-    """Profile every file of a landing zone."""
+def inspect_files(
+    files: DataFrame, declared_charset: str | None = None, presets: DataFrame | None = None, overrides: DataFrame | None = None, conventions: DataFrame | None = None
+) -> Inspection:
+    """Profile every file of a landing zone.
+
+    ``presets`` ``(file_id, bank_slug)`` lays declared bank layouts over the
+    inferred roles, ``overrides`` ``(file_id, col_index, role)`` sets roles by
+    hand; formats and sign convention are then derived from the resulting roles.
+    ``conventions`` ``(file_id, convention)`` replaces the derived one, which is
+    the only way to ``signed-inverted``.
+    """
     judged = triage(files)
     layout = staged(lay.lay_out(decode_files(judged.filter(F.col("kind") == "text"), declared_charset)), "layout")
     rows = staged(lay.body_rows(layout), "rows")
     heads = layout.drop("body")
-    mapping = staged(map_columns(heads.filter(F.col("row_count") > 0).select("file_id", "headers"), rows), "mapping")
-    profile = staged(profile_formats(rows, mapping), "profile")
+    mapping = map_columns(heads.filter(F.col("row_count") > 0).select("file_id", "headers"), rows)
+    if presets is not None:
+        mapping = apply_preset(mapping, presets, layout_headers(files.sparkSession))
+    if overrides is not None:
+        mapping = apply_overrides(mapping, overrides)
+    mapping = staged(mapping, "mapping")
+    profile = profile_formats(rows, mapping)
+    if conventions is not None:
+        chosen = conventions.select("file_id", F.col("convention").alias("__chosen"))
+        profile = profile.join(chosen, "file_id", "left").withColumn("convention", F.coalesce("__chosen", "convention")).drop("__chosen")
+    profile = staged(profile, "profile")
     refused = judged.filter(F.col("reject_code").isNotNull()).select(
         "file_id",
         F.lit(0).alias("ordinal"),
@@ -85,8 +103,15 @@ def convert_rows(files: DataFrame, rows: DataFrame, profile: DataFrame, issues:
     return Conversion(transactions, statements(transactions, meta.join(usable, "file_id", "left_semi")), everything, outcomes)
 
 
-def convert_files(files: DataFrame, accounts: DataFrame | None = None, declared_charset: str | None = None) -> tuple[Inspection, Conversion]:
-    inspection = inspect_files(files, declared_charset)
+def convert_files(
+    files: DataFrame,
+    accounts: DataFrame | None = None,
+    declared_charset: str | None = None,
+    presets: DataFrame | None = None,
+    overrides: DataFrame | None = None,
+    conventions: DataFrame | None = None,
+) -> tuple[Inspection, Conversion]:
+    inspection = inspect_files(files, declared_charset, presets, overrides, conventions)
     return inspection, convert_rows(inspection.files, inspection.rows, inspection.profile, inspection.issues, accounts)
 
 

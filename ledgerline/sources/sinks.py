@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ledgerline.functions.text import download_name
 
-def write_documents(parts: DataFrame, path: str) -> None:
-    """Write statement documents below ``dialect=…/file_id=…`` folders.
 
-    Parts are range-partitioned and sorted, so a long statement is spread over
-    several ordered output files instead of passing through one task. Each part
-    already ends its last line, hence the empty line separator is the one Spark
-    would add; it is taken off the text first.
+def write_documents(parts: DataFrame, files: DataFrame, path: str) -> None:
+    """Write statement documents below ``dialect=…/document=<download name>/file_key=…`` folders.
+
+    ``files`` has ``(file_id, file_name)``; the key, a digest of the id, keeps
+    files of one name in several folders apart. Parts are range-partitioned and
+    sorted, so a long statement is spread over several ordered output files
+    instead of passing through one task: those of a folder, in order, are the
+    document. Folders of other documents stay as they are. Each part already ends
+    its last line, hence the empty line separator is the one Spark would add; it
+    is taken off the text first.
     """
+    named = parts.join(files.select("file_id", "file_name"), "file_id")
     body = F.regexp_replace("text", "\r\n$", "")
     (
-        parts.withColumn("value", body)
-        .repartitionByRange("dialect", "file_id", "part")
-        .sortWithinPartitions("dialect", "file_id", "part")
-        .select("dialect", "file_id", "value")
+        named.withColumns({"value": body, "document": download_name(F.col("file_name"), F.col("dialect")), "file_key": F.md5("file_id")})
+        .repartitionByRange("dialect", "document", "file_key", "part")
+        .sortWithinPartitions("dialect", "document", "file_key", "part")
+        .select("dialect", "document", "file_key", "value")
         .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("lineSep", "\r\n")
-        .partitionBy("dialect", "file_id")
+        .partitionBy("dialect", "document", "file_key")
         .text(path)
     )
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """``(dialect, document, file_key, line_number, line)`` of written documents, lines in order."""
+    lines = spark.read.option("lineSep", "\r\n").text(path).select("*", F.col("_metadata.file_name").alias("__file"), F.monotonically_increasing_id().alias("__at"))
+    order: Column = F.row_number().over(W.partitionBy("dialect", "document", "file_key").orderBy("__file", "__at")) - 1
+    return lines.select("dialect", "document", "file_key", order.alias("line_number"), F.col("value").alias("line"))
+
+
 def append_events(events: DataFrame, path: str) -> None:
     """Append cleaned events to a table partitioned by event date."""
     events.withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").parquet(path)

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.plans.convert import convert_files, to_documents
+from ledgerline.sources.landing import scan_files
+from ledgerline.sources.sinks import read_documents, write_documents
 
 US = 'Date,Description,Amount,Balance\n01/03/2025,"BLUE BOTTLE COFFEE",-3.20,"1,246.80"\n01/17/2025,ACME PAYROLL,"$2,500.00","3,746.80"\n02/28/2025,ATM WITHDRAWAL,-100.00,"3,646.80"\n'
 EU = "Date;Description;Debit;Credit;Balance\n17/01/2025;TESCO STORES;12,34;;1.234,56\n03/02/2025;SALARY PAYMENT;;2.500,00;3.734,56\n"
@@ -171,3 +173,78 @@ def test_warnings(converted):
     assert converted["outcomes"]["same"][0] == "converted"
     assert converted["issues"]["mixed_column"][0][2] == 3
     assert "JPY" in converted["issues"]["late"][0][3]
+
+
+# --- from a folder of files to a folder of documents ---------------------------
+
+# Evidence that stands late: after row 200 for dates, separators and currencies, after record 40 for the header and the layout.
+LATE_DATES = "Date,Description,Amount\n" + "".join(f"{i % 12 + 1:02d}/{i % 12 + 1:02d}/2025,ROW {i},-1.00\n" for i in range(300)) + "17/01/2025,LAST,-2.00\n"
+LATE_COMMAS = "Date;Description;Amount\n" + "".join(f"2025-01-05;ROW {i};1000\n" for i in range(300)) + "2025-01-06;LAST;1.234,56\n"
+LONG_PREAMBLE = "".join(f"Note {i}\n" for i in range(60)) + "Date,Description,Amount\n" + "01/13/2025,ALPHA,-1.00\n01/14/2025,BRAVO,-2.00\n" * 50
+
+
+@pytest.fixture(scope="module")
+def landed(spark, tmp_path_factory):
+    zone = tmp_path_factory.mktemp("zone")
+    made = {"My Bank (2024).csv": US, "sub/My Bank (2024).csv": PAREN, "late_dates.csv": LATE_DATES, "late_commas.csv": LATE_COMMAS, "preamble.csv": LONG_PREAMBLE}
+    for name, text in made.items():
+        (zone / name).parent.mkdir(exist_ok=True)
+        (zone / name).write_bytes(text.encode())
+    (zone / "late_nul.csv").write_bytes(US.encode() + b"x" * 6000 + b"\0")
+    (zone / "picture.png").write_bytes(b"png")
+    files = scan_files(spark, str(zone))
+    inspection, conversion = convert_files(files)
+    return files, inspection, conversion
+
+
+def test_scan_finds_the_exports(landed):
+    files, _, conversion = landed
+    assert sorted(r.file_name for r in files.collect()) == sorted(["My Bank (2024).csv"] * 2 + ["late_dates.csv", "late_commas.csv", "preamble.csv", "late_nul.csv"])
+    codes = {r.file_id.rsplit("/", 1)[-1]: r.failure_code for r in conversion.outcomes.collect()}
+    assert codes["late_nul.csv"] == "unsupported-content" and codes["preamble.csv"] is None
+
+
+def test_accounts_are_base_names(landed):
+    assert {r.account_id for r in landed[2].statements.collect()} == {"My Bank (2024)", "late_dates", "late_commas", "preamble"}
+
+
+def test_late_evidence_decides(landed):
+    _, inspection, conversion = landed
+    profile = {r.file_id.rsplit("/", 1)[-1]: r for r in inspection.profile.collect()}
+    assert profile["late_dates.csv"].date_order == "DMY" and profile["late_commas.csv"].decimal_separator == ","
+    rows = conversion.transactions.filter(F.col("file_id").endswith("late_dates.csv")).collect()
+    assert len(rows) == 301 and max(r.date_posted for r in rows).isoformat() == "2025-12-12"
+    assert conversion.transactions.filter(F.col("file_id").endswith("preamble.csv")).count() == 100
+
+
+def test_documents_are_written_under_their_names(spark, landed, tmp_path):
+    files, _, conversion = landed
+    parts = to_documents(conversion, "ofx")
+    path = str(tmp_path / "out")
+    write_documents(parts.filter(F.col("file_id").contains("My")), files, path)
+    write_documents(parts.filter(~F.col("file_id").contains("My")), files, path)  # a second batch leaves the first one alone
+    lines = read_documents(spark, path)
+    assert {r.document for r in lines.select("document").collect()} == {"my_bank_2024_converted.ofx", "late_dates_converted.ofx", "late_commas_converted.ofx", "preamble_converted.ofx"}
+    whole = lines.groupBy("document", "file_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "line"))), lambda x: x["line"]), "\r\n").alias("text"))
+    wanted = {r.k: r.text for r in parts.select(F.md5("file_id").alias("k"), "text").collect()}
+    assert {r.file_key: r.text + "\r\n" for r in whole.collect()} == wanted
+
+
+def test_overrides_reach_the_transactions(spark):
+    text = "Date,Description,Value\n01/13/2025,ALPHA,1.00\n01/14/2025,BRAVO,2.50\n"
+    files = spark.createDataFrame([("f", "f.csv", len(text), bytearray(text.encode()))], "file_id string, file_name string, length bigint, content binary")
+    inverted = spark.createDataFrame([("f", "signed-inverted")], "file_id string, convention string")
+    assert [int(r.amount_minor) for r in convert_files(files, conventions=inverted)[1].transactions.orderBy("source_row").collect()] == [-100, -250]
+    as_memo = spark.createDataFrame([("f", 1, "memo")], "file_id string, col_index int, role string")
+    rows = convert_files(files, overrides=as_memo)[1].transactions.orderBy("source_row").collect()
+    assert [(r.name, r.memo) for r in rows] == [("ALPHA", "ALPHA"), ("BRAVO", "BRAVO")]
+
+
+def test_first_error_counts_and_empty_files_say_so(spark):
+    from ledgerline.operators.normalize import empty_file_issues, file_outcomes
+
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "file_id string")
+    issues = spark.createDataFrame([("a", 4, "error", "no-date-column"), ("a", 7, "error", "no-amount-column"), ("a", 8, "error", "multi-currency")], "file_id string, ordinal int, level string, code string")
+    outcomes = file_outcomes(files, spark.createDataFrame([("c", 3)], "file_id string, accepted_rows long"), issues)
+    assert {r.file_id: r.failure_code for r in outcomes.collect()} == {"a": "no-date-column", "b": "no-transactions", "c": None}
+    assert [(r.file_id, r.code) for r in empty_file_issues(outcomes).collect()] == [("b", "no-transactions")]

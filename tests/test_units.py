@@ -117,3 +117,34 @@ def test_no_python_in_row_plans(spark, sf):
     for name in ("n07_money", "m01_clean_events", "i02_fit_ids"):
         plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+def test_allowance_of_any_size(spark):
+    from ledgerline.operators.subscriptions import meter_allowance
+
+    attempts = spark.createDataFrame([(1, i, i * 1000) for i in range(6)], "visitor_id long, attempt_id long, at_ms long")
+    rows = meter_allowance(attempts, limit=4).orderBy("attempt_id").collect()
+    assert [(r.allowed, r.used, r.remaining) for r in rows] == [(True, 1, 3), (True, 2, 2), (True, 3, 1), (True, 4, 0), (False, 4, 0), (False, 4, 0)]
+
+
+def test_checkouts_must_name_user_and_subscription(spark):
+    from ledgerline.operators.subscriptions import change_records
+
+    schema = "type string, user_id string, customer_id string, subscription_id string, price_id string, status string, current_period_end_s long, cancel_at_period_end boolean, change_seq long"
+    done, changed = "checkout.session.completed", "customer.subscription.updated"
+    rows = [(done, None, "c", "s", None, "active", None, False, 1), (done, "u", "c", None, None, "active", None, False, 2), (done, "u", "c", "s", None, "active", None, False, 3), (changed, None, "c", "s", None, "active", None, False, 4)]
+    assert [r.change_seq for r in change_records(spark.createDataFrame(rows, schema)).orderBy("change_seq").collect()] == [3, 4]
+
+
+def test_a_range_prunes_the_partitions(spark, tmp_path):
+    import datetime
+
+    from ledgerline.operators.telemetry import purge, range_scan
+    from ledgerline.sources.sinks import append_events
+
+    path = str(tmp_path / "events")
+    append_events(spark.range(40).select("id", F.timestamp_seconds(F.col("id") * 86400).alias("created_at")), path)
+    for found in (range_scan(spark.read.parquet(path), datetime.datetime(1970, 2, 9), 24), purge(spark.read.parquet(path), datetime.datetime(1970, 2, 9), 1)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date" in plan.split("PartitionFilters")[1]
+        assert found.count() == 2
