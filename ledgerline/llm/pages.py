@@ -24,6 +24,8 @@ from ledgerline.llm.common import map_batches
 
 # At most so many pages are learnt from, taken by a hash of their id.
 SAMPLE = 240
+# So many other layouts are made of their blocks, however few pages there are.
+LAYOUTS = 1_000
 
 # HTML element names and the name parts of the classes looked for.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -179,7 +181,7 @@ def features(page: list[Block]) -> list[list[int]]:
 _ARTICLE = 1 << REGIONS.index("article")
 
 
-def _layouts(main: list[str], others: list[str], rng: random.Random) -> list[tuple[str, list[int]]]:
+def _layouts(main: list[str], others: list[str], count: int, rng: random.Random) -> list[tuple[str, list[int]]]:
     """Pages of other layouts made of the same blocks, with the labels of their blocks."""
     spare = [" ".join(o.split()[: rng.randint(2, 14)]) for o in others + main if o.strip()] or ["menu"]
     pick = lambda: rng.choice(spare)
@@ -233,7 +235,7 @@ def _layouts(main: list[str], others: list[str], rng: random.Random) -> list[tup
         return "\n".join(parts), labels
 
     pages = []
-    for _ in range(4):
+    for _ in range(count):
         own, labels = body()
         inner, ends = "", []
         if rng.random() < 0.3:
@@ -253,15 +255,13 @@ def _layouts(main: list[str], others: list[str], rng: random.Random) -> list[tup
 def fit(pages: list[str], seed: int = 5) -> crf.Crf:
     """Train on the pages that have article elements with text outside them, and on layouts made of their blocks."""
     rng = random.Random(seed)
-    examples = []
-    for page in pages:
-        own = blocks(page)
-        label = [int(bool(b.regions & _ARTICLE)) for b in own]
-        if 0 < sum(label) < len(label):
-            examples.append((own, label))
-            main = [b.text for b, y in zip(own, label) if y]
-            other = [b.text for b, y in zip(own, label) if not y]
-            examples += [(blocks(text), want) for text, want in _layouts(main, other, rng)]
+    labelled = [(own, [int(bool(b.regions & _ARTICLE)) for b in own]) for own in map(blocks, pages)]
+    labelled = [(own, label) for own, label in labelled if 0 < sum(label) < len(label)]
+    examples = list(labelled)
+    for own, label in labelled:
+        main = [b.text for b, y in zip(own, label) if y]
+        other = [b.text for b, y in zip(own, label) if not y]
+        examples += [(blocks(text), want) for text, want in _layouts(main, other, -(-LAYOUTS // len(labelled)), rng)]
     if not examples:
         weights = np.zeros(N_FEATURES)
         weights[1 + REGIONS.index("article")] = 4.0
