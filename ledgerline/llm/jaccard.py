@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import shingles
 from ledgerline.llm.common import binaries, map_batches, utf8
-from ledgerline.llm.near import SENT_IDS, classes, near_components, only_ids, shared_keys
+from ledgerline.llm.near import SENT_IDS, classes, near_components, shared_keys
 from ledgerline.session import staged
 
 PERCENT, BANDS, ROWS = 75, 60, 4
@@ -42,17 +42,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
                 pa.array([len(s) for s in own], pa.int64()),
                 pa.array([band.keys(s) if ok else None for s, ok in zip(own, some)], pa.list_(pa.int64())),
                 pa.array([shingles.bitmap(s) if ok else None for s, ok in zip(own, some)], pa.binary()),
+                pa.array([shingles.narrow(s) if ok else None for s, ok in zip(own, some)], pa.list_(pa.int64())),
             ],
-            ["doc_id", "id", "n", "keys", "bits"],
+            ["doc_id", "id", "n", "keys", "bits", "narrow"],
         )
 
-    rows_ = staged(map_batches(texts, sketch, "doc_id long, id long, n long, keys array<long>, bits binary"), "sketch")
+    rows_ = staged(map_batches(texts, sketch, "doc_id long, id long, n long, keys array<long>, bits binary, narrow array<long>"), "sketch")
     linked = rows_.where("doc_id IS NOT NULL")
     sets = classes(linked)
 
     def arrays_of(ids: DataFrame) -> DataFrame:
         named = linked.where("id IS NOT NULL").groupBy("id").agg(F.min("doc_id").alias("doc_id"))
-        wanted = only_ids(named, ids).select("doc_id", F.col("id").alias("wanted"))
+        wanted = named.join(ids, "id", "left_semi").select("doc_id", F.col("id").alias("wanted"))
         found = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS else wanted, "doc_id")
 
         def own(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,9 +2,10 @@
 
 Only components are wanted, so no group is expanded into all its pairs. First
 each set is compared with the smallest one under a key (its hub), for the two of
-its hubs that promise most; the links found join nearly all copies. Then only sets under one key whose
-components still differ are compared: few under most keys, so plain pairs; many
-under a frequent passage, so in tiles of bounded size.
+its hubs that promise most; the links found join most copies, and a second such
+round joins nearly all. Then only sets under one key whose components still
+differ are compared: few under most keys, so a join whose condition bounds the
+overlap; many under a frequent passage, so in tiles of bounded size.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from ledgerline.llm.common import map_batches
 from ledgerline.llm.components import components
 from ledgerline.session import staged
 
-# Up to this many sets under one key are paired by a join; above it, tiles hold at most TILE sets a side.
-PAIRED, TILE = 24, 1024
-# Up to this many ids are sent to every executor; beyond it the texts are joined by a shuffle.
+# Up to this many sets under one key are paired by a join; above it, tiles hold about TILE hashes a slice.
+PAIRED, TILE = 24, 1 << 20
+# Texts are looked up by up to this many ids sent to every executor; beyond it both sides are shuffled.
 SENT_IDS = 500_000
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """One row per distinct set of `rows` (id, n, keys, bits): copies meet here, aggregated before the shuffle."""
-    firsts = [F.first(c).alias(c) for c in ("n", "keys", "bits")]
+    """One row per distinct set of `rows` (id, n, keys, bits, narrow): copies meet here, aggregated before the shuffle."""
+    firsts = [F.first(c).alias(c) for c in ("n", "keys", "bits", "narrow")]
     return staged(rows.where("id IS NOT NULL").groupBy("id").agg(*firsts), "classes")
 
 
@@ -41,28 +42,49 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
 def near_components(members: DataFrame, sets: DataFrame, arrays_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(id, root) of every set with a link to another one.
 
-    `members`: key, id, hub. `sets`: id, n, bits of all these ids. `arrays_of(ids)`:
+    `members`: key, id, hub. `sets`: id, n, bits, narrow of all these ids. `arrays_of(ids)`:
     (id, own) with the sorted hashes as bytes for the ids asked for.
     """
-    # Each set with two of its hubs: the one it shares most keys with and the smallest.
-    hubs = members.where("id <> hub").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
-    best = hubs.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("nearest"), F.min("hub").alias("least"))
-    pairs = best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("nearest", "least"))).alias("b"))
-    first = verified(pairs, sets, arrays_of, percent)
-    roots = staged(components(first), "roots")
-
-    rooted = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    first = verified(_to_hubs(members.select("key", "id", "hub", F.col("id").alias("root"), F.col("hub").alias("hub_root"))), sets, arrays_of, percent)
+    rooted = _rooted(members, first)
+    # Once more for what is still apart: the hub is now in the smallest component under the key.
+    low = rooted.groupBy("key").agg(F.min(F.struct("root", "id")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root"))
+    first = first.unionByName(verified(_to_hubs(rooted.join(low, "key")), sets, arrays_of, percent))
+    rooted = _rooted(members, first)
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
     open_ = staged(rooted.join(mixed.where("low < high").select("key", "size"), "key"), "open")
-    few = open_.where(F.col("size") <= PAIRED)
-    left = few.select("key", F.col("id").alias("a"), F.col("root").alias("root_a"))
-    right = few.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = left.join(right, "key").where("a < b AND root_a <> root_b").select("a", "b")
-    many = open_.where(F.col("size") > PAIRED)
-    if not many.isEmpty():
-        pairs = pairs.unionByName(tile_pairs(many.join(sets.select("id", "n", "bits"), "id"), percent))
+    few = open_.where(F.col("size") <= PAIRED).join(sets.select("id", "n", "narrow"), "id")
+
+    def side(c: str) -> DataFrame:
+        return few.select("key", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "n", "narrow")])
+
+    pairs = side("a").join(side("b"), "key").where(_may_link(percent)).select("a", "b")
     rest = verified(pairs.distinct(), sets, arrays_of, percent)
-    return components(first.unionByName(rest))
+    found = first.unionByName(rest)
+    many = open_.where(F.col("size") > PAIRED).select("key", "id", "root")
+    if not many.isEmpty():
+        own = staged(arrays_of(many.select("id").distinct()), "sets")
+        found = found.unionByName(tile_links(many.join(sets.select("id", "n", "bits"), "id").join(own, "id"), percent))
+    return components(found)
+
+
+def _rooted(members: DataFrame, links: DataFrame) -> DataFrame:
+    roots = staged(components(links), "roots")
+    return members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+
+
+def _to_hubs(members: DataFrame) -> DataFrame:
+    """(a, b): each set with two of the hubs it is apart from, the one it shares most keys with and the smallest."""
+    hubs = members.where("root <> hub_root").groupBy("id", "hub").agg(F.count(F.lit(1)).alias("shared"))
+    best = hubs.groupBy("id").agg(F.max_by("hub", F.struct("shared", "hub")).alias("nearest"), F.min("hub").alias("least"))
+    return best.select(F.col("id").alias("a"), F.explode(F.array_distinct(F.array("nearest", "least"))).alias("b"))
+
+
+def _may_link(percent: int) -> str:
+    """Join condition: in different components, and neither sizes nor 256-bit signatures rule the link out."""
+    only = {x: " + ".join(f"bit_count(narrow_{x}[{i}] & ~narrow_{y}[{i}])" for i in range(4)) for x, y in ("ab", "ba")}
+    shared = f"least(n_a - ({only['a']}), n_b - ({only['b']}))"
+    return f"a < b AND root_a <> root_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND (100 + {percent}) * {shared} >= {percent} * (n_a + n_b)"
 
 
 def verified(pairs: DataFrame, sets: DataFrame, arrays_of, percent: int) -> DataFrame:
@@ -99,57 +121,48 @@ def verified(pairs: DataFrame, sets: DataFrame, arrays_of, percent: int) -> Data
     return staged(map_batches(both, exact, "a long, b long"), "verified")
 
 
-def only_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is wanted; the ids travel to the rows while they are counted to be few."""
-    few = ids.count() <= SENT_IDS
-    return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-
-
-def tile_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key, in different components, that sizes and bitmaps do not rule out.
+def tile_links(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components of sets under one key; `members`: key, id, root, n, bits, own.
 
-    A tile is a key, a size band and two slices of at most about TILE sets. Bands
-    grow by 100 / percent, so linked sets are in one band or in neighbouring ones:
-    a set goes to its own band's tiles and, as the smaller side, to the next one's.
+    A tile is a key, a size band and two slices of at most about TILE hashes.
+    Bands grow by 100 / percent, so linked sets are in one band or in neighbouring
+    ones: a set goes to its own band's tiles and, as the smaller side, to the next
+    one's. In a tile bit counts bound the overlap, the rest is intersected exactly,
+    and sets that already hang together are not compared: a tile gives fewer links
+    than it has sets, however many pairs link.
     """
-    banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int"))
-    slices = F.ceil(F.col("size") / F.lit(float(TILE))).cast("int")
-    cut = banded.withColumn("slices", slices).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-    sides = cut.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("lower")).withColumn("tile", F.col("band") + F.col("lower"))
-    # Own-band slices meet in (smaller, larger) order; a smaller set meets every slice of the next band.
-    spread = sides.select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
-    spread = spread.withColumns(
-        {
-            "x": F.when(F.col("lower") == 1, F.col("other")).otherwise(F.least("slice", "other")),
-            "y": F.when(F.col("lower") == 1, F.col("slice")).otherwise(F.greatest("slice", "other")),
-        }
-    )
-    # A smaller set meets the own sets of slice x in the tiles (x, y) and (y, x); both exist only as (least, greatest).
-    spread = spread.select("key", "tile", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "slice", "lower", "id", "root", "n", "bits")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    sides = members.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("lower")).withColumn("tile", band + F.col("lower"))
+    sizes = sides.groupBy("key", "tile").agg(F.sum("n").alias("hashes"), F.min("lower").alias("smallest"), F.count(F.lit(1)).alias("sets"))
+    # A tile without sets of its own band has nothing to compare its smaller sets with.
+    sizes = sizes.where("smallest = 0 AND sets > 1").select("key", "tile", F.ceil(F.col("hashes") / float(TILE)).cast("int").alias("slices"))
+    cut = sides.join(sizes, ["key", "tile"]).withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+    spread = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
+    spread = spread.select("key", "tile", F.least("slice", "other").alias("x"), F.greatest("slice", "other").alias("y"), "slice", "lower", "id", "root", "n", "bits", "own")
 
     def compare(table: pa.Table) -> pa.Table:
-        n = table.column("n").to_numpy()
+        n, ids = table.column("n").to_numpy(), table.column("id").to_numpy()
         low, part = table.column("lower").to_numpy(), table.column("slice").to_numpy()
-        root, ids = table.column("root").to_numpy(), table.column("id").to_numpy()
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+        label = np.unique(table.column("root").to_numpy(), return_inverse=True)[1]
+        own = [np.frombuffer(b, np.uint64) for b in table.column("own").to_pylist()]
         bits = [np.frombuffer(b, np.uint8) for b in table.column("bits").to_pylist()]
         width = min(map(len, bits))
         signs = np.stack([shingles.fold(b, width) for b in bits]).view(np.uint64)
         count = np.bitwise_count(signs).sum(axis=1).astype(np.int64)
         a, b = [], []
         for i in np.flatnonzero(low == 0):
-            # Each pair of sets is compared in exactly one tile: across the two slices, or inside one where x = y.
-            may = (root != root[i]) & np.where(low == 1, True, ids > ids[i])
-            may &= ((part == x) & (part[i] == y)) | ((part == y) & (part[i] == x))
-            may &= 100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])
-            at = np.flatnonzero(may)
-            if len(at):
-                both = np.bitwise_count(signs[at] & signs[i]).sum(axis=1).astype(np.int64)
-                bound = shingles.overlap_bound(n[at], n[i], count[at] - both, count[i] - both)
-                at = at[shingles.links(n[at], n[i], bound, percent)]
-                a.append(np.minimum(ids[at], ids[i]))
-                b.append(np.maximum(ids[at], ids[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
-
-    return spread.groupBy("key", "tile", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+            # Each pair of sets meets in exactly one tile: across the two slices, or inside one where x = y.
+            may = (label != label[i]) & ((low == 1) | (ids > ids[i])) & (((part == x) & (part[i] == y)) | ((part == y) & (part[i] == x)))
+            at = np.flatnonzero(may & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])))
+            if not len(at):
+                continue
+            both = np.bitwise_count(signs[at] & signs[i]).sum(axis=1).astype(np.int64)
+            bound = shingles.overlap_bound(n[at], n[i], count[at] - both, count[i] - both)
+            for j in at[shingles.links(n[at], n[i], bound, percent)]:
+                if label[j] != label[i] and shingles.links(n[j], n[i], shingles.shared_count(own[j], own[i]), percent):
+                    label[label == label[j]] = label[i]
+                    a.append(ids[i]), b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return spread.groupBy("key", "tile", "x", "y").applyInArrow(compare, "a long, b long")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerline.llm import shingles
 from ledgerline.llm.common import binaries, map_batches, utf8
-from ledgerline.llm.near import SENT_IDS, near_components, only_ids, shared_keys
+from ledgerline.llm.near import SENT_IDS, near_components, shared_keys
 from ledgerline.session import staged
 
 PERCENT, BANDS, ROWS = 75, 8, 2
@@ -124,12 +124,11 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_column: str =
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.frombuffer(b, np.uint64) for b in batch.column("own").to_pylist()]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.bitmap(s) for s in sets], pa.binary())], ["id", "n", "bits"]
-        )
+        n, bits, narrow = pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.bitmap(s, 16) for s in sets], pa.binary()), pa.array(list(map(shingles.narrow, sets)), pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column("id"), n, bits, narrow], ["id", "n", "bits", "narrow"])
 
-    sets = staged(map_batches(own, sign, "id long, n long, bits binary"), "signatures")
-    roots = near_components(members, sets, lambda wanted: only_ids(own, wanted), percent)
+    sets = staged(map_batches(own, sign, "id long, n long, bits binary, narrow array<long>"), "signatures")
+    roots = near_components(members, sets, lambda wanted: own.join(wanted, "id", "left_semi"), percent)
 
     # The documents of each set, then of each cluster: only what occurs in two of them goes on.
     ends = units.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
@@ -138,8 +137,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_column: str =
     joined = rooted.where("root IS NOT NULL").select("id", "cluster", "low", "high")
     spans = joined.groupBy("cluster").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
     repeated = staged(alone.unionByName(joined.join(spans, "cluster").select("id", "cluster", "first_doc")), "repeated")
-    small = repeated.count() <= SENT_IDS
-    found = units.drop("keys").join(F.broadcast(repeated) if small else repeated, "id")
+    found = units.drop("keys").join(repeated, "id")
 
     order = W.partitionBy("row").orderBy("first", F.desc("words"))
     reach = F.max(F.col("first") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
@@ -153,12 +151,13 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_column: str =
 
 def _arrays(units: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, own) of the wanted lines, from one document each."""
-    places = only_ids(units.where("keys IS NOT NULL").select("id", "doc_id", "first", "words"), ids)
+    places = units.where("keys IS NOT NULL").select("id", "doc_id", "first", "words").join(ids, "id", "left_semi")
     one = places.groupBy("id").agg(F.min(F.struct("doc_id", "first", "words")).alias("p"))
     # A few lines a row: lines that thousands of documents share do not pile up in one of them.
     by_doc = one.select(F.col("p.doc_id").alias("doc_id"), F.struct("id", "p.first", "p.words").alias("line"), F.pmod("id", F.lit(8)).alias("part"))
-    wanted = by_doc.groupBy("doc_id", "part").agg(F.collect_list("line").alias("lines")).drop("part")
-    found = texts.join(F.broadcast(wanted) if wanted.count() <= SENT_IDS // 10 else wanted, "doc_id")
+    wanted = staged(by_doc.groupBy("doc_id", "part").agg(F.collect_list("line").alias("lines")).drop("part"), "wanted")
+    few = wanted.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] <= SENT_IDS
+    found = texts.join(F.broadcast(wanted) if few else wanted, "doc_id")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids_, own = [], []

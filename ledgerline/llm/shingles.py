@@ -143,14 +143,21 @@ class Bands:
         return mix(rows.sum(axis=1) + self.salt).view(np.int64)
 
 
-def bitmap(own: np.ndarray) -> bytes:
-    """Signature of at least two bits a member, a power of two long; folding halves gives the shorter ones."""
-    n = max(64, 1 << int(2 * len(own) - 1).bit_length())
+def bitmap(own: np.ndarray, per: int = 8) -> bytes:
+    """Signature of at least `per` bits a member, a power of two long; folding halves gives the shorter ones."""
+    n = max(64, 1 << int(per * len(own) - 1).bit_length())
     bits = np.zeros(n, np.uint8)
     bits[own & np.uint64(n - 1)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def narrow(own: np.ndarray) -> np.ndarray:
+    """The same as four signed 64-bit words: small enough to travel with every candidate."""
+    bits = np.zeros(256, np.uint8)
+    bits[own & np.uint64(255)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
 def fold(signature: np.ndarray, length: int) -> np.ndarray:
     """A signature as bytes, or-folded to `length` bytes."""
     while len(signature) > length:
