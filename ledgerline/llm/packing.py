@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ VOCABULARY = "word_bpe_49k.json"
 # Pieces a shard packs: enough to leave few bins open, a few megabytes in a task.
 SHARD_PIECES = 60_000
 # Words whose ids a worker keeps.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_000_000
 # Letters without marks and a run of plain signs: one or two tokens of the word splitter, whatever follows.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{-~]*)")
 
@@ -56,6 +57,7 @@ class WordEncoder:
 
     def _clear(self):
         self.known: dict[bytes, int] = {}
+        self.parts: dict[str, list[int]] = {"": []}
         self.first, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -76,31 +78,29 @@ class WordEncoder:
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
     def _learn(self, new: list[bytes]):
+        """Ids of new strings; plain ones from those of their lower-cased letters and their signs, which many share."""
         texts = [w.decode("utf-8", "replace") for w in new]
-        count = []
-        for t in texts:
-            m = _PLAIN.fullmatch(t)
-            count.append(bool(m[1]) + bool(m[2]) if m else 0)
-        plain = [i for i, c in enumerate(count) if c]
-        found: list[np.ndarray | None] = [None] * len(new)
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        encoded = self.tokenizer.encode_batch_fast([" ".join(texts[i] for i in g) for g in groups], add_special_tokens=False)
-        for g, e in zip(groups, encoded):
-            ids = np.array(e.ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            wanted = np.cumsum([count[i] for i in g])
-            if len(stops) == wanted[-1] and stops[-1] == len(ids):
-                for i, own in zip(g, np.split(ids, stops[wanted - 1][:-1])):
-                    found[i] = own
-        for i, t in enumerate(texts):
-            if found[i] is None:
-                found[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
-        sizes = np.array([len(f) for f in found], np.int64)
+        plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(t)) else None for t in texts]
+        self._learn_parts(sorted({part for p in plain if p for part in p if part not in self.parts}))
+        found = [self.parts[p[0]] + self.parts[p[1]] if p else self.tokenizer.encode(t, add_special_tokens=False).ids for p, t in zip(plain, texts)]
+        sizes = np.array(list(map(len, found)), np.int64)
         base, start = len(self.known), len(self.ids)
         self.known.update(zip(new, range(base, base + len(new))))
         self.size = np.concatenate([self.size, sizes])
         self.first = np.concatenate([self.first, start + np.cumsum(sizes) - sizes])
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])
+
+    def _learn_parts(self, new: list[str]):
+        """Runs of letters or of signs: each is one word to the splitter, so one end-of-word id ends it."""
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, encoded):
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(g) and stops[-1] == len(ids):
+                self.parts.update(zip(g, (own.tolist() for own in np.split(ids, stops[:-1]))))
+            else:
+                self.parts.update((w, self.tokenizer.encode(w, add_special_tokens=False).ids) for w in g)
 
 
 @lru_cache(maxsize=1)
