@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 from itertools import chain
 
@@ -76,16 +77,47 @@ def _feature(word: str, words: dict, prefixes: dict) -> int:
     return len(_BINS) + 1 + best if best else 0
 
 
-def fit(rows: list[tuple[int, str, int]]) -> Model:
-    """The model from (doc_id, text, toxic) rows; without both labels it scores every text alike."""
-    rows = [(i, tokens(t or ""), int(y)) for i, t, y in rows if y is not None]
-    halves = ([r for k, r in enumerate(rows) if k % 2 == 0], [r for k, r in enumerate(rows) if k % 2])
-    lexica = [_lexicon(half) for half in halves]
+class _Counts:
+    """Documents of either label, in all and by word and word beginning."""
+
+    def __init__(self):
+        self.n, self.words, self.prefixes = [0, 0], (Counter(), Counter()), (Counter(), Counter())
+
+    def add(self, toks: list[str], y: int):
+        own = set(toks)
+        self.n[y] += 1
+        self.words[y].update(own)
+        self.prefixes[y].update({w[:k] for w in own for k in _PREFIXES if len(w) >= k})
+
+    def merge(self, other: _Counts):
+        for y in (0, 1):
+            self.n[y] += other.n[y]
+            self.words[y].update(other.words[y])
+            self.prefixes[y].update(other.prefixes[y])
+
+    def lexicon(self) -> tuple[dict[str, int], dict[str, int]]:
+        (clean, toxic), (p_clean, p_toxic) = self.words, self.prefixes
+        return _evidence(toxic, clean, self.n[1], self.n[0], 3), _evidence(p_toxic, p_clean, self.n[1], self.n[0], 6)
+
+
+def fit(rows: Iterable[tuple[int, str, int]]) -> Model:
+    """The model from (doc_id, text, toxic) rows; without both labels it scores every text alike.
+
+    Tokens are kept of the documents that are tagged only, of the others counts.
+    """
+    counts, halves = (_Counts(), _Counts()), ([], [])
+    usable = ((t or "", int(y)) for _, t, y in rows if y is not None)
+    for k, (t, y) in enumerate(usable):
+        toks = tokens(t)
+        counts[k % 2].add(toks, y)
+        if len(halves[k % 2]) < TAGGED // 2:
+            halves[k % 2].append((toks, y))
+    lexica = [c.lexicon() for c in counts]
     # Each half is read with the other's evidence, so the field does not trust what it has seen itself.
     feats, label, start, docs = [], [], [], []
     for half, (words, prefixes) in zip(halves, lexica[::-1]):
         known: dict[str, int] = {}
-        for _, toks, y in half[: TAGGED // 2]:
+        for toks, y in half:
             for w in toks:
                 if w not in known:
                     known[w] = _feature(w, words, prefixes)
@@ -106,7 +138,8 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     sizes = np.array([n for n, _ in docs])
     x = _summary(p, np.concatenate([[0], np.cumsum(sizes)]))
     calibration = _logistic(x, np.array([y for _, y in docs], float))
-    words, prefixes = _lexicon(rows)
+    counts[0].merge(counts[1])
+    words, prefixes = counts[0].lexicon()
     score = chosen.weights
     return Model(
         {w: float(score[b]) for w, b in words.items()},
@@ -117,17 +150,6 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     )
 
 
-def _lexicon(rows) -> tuple[dict[str, int], dict[str, int]]:
-    toxic, clean, p_toxic, p_clean = Counter(), Counter(), Counter(), Counter()
-    n = [0, 0]
-    for _, toks, y in rows:
-        own = set(toks)
-        (toxic if y else clean).update(own)
-        (p_toxic if y else p_clean).update({w[:k] for w in own for k in _PREFIXES if len(w) >= k})
-        n[y] += 1
-    return _evidence(toxic, clean, n[1], n[0], 3), _evidence(p_toxic, p_clean, n[1], n[0], 6)
-
-
 def _summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Per document: 1, the logit of the largest marginal, the log of one plus their sum."""
     sums = np.concatenate([[0.0], np.cumsum(p)])
@@ -183,8 +205,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: lis
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    rows = labelled_sample(docs, labels, "toxic", ["text"], most).collect()
-    return fit([(r["doc_id"], r["text"], r["label"]) for r in rows])
+    rows = labelled_sample(docs, labels, "toxic", ["text"], most).toLocalIterator()
+    return fit((r["doc_id"], r["text"], r["label"]) for r in rows)
 
 
 def score_documents(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity", spans_column: str = "toxic_spans") -> DataFrame:
