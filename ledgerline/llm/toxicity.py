@@ -10,9 +10,10 @@ give its spans, and two sums of them its score, calibrated on the labels.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -205,8 +206,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: lis
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    rows = labelled_sample(docs, labels, "toxic", ["text"], most).toLocalIterator()
-    return fit((r["doc_id"], r["text"], r["label"]) for r in rows)
+    """Fitted in one task over the bounded sample: the driver gets the model only."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+
+    sample = labelled_sample(docs, labels, "toxic", ["text"], most).coalesce(1)
+    found = sample.mapInArrow(learn, "model binary").collect()
+    return pickle.loads(bytes(found[0]["model"])) if found else fit([])
 
 
 def score_documents(docs: DataFrame, model: Model, text_column: str = "text", score_column: str = "toxicity", spans_column: str = "toxic_spans") -> DataFrame:
