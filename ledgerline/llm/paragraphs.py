@@ -9,6 +9,8 @@ alike anywhere, and such pieces count as copies when their shingles are equal.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -23,6 +25,9 @@ PERCENT, BANDS, ROWS = 75, 8, 2
 REACH = 6
 # Shorter repeated runs are left alone: headings, salutations, licence lines.
 MIN_WORDS = 16
+# Units: copies of an earlier line, other lines, pieces in copies of an earlier line, other pieces; a word goes by the last of the order below.
+GONE, LINE, HIDDEN, PIECE = range(4)
+_RANK = {LINE: 0, HIDDEN: 1, PIECE: 1, GONE: 2}
 
 
 def cuts(words: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -109,10 +114,13 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_column: str =
     """doc_id, first_word, n_words, cluster, first_doc, kept: every run of words that repeats in another document.
 
     Lines that are near copies and pieces that are copies form clusters; runs of
-    them at least 16 words long are reported, overlapping and adjacent ones as
-    one. `cluster` and `first_doc` (its smallest id) are those of the run's first
-    part; the run is kept only there. Repeats inside one document, blank, null and
-    empty texts and rows with a null id give nothing. Other columns are not read.
+    overlapping and adjacent ones of at least 16 words are reported, in parts that
+    share no word. `first_doc` is the smallest document up to which the part repeats,
+    with what it touches, for 16 words; a part is kept only there, so what is first in
+    a document is never lost by what stands beside it. A part may be shorter than its
+    run. Copies of an earlier line go as a whole, with the pieces in them. `cluster` is
+    that of the part's first unit from `first_doc`. Repeats inside one document, blank,
+    null and empty texts and rows with a null id give nothing. Other columns are not read.
     """
     usable = docs.where(F.col(id_column).isNotNull())
     units = staged(paragraph_units(usable, id_column, text_column), "units")
@@ -131,22 +139,103 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, id_column: str =
     roots = near_components(members, sets, lambda wanted: own.join(wanted, "id", "left_semi"), percent)
 
     # The documents of each set, then of each cluster: only what occurs in two of them goes on.
-    ends = units.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    ends = units.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.when(F.col("keys").isNotNull(), F.col("doc_id"))).alias("line_doc"))
     rooted = ends.join(roots, "id", "left").withColumn("cluster", F.coalesce("root", "id"))
-    alone = rooted.where("root IS NULL AND low < high").select("id", "cluster", F.col("low").alias("first_doc"))
-    joined = rooted.where("root IS NOT NULL").select("id", "cluster", "low", "high")
-    spans = joined.groupBy("cluster").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc")).where("first_doc < last_doc")
-    repeated = staged(alone.unionByName(joined.join(spans, "cluster").select("id", "cluster", "first_doc")), "repeated")
-    found = units.drop("keys").join(repeated, "id")
-
-    order = W.partitionBy("row").orderBy("first", F.desc("words"))
-    reach = F.max(F.col("first") + F.col("words")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = found.withColumn("new", (F.col("first") > F.coalesce(reach, F.lit(-1))).cast("int"))
-    runs = marked.withColumn("run", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    head = F.struct("first", F.negate("words"), "cluster", "first_doc")
-    passages = runs.groupBy("row", "doc_id", "run").agg(F.min(head).alias("head"), F.max(F.col("first") + F.col("words")).alias("last"))
-    out = passages.select("doc_id", F.col("head.first").alias("first_word"), (F.col("last") - F.col("head.first")).alias("n_words"), F.col("head.cluster").alias("cluster"), F.col("head.first_doc").alias("first_doc"))
-    return out.where(F.col("n_words") >= MIN_WORDS).withColumn("kept", F.col("doc_id") == F.col("first_doc"))
+    alone = rooted.where("root IS NULL AND low < high").select("id", "cluster", F.col("low").alias("first_doc"), "line_doc")
+    joined = rooted.where("root IS NOT NULL").select("id", "cluster", "low", "high", "line_doc")
+    spans = joined.groupBy("cluster").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"), F.min("line_doc").alias("line_doc")).where("first_doc < last_doc")
+    repeated = staged(alone.unionByName(joined.drop("line_doc").join(spans, "cluster").select("id", "cluster", "first_doc", "line_doc")), "repeated")
+    found = units.withColumn("line", F.col("keys").isNotNull()).drop("keys").join(repeated, "id")
+
+    # Copies of an earlier line go as a whole, with the pieces in them; a piece's first document is looked for among the others.
+    gone = F.col("line") & (F.col("line_doc") < F.col("doc_id"))
+    end = F.col("first") + F.col("words")
+    order = W.partitionBy("row").orderBy("first")
+    before = F.max(F.when(gone, end)).over(order.rangeBetween(W.unboundedPreceding, W.currentRow))
+    after = F.min(F.when(gone, F.col("first"))).over(order.rangeBetween(W.currentRow, W.unboundedFollowing))
+    hidden = F.coalesce(before > F.col("first"), F.lit(False)) | F.coalesce(after < end, F.lit(False))
+    kind = F.when(gone, GONE).when(F.col("line"), LINE).when(hidden, HIDDEN).otherwise(PIECE)
+    marked = staged(found.select("row", "doc_id", "first", "words", "cluster", "first_doc", kind.cast("int").alias("kind")), "found")
+    left = marked.groupBy("cluster").agg(F.min("first_doc").alias("was"), F.min(F.when(F.col("kind").isin(LINE, PIECE), F.col("doc_id"))).alias("low"))
+    moved = staged(left.where("low IS NULL OR low > was").select("cluster", "low", F.lit(True).alias("moved")), "moved")
+    settled = marked.join(moved, "cluster", "left").withColumn("first_doc", F.when(F.col("moved"), F.col("low")).otherwise(F.col("first_doc")))
+    unit = F.struct("first", "words", "kind", "cluster", "first_doc")
+    by_row = settled.where("first_doc <= doc_id").groupBy("row", "doc_id").agg(F.collect_list(unit).alias("units")).select("doc_id", "units")
+
+    def split(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [(d, *part) for d, own in zip(batch.column("doc_id").to_pylist(), batch.column("units").to_pylist()) for part in parts(own)]
+        columns = list(zip(*out)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "first_word", "n_words", "cluster", "first_doc"])
+
+    out = map_batches(by_row, split, "doc_id long, first_word long, n_words long, cluster long, first_doc long")
+    return out.withColumn("kept", F.col("doc_id") == F.col("first_doc"))
+
+
+def parts(units: list[dict]) -> list[tuple[int, int, int, int]]:
+    """(first word, words, cluster, first document) of the parts of one text's runs of at least MIN_WORDS words.
+
+    A word goes by the copied line it is in, else by its piece, else by its line.
+    """
+    who = np.full(max(u["first"] + u["words"] for u in units), -1)
+    for i in sorted(range(len(units)), key=lambda i: _RANK[units[i]["kind"]]):
+        who[units[i]["first"] : units[i]["first"] + units[i]["words"]] = i
+    starts = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+    sizes = np.diff(np.append(starts, len(who)))
+    used = who[starts] >= 0
+    at, size, own = starts[used].tolist(), sizes[used].tolist(), [units[i] for i in who[starts][used]]
+    level = _levels([u["first_doc"] for u in own], at, size)
+    out: list[list[int]] = []
+    for i, (f, u) in enumerate(zip(level, own)):
+        if f is None:
+            continue
+        if out and out[-1][3] == f and out[-1][0] + out[-1][1] == at[i]:
+            out[-1][1] += size[i]
+            if out[-1][2] is None and u["first_doc"] == f:
+                out[-1][2] = u["cluster"]
+        else:
+            out.append([at[i], size[i], u["cluster"] if u["first_doc"] == f else None, f])
+    # A part always has a unit of its own level, unless others cut it off: then its first unit names it.
+    names = {a: u["cluster"] for a, u in zip(at, own)}
+    return [(a, n, names[a] if c is None else c, f) for a, n, c, f in out]
+
+
+def _levels(docs: list[int], at: list[int], size: list[int]) -> list[int | None]:
+    """Of each segment the smallest document up to which the words around it repeat for MIN_WORDS words; None if there is none.
+
+    Segments are added by their first document and hang together with those they touch.
+    """
+    n = len(docs)
+    parent, total, active, level = list(range(n)), list(size), [False] * n, [None] * n
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def touch(i: int) -> bool:
+        """Segment i and the next one are both there, without words between them."""
+        return 0 <= i < n - 1 and active[i] and active[i + 1] and at[i] + size[i] == at[i + 1]
+
+    for f, same in groupby(sorted(range(n), key=docs.__getitem__), key=docs.__getitem__):
+        same = list(same)
+        for i in same:
+            active[i] = True
+            for j in (i - 1, i):
+                if touch(j) and (a := find(j)) != (b := find(j + 1)):
+                    parent[b] = a
+                    total[a] += total[b]
+        for i in same:
+            if total[find(i)] < MIN_WORDS:
+                continue
+            level[i] = f
+            j = i - 1
+            while touch(j) and level[j] is None:
+                level[j], j = f, j - 1
+            j = i
+            while touch(j) and level[j + 1] is None:
+                level[j + 1], j = f, j + 1
+    return level
 
 
 def _arrays(units: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:

@@ -139,6 +139,35 @@ def test_repeated_passages(make_docs):
     assert paragraphs.repeated_passages(make_docs([])).count() == 0
 
 
+def test_what_repeats_is_kept_in_its_first_document(make_docs):
+    head, p, q = prose(61, 20), prose(62, 40), prose(63, 40)
+    body = [prose(64 + k, 30) for k in range(3)]
+    variant = p.split()
+    variant[20] = "zz"
+    variant, other = " ".join(variant), prose(75, 30)
+    rows = {
+        1: f"{head}\n{prose(71, 30)}", 5: "\n".join([head, *body]), 9: "\n".join([head, *body]),  # copies whose first line is older
+        11: p, 12: f"{p}\n{q}", 13: q,
+        # A near copy of a line, with a changed part that comes again in another line.
+        14: f"{prose(76, 30)}\n{variant}", 15: f"{other} {' '.join(variant.split()[8:36])} {prose(77, 30)}", 16: f"{prose(78, 30)}\n{variant}",
+    }
+    found = paragraphs.repeated_passages(make_docs(list(rows.items()))).collect()
+    left = {d: t.split() for d, t in rows.items()}
+    for r in found:
+        assert r["kept"] == (r["doc_id"] == r["first_doc"]) and r["first_doc"] <= r["doc_id"]
+        if not r["kept"]:
+            assert None not in left[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]]  # parts share no word
+            left[r["doc_id"]][r["first_word"] : r["first_word"] + r["n_words"]] = [None] * r["n_words"]
+    whole = {d: " ".join(w or "|" for w in ws) for d, ws in left.items()}
+    for text in (head, *body, p, q):
+        assert sum(text in t for t in whole.values()) == 1, text[:40]
+    assert head in whole[1] and all(b in whole[5] for b in body) and p in whole[11] and q in whole[12]
+    # Each five words of any text are left somewhere, but for those of the near copy's changed word.
+    there = {g for t in whole.values() for g in sets_of(t.replace("|", ""))}
+    lost = {g for t in rows.values() for line in t.split("\n") for g in sets_of(line)} - there
+    assert all(b"zz" in g for g in lost), lost
+
+
 def test_pieces_are_cut_alike_anywhere():
     core = prose(5, 60)
     a, b = (f"{prose(s, 30)} {core} {prose(s + 1, 30)}".encode() for s in (10, 20))
