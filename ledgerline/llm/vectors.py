@@ -22,6 +22,8 @@ from ledgerline.session import staged
 
 THRESHOLD = 0.9
 TREES, LEAF, SPILL = 10, 192, 0.10
+# TREES trees of so many levels miss about this share of the pairs at cosine 0.9; deeper ones are given more trees.
+LEVELS, MISSED = 10, 0.001
 # The cuts are learnt from at most so many vectors, taken by a hash; all vectors are indexed.
 SAMPLE = 16_384
 # Most vectors of one side of a comparison; a fuller leaf is compared slice by slice.
@@ -36,6 +38,7 @@ class Tree:
     cuts: list[np.ndarray]
     margins: list[np.ndarray]
     lower: np.ndarray  # further levels x dimension
+    lower_margins: np.ndarray  # further levels
     centre: np.ndarray  # node of the last learnt level x dimension
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,10 +48,10 @@ class Tree:
             place = np.einsum("ij,ij->i", x[row], d[node]) - c[node]
             row, node = _sides(row, node, place, m[node])
         top = node
-        for direction in self.lower:
+        for direction, margin in zip(self.lower, self.lower_margins):
             place = x[row] @ direction - (self.centre @ direction)[top]
             keep = np.arange(len(row))
-            keep, node = _sides(keep, node, place, 0.0)
+            keep, node = _sides(keep, node, place, margin)
             row, top = row[keep], top[keep]
         return row, node
 
@@ -79,7 +82,22 @@ def grow(sample: np.ndarray, total: int, seed: int, leaf: int = LEAF, spill: flo
         members = below
     lower = rng.standard_normal((depth - learnt, sample.shape[1]))
     centre = np.stack([sample[own].mean(axis=0) if len(own) else sample.mean(axis=0) for own in members])
-    return Tree(directions, cuts, margins, lower, centre)
+    spread = np.zeros(sample.shape)
+    for own, middle in zip(members, centre):
+        # The mean of few members lies nearer to them than to other vectors of the node.
+        spread[own] = (sample[own] - middle) * math.sqrt(len(own) / max(1, len(own) - 1))
+    lower_margins = np.array([np.quantile(np.abs(spread @ d), spill) for d in lower])
+    return Tree(directions, cuts, margins, lower, lower_margins, centre)
+
+
+def trees_for(total: int, trees: int = TREES, leaf: int = LEAF) -> int:
+    """Trees for `total` vectors: `trees` up to LEVELS cuts, more below, so that a pair is as likely to share a leaf.
+
+    A pair that `trees` trees of LEVELS cuts miss once in 1,000 stays together in one cut with the same chance at every level.
+    """
+    depth = max(LEVELS, math.ceil(math.log2(max(1, total / leaf))))
+    together = (1 - MISSED ** (1 / trees)) ** (depth / LEVELS)
+    return math.ceil(math.log(MISSED) / math.log1p(-together) - 1e-9)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,7 +133,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, trees: int =
     lengths = np.bincount([len(r["v"]) for r in chosen]) if chosen else np.zeros(1, int)
     dimension = int(np.argmax(lengths))
     points = unit(np.array([r["v"] for r in chosen if len(r["v"]) == dimension], float)) if chosen else np.zeros((0, 0))
-    forest = [grow(points, total, 100 + t, leaf, spill) for t in range(trees)] if len(points) else []
+    forest = [grow(points, total, 100 + t, leaf, spill) for t in range(trees_for(total, trees, leaf))] if len(points) else []
     shared = vectors.sparkSession.sparkContext.broadcast(forest)
 
     def index(batch: pa.RecordBatch) -> pa.RecordBatch:

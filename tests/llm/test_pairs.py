@@ -221,3 +221,22 @@ def test_vectors(session, monkeypatch, tile):
     assert got[3007]["component_id"] == 3006 and got[3006]["kept"] and not got[3007]["kept"]
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(3000, 3006))
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_below_the_sample_depth_are_found():
+    rng = np.random.default_rng(5)
+    n, size = 4000, 64
+    a = vectors.unit(rng.standard_normal((n, size)))
+    b = rng.standard_normal((n, size))
+    b = vectors.unit(b - (b * a).sum(axis=1, keepdims=True) * a)
+    b = 0.9 * a + np.sqrt(1 - 0.81) * b
+    total = vectors.LEAF << 16  # 10 levels learnt at most, as many as 16 are needed
+    sample = vectors.unit(rng.standard_normal((4096, size)))
+    met = np.zeros(n, bool)
+    for t in range(vectors.trees_for(total)):
+        tree = vectors.grow(sample, total, 100 + t)
+        assert len(tree.lower) >= 6
+        (r, x), (s, y) = tree.leaves(a), tree.leaves(b)
+        met[np.intersect1d((r << 32) + x, (s << 32) + y) >> 32] = True
+    assert met.mean() > 0.99, met.mean()
+    assert vectors.trees_for(vectors.LEAF << 10) == vectors.trees_for(5) == vectors.TREES
