@@ -27,7 +27,7 @@ from ledgerline.llm.common import held_out, map_batches
 # At most so many labelled documents are learnt from, taken by a hash of their id.
 SAMPLE = 8_000
 THRESHOLD = 0.7
-# Of these, so many are also tagged to fit the field.
+# Of these, so many are also tagged to fit the field, again by the hash; of a rarer label an eighth of it, if there are so many.
 TAGGED = 1_200
 _TOKEN = re.compile(r"\w+")
 _PREFIXES, HEAD = (7, 6, 5), 5
@@ -101,18 +101,23 @@ class _Counts:
         return _evidence(toxic, clean, self.n[1], self.n[0], 3), _evidence(p_toxic, p_clean, self.n[1], self.n[0], 6)
 
 
-def fit(rows: Iterable[tuple[int, str, int]]) -> Model:
-    """The model from (doc_id, text, toxic) rows; without both labels it scores every text alike.
+def fit(rows: Iterable[tuple[int, str, int]], tagged: int = TAGGED) -> Model:
+    """The model from (doc_id, text, toxic) rows in random order; without both labels it scores every text alike.
 
-    Tokens are kept of the documents that are tagged only, of the others counts.
+    Tokens are kept of the documents that are tagged only, of the others counts:
+    of the first `tagged` rows, and beyond them of the first of a label until it
+    has an eighth of that. The calibration weighs the labels as all rows have them.
     """
     counts, halves = (_Counts(), _Counts()), ([], [])
     usable = ((t or "", int(y)) for _, t, y in rows if y is not None)
+    seen, kept = [0, 0], [0, 0]
     for k, (t, y) in enumerate(usable):
-        toks = tokens(t)
-        counts[k % 2].add(toks, y)
-        if len(halves[k % 2]) < TAGGED // 2:
-            halves[k % 2].append((toks, y))
+        toks, half = tokens(t), (seen[y] + y) % 2  # each label is dealt to both halves
+        seen[y] += 1
+        counts[half].add(toks, y)
+        if k < tagged or kept[y] < max(2, tagged // 8):
+            kept[y] += 1
+            halves[half].append((toks, y))
     lexica = [c.lexicon() for c in counts]
     # Each half is read with the other's evidence, so the field does not trust what it has seen itself.
     feats, label, start, docs = [], [], [], []
@@ -138,7 +143,9 @@ def fit(rows: Iterable[tuple[int, str, int]]) -> Model:
     p = crf.marginals(chosen.weights[f], st, chosen.cross)
     sizes = np.array([n for n, _ in docs])
     x = _summary(p, np.concatenate([[0], np.cumsum(sizes)]))
-    calibration = _logistic(x, np.array([y for _, y in docs], float))
+    y = np.array([y for _, y in docs])
+    share = np.array(seen) / sum(seen) * len(docs) / np.bincount(y, minlength=2)
+    calibration = _logistic(x, y.astype(float), share[y])
     counts[0].merge(counts[1])
     words, prefixes = counts[0].lexicon()
     score = chosen.weights
@@ -163,13 +170,13 @@ def _summary(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.stack([np.ones(len(most)), np.log(most / (1 - most)), np.log1p(np.maximum(total, 0))], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Logistic regression of weighted rows by Newton steps with a small ridge."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w = w + np.linalg.solve(h, x.T @ (weight * (y - p)) - 0.1 * w)
     return w
 
 
@@ -205,14 +212,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: lis
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c for c in columns]).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").limit(most)
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:
-    """Fitted in one task over the bounded sample: the driver gets the model only."""
+def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, tagged: int = TAGGED) -> Model:
+    """Fitted in one task over the bounded sample, in the order of a hash of the id: the driver gets the model only."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label"))))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, tagged))], pa.binary())], ["model"])
 
     sample = labelled_sample(docs, labels, "toxic", ["text"], most).coalesce(1)
+    sample = sample.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
     found = sample.mapInArrow(learn, "model binary").collect()
     return pickle.loads(bytes(found[0]["model"])) if found else fit([])
 

@@ -59,6 +59,20 @@ def test_toxicity_on_held_out_rows(tables):
     assert {"idiot", "moron", "worthless"} <= words and len(words) < 2000
 
 
+def test_toxicity_when_the_lowest_ids_have_one_label(make_docs, session):
+    rows = [(i, prose(i, 30), 0) for i in range(2500)] + [(i, prose(i, 15) + " you idiot moron " + prose(i + 9000, 15), 1) for i in range(2500, 2800)]
+    docs, labels = make_docs([r[:2] for r in rows]), session.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    held = [r for r in toxicity.toxicity_report(docs, labels).collect() if r["held_out"]]
+    assert np.mean([r["predicted"] == (r["doc_id"] >= 2500) for r in held]) > 0.98
+
+
+def test_a_rare_label_late_in_the_sample_is_learnt():
+    rows = [(i, prose(i, 30), 0) for i in range(600)] + [(i, prose(i, 30) + " idiot", 1) for i in range(600, 620)]
+    model = toxicity.fit(rows, tagged=100)
+    toxic, clean = toxicity.score_texts(model, [prose(7001, 30) + " idiot", prose(7002, 30)])[0]
+    assert toxic > 0.5 > clean
+
+
 def test_quality_on_held_out_rows(tables):
     docs, labels = tables
     held, _ = judged(quality.quality_report(docs, labels), labels, "quality")
