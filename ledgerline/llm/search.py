@@ -1,4 +1,4 @@
-"""Exact BM25 top-k: inverted index per shard, block-max WAND, exact merge.
+"""Exact BM25 top-k: inverted index per shard, blocks by descending bound, exact merge.
 
 The words of all texts are counted once for what scores need of the whole
 corpus: documents, words, documents a query word is in. Shards of a bounded
