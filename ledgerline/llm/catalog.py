@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import jaccard, mixing, packing, pages, paragraphs, quality, search, secrets, toxicity, vectors
+from ledgerline.llm import jaccard, mixing, packing, pages, paragraphs, quality, runs, search, secrets, toxicity, vectors
 from ledgerline.llm.common import ready
 from ledgerline.sources.tables import table
 
@@ -170,3 +170,33 @@ def op9_embedding_near_dups(spark, sf_dir):
 @query("op10_html_main_text")
 def op10_html_main_text(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages"))
+
+
+# The crc32 of a short ASCII text, byte by byte and bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+@query(
+    "op12_periodic_runs",
+    rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws, {_CRC.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents),
+e AS (SELECT doc_id, ws, len(ws) AS n, h, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM e),
+o AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM f),
+t AS MATERIALIZED (SELECT doc_id, n, list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS ws FROM o),
+w AS MATERIALIZED (SELECT doc_id, n, unnest(range(0, n)) AS i, unnest(ws) AS w FROM t),
+same AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM same),
+stretch AS MATERIALIZED (SELECT doc_id, q, min(i) AS s, min(i) + count(*) + q AS e FROM isle GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS MATERIALIZED (SELECT * FROM stretch x WHERE NOT EXISTS (SELECT 1 FROM stretch y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)),
+best AS (SELECT doc_id, s, e - s AS length, q FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (e - s) / CAST(q AS DOUBLE) DESC, s, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS txt FROM r GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS txt FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+       CAST(1000 * length // q AS BIGINT) AS exponent_milli, sha256(coalesce(listed.txt, '')) AS runs_sha256, sha256(coalesce(kept.txt, '')) AS collapsed_sha256
+FROM t LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+)
+def op12_periodic_runs(spark, sf_dir):
+    return runs.run_report(table(spark, sf_dir, "documents"))

@@ -14,4 +14,4 @@ def test_matches_sql(spark, sf, duck, name):
 
 def test_one_query_a_number():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES)
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert len(numbers) == len(set(numbers)) and set(range(1, 11)) <= set(numbers) and "pipeline" in entry.queries()
