@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import jaccard, mixing, packing, pages, paragraphs, quality, runs, search, secrets, toxicity, vectors
+from ledgerline.llm import jaccard, mixing, neighbours, packing, pages, paragraphs, quality, runs, search, secrets, toxicity, vectors
 from ledgerline.llm.common import ready
 from ledgerline.sources.tables import table
 
@@ -200,3 +200,17 @@ FROM t LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN k
 )
 def op12_periodic_runs(spark, sf_dir):
     return runs.run_report(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_cross_polytope_neighbours",
+    """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(q.e, v.e) AS score FROM v q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20""",
+)
+def op13_cross_polytope_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
