@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import jaccard, mixing, neighbours, packing, pages, paragraphs, quality, runs, search, secrets, toxicity, vectors
+from ledgerline.llm import jaccard, mixing, neighbours, packing, pages, paragraphs, quality, runs, search, secrets, toxicity, treap, vectors
 from ledgerline.llm.common import ready
 from ledgerline.sources.tables import table
 
@@ -172,6 +172,26 @@ def op10_html_main_text(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+_TERMS = f"regexp_extract_all({_LOWER}, {_sql(treap.TERM)})"
+
+
+@query(
+    "op11_ranked_treap_search",
+    f"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents),
+whole AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+q AS MATERIALIZED (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+tf AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), whole),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * len(ts) * n) // l AS m FROM d, whole WHERE len(ts) > 0),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS n FROM s WHERE score > 0)
+SELECT item_id, CAST(n AS INTEGER) AS rank, doc_id, score FROM k WHERE n <= 50""",
+)
+def op11_ranked_treap_search(spark, sf_dir):
+    return treap.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 # The crc32 of a short ASCII text, byte by byte and bit by bit.
 _CRC = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),
   lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda v, k: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
