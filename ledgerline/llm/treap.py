@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerline.llm.common import binaries, map_batches, utf8
 from ledgerline.session import staged
@@ -29,11 +29,11 @@ from ledgerline.session import staged
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 50
 # A shard ends with the batch in which its documents hold so many terms, repeats counted, or there are so many documents.
-SHARD_TERMS, SHARD_DOCS = 4_000_000, 32_768
+SHARD_TERMS, SHARD_DOCS = 1_500_000, 32_768
 # Items searched in one pass over the index; their terms and weights are sent to all tasks.
 ITEM_BLOCK = 2_000
 # Ranges split in one step, the best ones first.
-BEAM = 32
+BEAM = 128
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 # Of four marks: how many there are, and how many come before each.
@@ -87,9 +87,24 @@ class Treap:
         many = _MARKS[marks]
         return cls(levels, marks, peaks, 2 + np.cumsum(many) - many)
 
+    def written(self) -> tuple[bytes, bytes]:
+        """Marks of all cells but the last level's, and how far each peak lies below that of the cell around it."""
+        points = len(self.marks) - int(np.searchsorted(self.first, len(self.marks)))
+        inner = self.marks[: len(self.marks) - points]
+        around = np.repeat(self.peaks[1 : len(inner)], _MARKS[inner[1:]])
+        return inner[1:].tobytes(), np.concatenate([self.peaks[1:2], around - self.peaks[2:]]).tobytes()
+
     @classmethod
-    def read(cls, levels: int, marks: bytes, peaks: bytes) -> Treap:
-        return cls._linked(levels, np.frombuffer(marks, np.uint8), np.frombuffer(peaks, np.uint32))
+    def read(cls, levels: int, marks: bytes, drops: bytes) -> Treap:
+        inner, drop = np.frombuffer(marks, np.uint8), np.frombuffer(drops, np.uint32)
+        peaks = np.zeros(len(drop) + 1, np.uint32)
+        peaks[1:2] = drop[:1]
+        begin, end = 0, min(1, len(inner))  # the cells of one level
+        while begin < end:
+            around = np.repeat(peaks[1 + begin : 1 + end], _MARKS[inner[begin:end]])
+            peaks[1 + end : 1 + end + len(around)] = around - drop[end : end + len(around)]
+            begin, end = end, min(end + len(around), len(inner))
+        return cls._linked(levels, np.concatenate([np.zeros(1, np.uint8), inner, np.zeros(len(drop) - len(inner), np.uint8)]), peaks)
 
     def best(self, rows: np.ndarray, weights: np.ndarray, top: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
         """(column, score): the `top` columns of largest weighted sum over the rows, above 0, ties to the smaller column."""
@@ -134,7 +149,7 @@ class Treap:
         return columns, scores
 
 
-_SHARD = "doc_ids array<long>, terms array<binary>, held array<long>, levels int, marks binary, peaks binary"
+_SHARD = "doc_ids array<long>, terms array<binary>, held array<long>, levels int, marks binary, drops binary"
 
 
 def index(docs: DataFrame, documents: int, total: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -189,13 +204,20 @@ class _Shard:
         row[rank] = np.arange(len(rank))
         treap = Treap.of(row[number], place, impacts(tf.astype(np.int64), length[order][place], documents, total))
         terms = list(self.numbers)
-        values = [[self.ids[i] for i in order], [terms[i] for i in rank], held[rank].tolist(), treap.levels, treap.marks.tobytes(), treap.peaks.tobytes()]
+        values = [[self.ids[i] for i in order], [terms[i] for i in rank], held[rank].tolist(), treap.levels, *treap.written()]
         kinds = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["doc_ids", "terms", "held", "levels", "marks", "peaks"])
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["doc_ids", "terms", "held", "levels", "marks", "drops"])
+
+
+def counts(docs: DataFrame, text_column: str = "text") -> tuple[int, int]:
+    """How many documents have a term, and how many terms they have, repeats counted."""
 
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = [len(terms_of(t)) for t in binaries(batch.column("text"))]
+        return pa.RecordBatch.from_arrays([pa.array([sum(map(bool, own))], pa.int64()), pa.array([sum(own)], pa.int64())], ["docs", "terms"])
 
-def term_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TERM)), F.lit(0)).cast("long")
+    both = map_batches(docs.select(utf8(F.col(text_column)).alias("text")), count, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return both[0] or 0, both[1] or 0
 
 
 def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, id_column: str = "doc_id", text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -208,8 +230,7 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, id_column: str = "
     columns are not. The index is built once and read once per ITEM_BLOCK items.
     """
     spark = docs.sparkSession
-    counted = docs.select(term_count(F.col(text_column)).alias("n")).where("n > 0").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("terms")).first()
-    documents, total = counted["docs"], counted["terms"] or 0
+    documents, total = counts(docs, text_column)
     shards = staged(index(docs, documents, total, id_column, text_column), "treaps")
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -244,8 +265,8 @@ def _search(spark, shards: DataFrame, weighed: DataFrame, top: int) -> DataFrame
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, terms, levels, marks, peaks = (batch.column(c)[i].as_py() for c in ("doc_ids", "terms", "levels", "marks", "peaks"))
-                treap, row = Treap.read(levels, marks, peaks), {t: k for k, t in enumerate(terms)}
+                ids, terms, levels, marks, drops = (batch.column(c)[i].as_py() for c in ("doc_ids", "terms", "levels", "marks", "drops"))
+                treap, row = Treap.read(levels, marks, drops), {t: k for k, t in enumerate(terms)}
                 out: list[tuple] = []
                 for item, own_terms, weights in sent.value:
                     rows = np.array([row.get(t, -1) for t in own_terms], np.int64)
@@ -256,4 +277,4 @@ def _search(spark, shards: DataFrame, weighed: DataFrame, top: int) -> DataFrame
                 columns = list(zip(*out)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "doc_id", "score"])
 
-    return shards.select("doc_ids", "terms", "levels", "marks", "peaks").mapInArrow(search, "item_id long, doc_id long, score long")
+    return shards.select("doc_ids", "terms", "levels", "marks", "drops").mapInArrow(search, "item_id long, doc_id long, score long")
