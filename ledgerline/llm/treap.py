@@ -29,7 +29,7 @@ from ledgerline.session import staged
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 50
 # A shard ends with the batch in which its documents hold so many terms, repeats counted, or there are so many documents.
-SHARD_TERMS, SHARD_DOCS = 1_500_000, 32_768
+SHARD_TERMS, SHARD_DOCS = 1_000_000, 32_768
 # Items searched in one pass over the index; their terms and weights are sent to all tasks.
 ITEM_BLOCK = 2_000
 # Ranges split in one step, the best ones first.
