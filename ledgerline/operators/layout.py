@@ -39,8 +39,12 @@ def _vote(widths: Column, delimiter: str, order: int) -> Column:
         F.array_distinct(widths),
         lambda w: F.struct(F.size(F.filter(widths, lambda x: x == w)).alias("hits"), w.alias("width")),
     )
-    modal = F.array_max(counts)
-    consistency = F.try_divide(modal["hits"], F.size(widths))
+    return modal_vote(F.array_max(counts), F.size(widths), delimiter, order)
+
+
+def modal_vote(modal: Column, total: Column, delimiter: str, order: int) -> Column:
+    """The same from the most frequent width ``(hits, width)`` of ``total`` records."""
+    consistency = F.try_divide(modal["hits"], total)
     score = consistency * 100 + F.least(modal["width"], F.lit(40))
     vote = F.struct(
         score.alias("score"), F.lit(-order).alias("rank"), F.lit(delimiter).alias("delimiter"),

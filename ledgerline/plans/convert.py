@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ledgerline import rules
 from ledgerline.operators import layout as lay
 from ledgerline.operators.columns import apply_overrides, apply_preset, layout_headers, map_columns
 from ledgerline.operators.formats import amount_samples, profile_formats, sample_collisions
@@ -18,7 +19,8 @@ from ledgerline.operators.identity import with_fit_ids
 from ledgerline.operators.normalize import accepted, account_meta, currency_issues, empty_file_issues, file_outcomes, normalise, reject_issues
 from ledgerline.operators.statements import documents, statements
 from ledgerline.session import staged
-from ledgerline.sources.landing import decode_files, triage
+from ledgerline.sources.landing import decode_files, scan_files, triage
+from ledgerline.sources.large import large_layout
 
 
 class Inspection(NamedTuple):
@@ -47,13 +49,40 @@ def inspect_files(
     ``conventions`` ``(file_id, convention)`` replaces the derived one, which is
     the only way to ``signed-inverted``.
     """
+    return _inspect(*_lay_out(files, declared_charset), presets, overrides, conventions)
+
+
+def inspect_folder(
+    spark: SparkSession, path: str, declared_charset: str | None = None, presets: DataFrame | None = None, overrides: DataFrame | None = None, conventions: DataFrame | None = None,
+    whole_bytes: int = rules.MAX_INPUT_BYTES,
+) -> Inspection:
+    """Profile every file below a path, whatever its size: up to ``whole_bytes`` as one row, beyond it in splits.
+
+    Declared charsets are a column of the file listing and hold for whole files;
+    the large ones go by their byte order mark and bytes.
+    """
+    whole = _lay_out(scan_files(spark, path, whole_bytes).filter(F.col("length") <= whole_bytes), declared_charset)
+    if scan_files(spark, path, whole_bytes).filter(F.col("length") > whole_bytes).select("file_id").isEmpty():
+        return _inspect(*whole, presets, overrides, conventions)
+    large = large_layout(spark, path, over=whole_bytes)
+    columns = ["file_id", "file_name", "length", "kind", "format", "reject_code", "reject_message"]
+    judged = whole[0].select(*columns).unionByName(large.judged.select(*columns))
+    heads = staged(whole[1].unionByName(large.heads.select(*whole[1].columns)), "heads")
+    rows = staged(whole[2].unionByName(large.rows), "rows")
+    return _inspect(judged, heads, rows, presets, overrides, conventions)
+
+
+def _lay_out(files: DataFrame, declared_charset: str | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Triage, layout and body rows of whole files."""
     judged = triage(files)
     layout = staged(lay.lay_out(decode_files(judged.filter(F.col("kind") == "text"), declared_charset)), "layout")
-    rows = staged(lay.body_rows(layout), "rows")
-    heads = layout.drop("body")
+    return judged, layout.drop("body"), staged(lay.body_rows(layout), "rows")
+
+
+def _inspect(judged: DataFrame, heads: DataFrame, rows: DataFrame, presets: DataFrame | None, overrides: DataFrame | None, conventions: DataFrame | None) -> Inspection:
     mapping = map_columns(heads.filter(F.col("row_count") > 0).select("file_id", "headers"), rows)
     if presets is not None:
-        mapping = apply_preset(mapping, presets, layout_headers(files.sparkSession))
+        mapping = apply_preset(mapping, presets, layout_headers(judged.sparkSession))
     if overrides is not None:
         mapping = apply_overrides(mapping, overrides)
     mapping = staged(mapping, "mapping")
@@ -115,5 +144,14 @@ def convert_files(
     return inspection, convert_rows(inspection.files, inspection.rows, inspection.profile, inspection.issues, accounts)
 
 
+def convert_folder(
+    spark: SparkSession, path: str, accounts: DataFrame | None = None, declared_charset: str | None = None, presets: DataFrame | None = None, overrides: DataFrame | None = None,
+    conventions: DataFrame | None = None, whole_bytes: int = rules.MAX_INPUT_BYTES,
+) -> tuple[Inspection, Conversion]:
+    """`convert_files` for everything below a path, files of any size among it."""
+    inspection = inspect_folder(spark, path, declared_charset, presets, overrides, conventions, whole_bytes)
+    return inspection, convert_rows(inspection.files, inspection.rows, inspection.profile, inspection.issues, accounts)
+
+
 def to_documents(conversion: Conversion, dialect: str = "ofx") -> DataFrame:
     return documents(conversion.transactions, conversion.statements, dialect)

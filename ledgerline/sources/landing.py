@@ -1,7 +1,8 @@
 """The landing zone: export files as bytes, triaged and decoded.
 
-A file is one row of at most 128 MiB, so everything up to the exploded cells is
-a narrow projection: no shuffle happens before rows exist.
+A file is one row of at most 128 MiB here, so everything up to the exploded cells
+is a narrow projection: no shuffle happens before rows exist. Larger files are
+read in splits (`sources.large`).
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from ledgerline.functions.staged import pin
 FILE = ["file_id", "file_name", "length", "content"]
 
 
-def scan_files(spark: SparkSession, path: str) -> DataFrame:
+def scan_files(spark: SparkSession, path: str, most: int = rules.MAX_INPUT_BYTES) -> DataFrame:
     """Every accepted export below a path: ``(file_id, file_name, length, content)``.
 
-    The size test is pushed to the source, so an oversized file is listed with
-    NULL content and its bytes are never read.
+    The size test is pushed to the source, so a file of more than `most` bytes is
+    listed with NULL content and its bytes are never read.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -27,8 +28,8 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     name = F.element_at(F.split("path", "/"), -1)
-    fits = raw.filter(F.col("length") <= rules.MAX_INPUT_BYTES).select("path", "length", "content")
-    over = raw.filter(F.col("length") > rules.MAX_INPUT_BYTES).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    fits = raw.filter(F.col("length") <= most).select("path", "length", "content")
+    over = raw.filter(F.col("length") > most).select("path", "length", F.lit(None).cast("binary").alias("content"))
     return fits.unionByName(over).select(F.col("path").alias("file_id"), name.alias("file_name"), "length", "content")
 
 
@@ -49,6 +50,11 @@ def triage(files: DataFrame) -> DataFrame:
             "__control": F.length(F.regexp_replace(sample, r"[^\x01-\x08\x0b\x0e-\x1f]", "")) / F.greatest(F.col("length"), F.lit(1)),
         }
     )
+    return judge(seen)
+
+
+def judge(seen: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The decision from the first bytes (``content``), ``length``, ``__nul`` and the share ``__control``."""
     signature = F
     for prefix, name in rules.SIGNATURES:
         signature = signature.when(_starts(prefix), F.lit(name))
@@ -56,7 +62,7 @@ def triage(files: DataFrame) -> DataFrame:
     noisy = F.col("__control") > rules.CONTROL_SHARE_LIMIT
     known = seen.withColumn("format", F.when(F.col("length") > 0, signature))
     kind = (
-        F.when(F.col("length") > rules.MAX_INPUT_BYTES, "too large")
+        F.when(F.col("content").isNull(), "too large")
         .when(F.col("length") == 0, "empty")
         .when(F.col("format").isNotNull(), "binary")
         .when(wide, "text")
@@ -79,16 +85,17 @@ def triage(files: DataFrame) -> DataFrame:
     code = F.when(F.col("kind") == "too large", "file-too-large").when(F.col("kind") == "empty", "empty-file").when(F.col("kind") == "binary", "unsupported-content")
     return pin(
         judged,
-        {"format": F.col("format"), "kind": F.col("kind"), "reject_code": code, "reject_message": F.when(code.isNotNull(), message)},
+        {"format": F.col("format"), "kind": F.col("kind"), "reject_code": code, "reject_message": F.when(code.isNotNull(), message)} | {c: F.col(c) for c in keep},
         drop=("__nul", "__control"),
     )
 
 
-def resolve_encoding(files: DataFrame, declared: str | None = None) -> DataFrame:
+def resolve_encoding(files: DataFrame, declared: str | None = None, valid: Column | None = None) -> DataFrame:
     """Add ``encoding``, ``detected_label``, ``confidence``, ``bom``, ``bom_length``, ``fallback``.
 
     A byte order mark wins, then a declared charset (column name), then valid
-    UTF-8; anything else is read as windows-1252 and flagged.
+    UTF-8; anything else is read as windows-1252 and flagged. ``valid`` says
+    whether the file is valid UTF-8 where ``content`` holds its beginning only.
     """
     fallback = rules.FALLBACK_CHARSET[0]
     bom, bom_length, supported = F, F, F
@@ -100,7 +107,7 @@ def resolve_encoding(files: DataFrame, declared: str | None = None) -> DataFrame
     label = F.lower(F.trim(F.col(declared))) if declared else F.lit(None).cast("string")
     names = F.create_map(*[F.lit(x) for k, v in rules.CHARSETS.items() for x in (k, v[0])])
     stated = F.try_element_at(names, F.coalesce(label, F.lit("")))
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
+    utf8 = F.is_valid_utf8(F.col("content").cast("string")) if valid is None else valid
     encoding = supported.when(stated.isNotNull(), stated).when(utf8, F.lit("utf-8")).otherwise(F.lit(fallback))
     unsupported = F.col("bom").isin("utf-32le", "utf-32be")
     guessed = F.col("bom").isNull() & stated.isNull() & ~utf8
