@@ -2,8 +2,8 @@
 
 Only components are wanted, so no group is expanded into all its pairs. First
 each set is compared with the smallest one under a key (its hub), for the two of
-its hubs that promise most; the links found join most copies, and a second such
-round joins nearly all. Then only sets under one key whose components still
+its hubs that promise most; the links found join most copies, and such rounds go
+on while they join more. Then only sets under one key whose components still
 differ are compared: few under most keys, so a join whose condition bounds the
 overlap; many under a frequent passage, so in tiles of bounded size.
 """
@@ -25,6 +25,8 @@ from ledgerline.session import staged
 PAIRED, TILE = 24, 1 << 20
 # Texts are looked up by up to this many ids sent to every executor; beyond it both sides are shuffled.
 SENT_IDS = 500_000
+# Hub rounds go on while each leaves at most this share of the memberships apart.
+SHRINKS = 0.8
 
 
 def classes(rows: DataFrame) -> DataFrame:
@@ -45,26 +47,40 @@ def near_components(members: DataFrame, sets: DataFrame, arrays_of: Callable[[Da
     `members`: key, id, hub. `sets`: id, n, bits, narrow of all these ids. `arrays_of(ids)`:
     (id, own) with the sorted hashes as bytes for the ids asked for.
     """
-    first = verified(_to_hubs(members.select("key", "id", "hub", F.col("id").alias("root"), F.col("hub").alias("hub_root"))), sets, arrays_of, percent)
-    rooted = _rooted(members, first)
-    # Once more for what is still apart: the hub is now in the smallest component under the key.
-    low = rooted.groupBy("key").agg(F.min(F.struct("root", "id")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root"))
-    first = first.unionByName(verified(_to_hubs(rooted.join(low, "key")), sets, arrays_of, percent))
-    rooted = _rooted(members, first)
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"))
-    open_ = staged(rooted.join(mixed.where("low < high").select("key", "size"), "key"), "open")
-    few = open_.where(F.col("size") <= PAIRED).join(sets.select("id", "n", "narrow"), "id")
+    own_root = members.select("key", "id", "hub", F.col("id").alias("root"), F.col("hub").alias("hub_root"))
+    found = verified(_to_hubs(own_root), sets, arrays_of, percent)
+    before = None
+    while True:
+        rooted = staged(_rooted(members, found), "rooted")
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size"), F.min(F.struct("root", "id")).alias("h"))
+        open_ = rooted.join(mixed.where("low < high").select("key", "size", F.col("h.id").alias("hub"), F.col("h.root").alias("hub_root")), "key")
+        open_ = staged(open_, "open")
+        left = open_.count()
+        # Once more for what is still apart: the hub is now in the smallest component under the key.
+        if before is not None and left > SHRINKS * before or not left:
+            break
+        before = left
+        more = verified(_to_hubs(open_), sets, arrays_of, percent)
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+
+    # Signatures meet their set once, then go under its keys.
+    keyed = open_.groupBy("id").agg(F.first("root").alias("root"), F.collect_list(F.struct("key", "size")).alias("under"))
+    few = keyed.select("id", "root", F.filter("under", lambda u: u["size"] <= PAIRED).alias("under")).where(F.size("under") > 0).join(sets.select("id", "n", "narrow"), "id")
+    few = few.select(F.explode("under.key").alias("key"), "id", "root", "n", "narrow")
 
     def side(c: str) -> DataFrame:
         return few.select("key", F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("root", "n", "narrow")])
 
     pairs = side("a").join(side("b"), "key").where(_may_link(percent)).select("a", "b")
     rest = verified(pairs.distinct(), sets, arrays_of, percent)
-    found = first.unionByName(rest)
-    many = open_.where(F.col("size") > PAIRED).select("key", "id", "root")
+    found = found.unionByName(rest)
+    many = keyed.select("id", "root", F.filter("under", lambda u: u["size"] > PAIRED).alias("under")).where(F.size("under") > 0)
     if not many.isEmpty():
-        own = staged(arrays_of(many.select("id").distinct()), "sets")
-        found = found.unionByName(tile_links(many.join(sets.select("id", "n", "bits"), "id").join(own, "id"), percent))
+        own = staged(arrays_of(many.select("id")), "sets")
+        whole = many.join(sets.select("id", "n", "bits"), "id").join(own, "id")
+        found = found.unionByName(tile_links(whole.select(F.explode("under.key").alias("key"), "id", "root", "n", "bits", "own"), percent))
     return components(found)
 
 
