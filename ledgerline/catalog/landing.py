@@ -8,6 +8,7 @@ from ledgerline.catalog.common import FX, events, files, long, query, table
 from ledgerline.catalog.usage import ALLOW, CH, EV, _CUR, _shape
 from ledgerline.functions.records import records
 from ledgerline.operators import layout
+from ledgerline.operators.telemetry import visitor_key
 from ledgerline.plans.convert import convert_files
 from ledgerline.session import work_dir
 from ledgerline.sources import fixtures
@@ -112,6 +113,22 @@ def _drain(out, schema_from, label):
     return spark.read.schema(schema_from.schema).parquet(f"{path}/table")
 
 
+def _drain_closed(spark, make, until, label):
+    """The same for a stream made with the folder of a clock, which then passes a time, so that everything open closes."""
+    path = work_dir(spark, label)
+    jobs.start_clock(spark, f"{path}/clock")
+    out = make(f"{path}/clock")
+    for _ in range(2):
+        jobs.write_table(out, f"{path}/checkpoint", f"{path}/table", available_now=True).awaitTermination()
+        jobs.tick(spark, f"{path}/clock", until)
+    return spark.read.schema(out.schema).parquet(f"{path}/table")
+
+
+def _after(spark, sf, column="ts"):
+    """A time at which every hour of the events, and an hour more, is over."""
+    return table(spark, sf, "events").agg(F.max(F.col(column).cast("timestamp")) + F.expr("INTERVAL 3 HOURS")).first()[0]
+
+
 @query("t01_append_events", EV + "SELECT event_id, event, CAST(CAST(created_at AS DATE) AS VARCHAR) AS event_date FROM ev")
 def appended(spark, sf):
     path = work_dir(spark, "append")
@@ -122,23 +139,34 @@ def appended(spark, sf):
 
 @query("t02_hourly_counts", EV + """
 SELECT strftime(date_trunc('hour', created_at), '%Y-%m-%d %H') AS hour, count(*) FILTER (event = 'visitor_landed') AS landed, count(*) FILTER (event = 'conversion_success') AS converted
-FROM ev GROUP BY date_trunc('hour', created_at) HAVING date_trunc('hour', created_at) + INTERVAL 1 HOUR <= (SELECT t FROM now) - INTERVAL 1 HOUR""")
+FROM ev GROUP BY date_trunc('hour', created_at)""")
 def hourly(spark, sf):
-    out = jobs.hourly_counts(_stream(spark, sf))
-    done = _drain(out, out, "hourly")
+    done = _drain_closed(spark, lambda clock: jobs.hourly_counts(jobs.with_clock(_stream(spark, sf), "created_at", clock)), _after(spark, sf), "hourly")
     return done.select(F.date_format("hour_start", "yyyy-MM-dd HH").alias("hour"), "landed", "converted")
 
 
-@query("t03_rolling_visitors")
+@query("t03_rolling_visitors", EV + """, landed AS (SELECT coalesce(ip, 'session:' || session_id) AS v, CAST(epoch(created_at) AS BIGINT) // 3600 AS h FROM ev WHERE event = 'visitor_landed'),
+placed AS (SELECT v, unnest(range(CAST(ceil((h - 23) / 6.0) AS BIGINT), h // 6 + 1)) AS slot FROM landed)
+SELECT CAST(slot * 21600 AS BIGINT) AS range_start_s, CAST(slot * 21600 + 86400 AS BIGINT) AS range_end_s, count(DISTINCT v) AS visitors, true AS within_bound FROM placed GROUP BY slot""")
 def rolling(spark, sf):
-    out = jobs.rolling_visitors(_stream(spark, sf), 24, "6 hours")
-    return _drain(out, out, "rolling")
+    """Estimates from hourly sketches beside the exact counts; each must lie within four standard errors, or one visitor."""
+    hourly_ = _drain_closed(spark, lambda clock: jobs.hourly_visitors(jobs.with_clock(_stream(spark, sf), "created_at", clock)), _after(spark, sf), "rolling")
+    found = jobs.rolling_visitors(hourly_, 24, 6).select(F.unix_seconds("range_start").alias("range_start_s"), F.unix_seconds("range_end").alias("range_end_s"), F.col("visitors").alias("estimate"))
+    landed = events(spark, sf).where("event = 'visitor_landed'").withColumn("visitor", visitor_key())
+    exact = landed.groupBy(F.window(F.col("created_at").cast("timestamp"), "24 hours", "6 hours").alias("w")).agg(F.count_distinct("visitor").alias("visitors"))
+    both = exact.select(F.unix_seconds("w.start").alias("range_start_s"), "visitors").join(found, "range_start_s", "full")
+    bound = F.greatest(F.lit(1.0), 4 * jobs.SKETCH_ERROR * F.col("visitors"))
+    within = F.coalesce(F.abs(F.col("estimate") - F.col("visitors")) <= bound, F.lit(False))
+    return both.select("range_start_s", "range_end_s", "visitors", within.alias("within_bound"))
 
 
 @query("t04_metered_attempts", ALLOW + "SELECT * FROM m")
 def metered(spark, sf):
-    out = jobs.metered_attempts(fixtures.allowance_attempts(stream_table(spark, sf, "events")))
-    done = _drain(out, out, "metered")
+    def make(clock):
+        attempts = fixtures.allowance_attempts(stream_table(spark, sf, "events")).withColumn("at", F.timestamp_millis("at_ms"))
+        return jobs.metered_attempts(jobs.with_clock(attempts, "at", clock))
+
+    done = _drain_closed(spark, make, _after(spark, sf), "metered")
     return done.select("visitor_id", "attempt_id", "at_ms", "allowed", long("used"), "resets_at_ms")
 
 

@@ -56,6 +56,16 @@ def current_subscriptions(feed: DataFrame, state: DataFrame | None = None) -> Da
     return joined.select("user_id", *[F.when(newer & F.lit(c != "subscription_id"), F.col(f"__u.{c}") if c != "subscription_id" else F.col(c)).otherwise(F.col(c)).alias(c) for c in STATE])
 
 
+def touched_users(feed: DataFrame, state: DataFrame | None) -> DataFrame:
+    """``user_id`` of every row a batch of changes may write: the users it names, and the holders of the subscriptions it changes without a user."""
+    records = change_records(feed)
+    named = records.filter(F.col("user_id").isNotNull()).select("user_id")
+    if state is None:
+        return named.distinct()
+    loose = records.filter(F.col("user_id").isNull() & F.col("subscription_id").isNotNull()).select("subscription_id").distinct()
+    return named.unionByName(state.select("user_id", "subscription_id").join(loose, "subscription_id", "left_semi").select("user_id")).distinct()
+
+
 def unmatched_changes(feed: DataFrame) -> DataFrame:
     """Changes without a user that come before any change naming one for their subscription: they are dropped."""
     records = change_records(feed)
