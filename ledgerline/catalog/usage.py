@@ -269,5 +269,4 @@ def allowance(spark, sf):
 @query("u07_peek_allowance", ALLOW + """, l AS (SELECT visitor_id, arg_max(used, at_ms) AS used, arg_max(resets_at_ms, at_ms) AS resets FROM m WHERE at_ms <= 1705276800000 GROUP BY visitor_id)
 SELECT visitor_id, CASE WHEN resets > 1705276800000 THEN used < 2 ELSE true END AS allowed, CASE WHEN resets > 1705276800000 THEN used ELSE 0 END AS used FROM l""")
 def peek(spark, sf):
-    metered = subs.meter_allowance(fixtures.allowance_attempts(table(spark, sf, "events")))
-    return subs.peek_allowance(metered, 1_705_276_800_000).select("visitor_id", "allowed", long("used"))
+    return subs.peek_attempts(fixtures.allowance_attempts(table(spark, sf, "events")), 1_705_276_800_000).select("visitor_id", "allowed", long("used"))

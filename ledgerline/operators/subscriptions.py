@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerline import rules
+from ledgerline.session import staged
 
 STATE = ["customer_id", "subscription_id", "price_id", "status", "current_period_end", "cancel_at_period_end", "change_seq"]
 
@@ -93,64 +94,67 @@ def row_gate(usage: DataFrame, subscriptions: DataFrame, row_count: str = "row_c
 # --- allowance ---------------------------------------------------------------
 
 DAY_MS = rules.ALLOWANCE_WINDOW_MS
-FOLD_LIMIT = 20_000
 
 
-def _folded_starts(times: DataFrame) -> DataFrame:
-    """Window starts of visitors with few attempts, by a fold over their times."""
-    starts = F.aggregate(
-        F.array_sort(F.collect_list("at_ms")),
-        F.array().cast("array<bigint>"),
-        lambda kept, at: F.when((F.size(kept) == 0) | (at - F.element_at(kept, -1) >= DAY_MS), F.concat(kept, F.array(at))).otherwise(kept),
-    )
-    return times.groupBy("visitor_id").agg(starts.alias("starts")).select("visitor_id", F.explode("starts").alias("start_ms"))
+def _active_days(times: DataFrame) -> DataFrame:
+    """``(visitor_id, day, first_ms, stretch)``: days with attempts; days that follow each other are one stretch.
+
+    A window lasts a day, so none reaches from one stretch into the next: the
+    first attempt of a stretch opens a window. A visitor has one row a day here.
+    """
+    days = times.groupBy("visitor_id", F.floor(F.col("at_ms") / DAY_MS).alias("day")).agg(F.min("at_ms").alias("first_ms"))
+    return days.withColumn("stretch", F.col("day") - F.row_number().over(W.partitionBy("visitor_id").orderBy("day")))
 
 
-def _rolled_starts(times: DataFrame, folder: str) -> DataFrame:
-    """The same for visitors of any size, rolled forward one day at a time.
+def _pointers(times: DataFrame, days: DataFrame) -> DataFrame:
+    """``(visitor_id, at_ms, next_ms)``: where the next window opens if one opens at ``at_ms``, inside the same stretch of days.
 
-    A day holds at most one start per visitor: the first attempt past the end of
-    the window before. Each day is one partial aggregate over that day's
-    attempts, written before the next, so no visitor is ever collected.
+    That is the first attempt of the following day at least 24 hours later, or
+    the first one of the day after when there is none.
     """
-    spark = times.sparkSession
-    low, high = times.agg(F.min("at_ms"), F.max("at_ms")).first()
-    last = spark.createDataFrame([], "visitor_id bigint, start_ms bigint").withColumn("visitor_id", F.col("visitor_id").cast(times.schema["visitor_id"].dataType))
-    for day in range(low // DAY_MS, high // DAY_MS + 1):
-        today = times.filter(F.col("at_ms").between(day * DAY_MS, (day + 1) * DAY_MS - 1))
-        fresh = today.join(last, "visitor_id", "left").filter(F.col("start_ms").isNull() | (F.col("at_ms") - F.col("start_ms") >= DAY_MS))
-        fresh.groupBy("visitor_id").agg(F.min("at_ms").alias("start_ms")).write.mode("overwrite").parquet(f"{folder}/day={day}")
-        seen = spark.read.parquet(folder)
-        last = seen.groupBy("visitor_id").agg(F.max("start_ms").alias("start_ms"))
-    return spark.read.parquet(folder).select("visitor_id", "start_ms")
-
-
-def window_starts(attempts: DataFrame, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+    day = F.floor(F.col("at_ms") / DAY_MS)
+    points = times.select("visitor_id", day.alias("day"), F.col("at_ms").alias("x"), F.col("at_ms").alias("point"), F.lit(None).cast("bigint").alias("at_ms"))
+    asked = times.select("visitor_id", (day + 1).alias("day"), (F.col("at_ms") + DAY_MS).alias("x"), F.lit(None).cast("bigint").alias("point"), "at_ms")
+    backwards = W.partitionBy("visitor_id", "day").orderBy(F.desc("x"), F.desc_nulls_last("point")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = points.unionByName(asked).withColumn("same_day", F.last("point", ignorenulls=True).over(backwards)).filter(F.col("at_ms").isNotNull())
+    in_order = W.partitionBy("visitor_id", "stretch").orderBy("day")
+    # Rows of the asked day and of the one after it, where the stretch goes on.
+    ahead = days.select("visitor_id", "day", F.lead("first_ms").over(in_order).alias("after_ms"))
+    joined = found.join(ahead, ["visitor_id", "day"])
+    return joined.select("visitor_id", "at_ms", F.coalesce("same_day", "after_ms").alias("next_ms")).filter(F.col("next_ms").isNotNull())
+
+
+def window_starts(attempts: DataFrame) -> DataFrame:
     """Every allowance window ``(visitor_id, start_ms)``.
 
-    Visitors up to ``fold_limit`` attempts are folded as an array; the few above
-    it, found by a count, take the rolled path. Both are exact.
+    Windows of a stretch of days are the orbit of its first attempt under the
+    pointers. Orbits are marked by pointer doubling: in round k the marks jump 2^k
+    windows ahead, so rounds grow with the logarithm of the longest stretch, and no
+    visitor is ever collected. Only first attempts of days and targets of pointers
+    can open a window; pointers of all others are dropped at once.
     """
-    from ledgerline.session import work_dir
-
-    times = attempts.select("visitor_id", "at_ms").distinct()
-    counts = times.groupBy("visitor_id").agg(F.count(F.lit(1)).alias("n"))
-    heavy = counts.filter(F.col("n") > fold_limit).select("visitor_id")
-    if not heavy.take(1):
-        return _folded_starts(times)
-    light = _folded_starts(times.join(heavy, "visitor_id", "left_anti"))
-    folder = work_dir(attempts.sparkSession, "allowance")
-    return light.unionByName(_rolled_starts(times.join(heavy, "visitor_id", "left_semi"), folder))
-
-
-def meter_allowance(attempts: DataFrame, fold_limit: int = FOLD_LIMIT, limit: int = rules.ALLOWANCE_LIMIT) -> DataFrame:
+    times = staged(attempts.select("visitor_id", "at_ms").distinct(), "attempt-times")
+    days = staged(_active_days(times), "active-days")
+    first = days.groupBy("visitor_id", "stretch").agg(F.min("first_ms").alias("start_ms")).select("visitor_id", "start_ms")
+    pointers = staged(_pointers(times, days), "pointers")
+    nodes = days.select("visitor_id", F.col("first_ms").alias("at_ms")).unionByName(pointers.select("visitor_id", F.col("next_ms").alias("at_ms"))).distinct()
+    jumps, marked = staged(pointers.join(nodes, ["visitor_id", "at_ms"]), "jumps"), staged(first, "marked")
+    while not jumps.isEmpty():
+        ahead = marked.join(jumps, (marked["visitor_id"] == jumps["visitor_id"]) & (marked["start_ms"] == jumps["at_ms"])).select(marked["visitor_id"], F.col("next_ms").alias("start_ms"))
+        marked = staged(marked.unionByName(ahead).distinct(), "marked")
+        onward = jumps.select("visitor_id", F.col("at_ms").alias("next_ms"), F.col("next_ms").alias("further_ms"))
+        jumps = staged(jumps.join(onward, ["visitor_id", "next_ms"]).select("visitor_id", "at_ms", F.col("further_ms").alias("next_ms")), "jumps")
+    return marked
+
+
+def meter_allowance(attempts: DataFrame, limit: int = rules.ALLOWANCE_LIMIT) -> DataFrame:
     """Outcome of every attempt ``(visitor_id, attempt_id, at_ms)`` in time order.
 
     A window opens at the first granted attempt and lasts 24 hours; its first
     ``limit`` attempts are granted, the others refused without spending.
     """
     day = F.floor(F.col("at_ms") / DAY_MS)
-    starts = window_starts(attempts, fold_limit)
+    starts = window_starts(attempts)
     first_day = F.floor(F.col("start_ms") / DAY_MS)
     # A window touches its own day and the next, which makes this an equi-join.
     reach = starts.select("visitor_id", "start_ms", F.explode(F.array(first_day, first_day + 1)).alias("day"))
@@ -186,3 +190,22 @@ def peek_allowance(metered: DataFrame, at_ms: int, limit: int = rules.ALLOWANCE_
         (F.lit(limit) - used).alias("remaining"),
         F.when(live, F.col("s.resets_at_ms")).alias("resets_at_ms"),
     )
+
+
+def peek_attempts(attempts: DataFrame, at_ms: int, limit: int = rules.ALLOWANCE_LIMIT) -> DataFrame:
+    """`peek_allowance` from the attempts themselves, of which only those that can matter are metered.
+
+    A window that is open at a time opened on that day or the day before, in the
+    stretch of days that reaches there. All earlier stretches, and all visitors
+    who were not there on these two days, are left out.
+    """
+    seen = attempts.filter(F.col("at_ms") <= at_ms)
+    days = staged(_active_days(seen.select("visitor_id", "at_ms")), "active-days")
+    last = days.groupBy("visitor_id").agg(F.max_by(F.struct("day", "stretch"), "day").alias("last"))
+    recent = F.col("last.day") >= at_ms // DAY_MS - 1
+    live = last.filter(recent).join(days, "visitor_id").filter(F.col("stretch") == F.col("last.stretch"))
+    since = live.groupBy("visitor_id").agg(F.min("first_ms").alias("since"))
+    wanted = seen.join(since, "visitor_id").filter(F.col("at_ms") >= F.col("since")).drop("since")
+    out = peek_allowance(meter_allowance(wanted, limit), at_ms, limit)
+    full = last.filter(~recent).select("visitor_id", F.lit(limit > 0).alias("allowed"), F.lit(0).alias("used"), F.lit(limit).alias("remaining"), F.lit(None).cast("bigint").alias("resets_at_ms"))
+    return out.unionByName(full)

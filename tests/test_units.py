@@ -92,15 +92,33 @@ def brute_allowance(attempts):
     return out
 
 
-@pytest.mark.parametrize("limit", [20_000, 3])
-def test_allowance_paths(spark, limit):
-    random.seed(2)
-    attempts = [(random.randrange(5), i, random.randrange(6 * 86_400_000)) for i in range(120)]
+def _attempts(seed):
+    """Visitors with gaps, with attempts on every day for weeks, and with attempts a millisecond around a day apart."""
+    rng = random.Random(seed)
+    day = 86_400_000
+    times = [(v, rng.randrange(40 * day)) for v in range(4) for _ in range(30)]
+    times += [(10, d * day + rng.randrange(day)) for d in range(37) for _ in range(rng.randint(1, 4))]
+    times += [(11, d * day + 5 * d) for d in range(33)] + [(12, 33 * day - d * (day + 3)) for d in range(33)] + [(13, d * day) for d in range(20)]
+    times += [(14, d * day + e) for d in range(12) for e in (-1, 0, 1)] + [(15, 7)] * 5
+    return [(v, i, t) for i, (v, t) in enumerate(times)]
+
+
+def test_allowance_windows(spark):
+    attempts = _attempts(2)
     df = spark.createDataFrame(attempts, "visitor_id bigint, attempt_id bigint, at_ms bigint")
-    got = {r.attempt_id: (r.allowed, r.used, r.resets_at_ms) for r in meter_allowance(df, fold_limit=limit).collect()}
+    got = {r.attempt_id: (r.allowed, r.used, r.resets_at_ms) for r in meter_allowance(df).collect()}
     assert got == brute_allowance(attempts)
 
 
+def test_a_peek_needs_the_last_days_only(spark):
+    from ledgerline.operators import subscriptions as subs
+
+    attempts = _attempts(3)
+    df = spark.createDataFrame(attempts, "visitor_id bigint, attempt_id bigint, at_ms bigint")
+    for at in (0, 12 * 86_400_000 + 5, 33 * 86_400_000, 80 * 86_400_000):
+        assert sorted(subs.peek_attempts(df, at).collect()) == sorted(subs.peek_allowance(meter_allowance(df), at).collect())
+
+
 def test_a_moved_user_keeps_only_the_new_subscription(spark):
     def change(seq, user, sub, status):
         return (seq, "customer.subscription.updated", user, "c", sub, "p", status, None, False)
