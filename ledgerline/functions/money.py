@@ -26,15 +26,31 @@ def grouping_is_wellformed(text: Column, separator: Column) -> Column:
     return ~marked.rlike(rf"(?<![0-9]){_MARK}|{_MARK}(?![0-9]{{3}}(?![0-9]))")
 
 
-def _plain_minor(cell: Column, decimal_separator: Column, group_separator: Column, scale: Column) -> Column:
-    """Minor units of a cell like ``-1,234.56`` with two decimals, as a long; NULL for any other shape."""
+_CODE = "(?:USD|EUR|GBP|INR|JPY|AUD|CAD|CHF|SGD|AED)"
 
-    def plain(point: str, comma: str) -> Column:
-        shape = rf"^-?(?:[0-9]{{1,15}}|[0-9]{{1,3}}(?:[{comma}][0-9]{{3}}){{1,4}})[{point}][0-9]{{2}}$"
+
+def _common_minor(cell: Column, decimal_separator: Column, group_separator: Column, scale: Column) -> Column:
+    """Minor units of a cell of a common shape with two decimals, as a long; NULL for any other shape.
+
+    Such a cell is ``-1,234.56``, or that number with spaces around it, with a
+    currency sign or code beside it, in parentheses, signed before or behind, or
+    followed by DR or CR. Whatever it is, the digits give the amount, and
+    parentheses, minus signs and DR turn the sign once each.
+    """
+
+    def common(point: str, comma: str) -> Column:
+        number = rf"(?:[0-9]{{1,15}}|[0-9]{{1,3}}(?:[{comma}][0-9]{{3}}){{1,4}})[{point}][0-9]{{2}}"
+        front = rf"(?:[-+]? *(?:[$€£¥] *)?|(?:[-+] +)?{_CODE} +)"
+        shape = rf"^ *(?:\( *{front}{number} *\)|{front}{number}(?: +{_CODE}| ?[-+]?(?: +(?:DR|CR))?)) *$"
         grouped = ~F.contains(cell, F.lit(comma)) | F.coalesce(group_separator == comma, F.lit(False))
-        return F.when(cell.rlike(shape) & grouped, F.translate(cell, ".,", "").try_cast("bigint"))
+        plain = F.translate(cell, ".,", "").try_cast("bigint")
+        minuses = F.length(cell) - F.length(F.translate(cell, "-", ""))
+        turned = (F.contains(cell, F.lit("(")) | F.contains(cell, F.lit("DR"))) != (minuses % 2 == 1)
+        amount = F.regexp_replace(cell, "[^0-9]", "").try_cast("bigint")
+        dressed = F.when(cell.rlike(shape) & grouped, F.when(turned, -amount).otherwise(amount))
+        return F.when(cell.rlike(rf"^-?{number}$") & grouped, plain).otherwise(dressed)
 
-    return F.when(scale == 2, F.when(decimal_separator == ",", plain(",", ".")).otherwise(plain(".", ",")))
+    return F.when((scale == 2) & (cell != ""), F.when(decimal_separator == ",", common(",", ".")).otherwise(common(".", ",")))
 
 
 def minor_units(cell: Column, decimal_separator: Column, group_separator: Column, scale: Column) -> Parser:
@@ -46,7 +62,7 @@ def minor_units(cell: Column, decimal_separator: Column, group_separator: Column
     """
 
     def outer(v):
-        return {"fast": _plain_minor(cell, decimal_separator, group_separator, scale)}
+        return {"fast": _common_minor(cell, decimal_separator, group_separator, scale)}
 
     def rest(v):
         return {"t": F.when(v("fast").isNull() & (cell != ""), strip(cell))}

@@ -166,3 +166,24 @@ def test_a_range_prunes_the_partitions(spark, tmp_path):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date" in plan.split("PartitionFilters")[1]
         assert found.count() == 2
+
+
+def test_common_money_shapes_read_like_the_steps(spark, monkeypatch):
+    """Every combination of sign, mark, parentheses and suffix, read at once where the shape is common, and by the steps alone."""
+    from itertools import product
+
+    from ledgerline.functions import money
+
+    numbers = ["1,234.56", "1234.56", "0.00", "12,34.56", "1.234,56", "123456789012345.67", "1,234,567.89", "5.5", "7", "1.005"]
+    made = ["".join(x) for x in product(["", " ", "-", "+", "- ", "(", "(-", "( ", "$", "-$", "$-", "USD ", "- USD ", "-USD ", "(USD ", "EUR", "€ ", "(-€"], numbers, ["", " ", ")", " )", "-", " -", "+", " DR", "DR", " CR", "- DR", "-DR", " USD", "USD", " dr", ") DR", " C"])]
+    rows = [(c, d, g, n) for c in made for d, g in ((".", ","), (",", "."), (".", None)) for n in (2, 0)]
+    df = spark.createDataFrame(rows, "cell string, point string, comma string, scale int")
+
+    def read():
+        return money.with_minor_units(df, {"minor": "cell"}, F.col("point"), F.col("comma"), F.col("scale")).collect()
+
+    quick = read()
+    fast = df.select(money._common_minor(F.col("cell"), F.col("point"), F.col("comma"), F.col("scale")).alias("x")).where("x IS NOT NULL").count()
+    monkeypatch.setattr(money, "_common_minor", lambda *a: F.lit(None).cast("bigint"))
+    differ = [(a, b.minor) for a, b in zip(quick, read()) if a.minor != b.minor]
+    assert not differ and fast > 500, differ[:5]
