@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -42,10 +45,30 @@ def binaries(column: pa.Array) -> list[bytes]:
     return column.to_pylist()
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch that gives one batch (or None)."""
+# Large tables that a worker process keeps from task to task, by the operator they belong to: how to let go of them.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keep(owner: str, release: Callable[[], None]) -> None:
+    _kept[owner] = release
+
+
+def make_room(owner: str | None = None) -> None:
+    """Let go of what other operators keep: a worker serves one after the other, and its memory would add up."""
+    others = [name for name in _kept if name != owner]
+    for name in others:
+        _kept.pop(name)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, function, schema: str, owner: str | None = None) -> DataFrame:
+    """mapInArrow with a function of one batch that gives one batch (or None); what operators but `owner` keep is released."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room(owner)
         for batch in batches:
             if batch.num_rows:
                 out = function(batch)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm.common import binaries, map_batches, utf8
+from ledgerline.llm.common import binaries, keep, map_batches, utf8
 from ledgerline.session import staged
 
 CAPACITY, END_ID = 4096, 1
@@ -105,6 +105,7 @@ class WordEncoder:
 
 @lru_cache(maxsize=1)
 def encoder(vocabulary: str) -> WordEncoder:
+    keep("packing", encoder.cache_clear)
     return WordEncoder(vocabulary)
 
 
@@ -122,7 +123,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((ids, piece, start, length, crc), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(F.col(text_column)).alias("text"))
-    return map_batches(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_batches(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long", "packing")
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -227,3 +227,13 @@ def test_pages(session, page_table):
     assert [r["text"] for r in got[:2]] == ["", ""]
     assert got[-1]["text"].count("Long paragraph") == 5000
     assert pages.extract(df.limit(0)).count() == 0
+
+
+def test_a_worker_lets_go_of_what_another_operator_kept():
+    from ledgerline.llm import common, packing
+
+    first = packing.encoder(packing.VOCABULARY)
+    common.make_room("packing")
+    assert packing.encoder(packing.VOCABULARY) is first
+    common.make_room("toxicity")
+    assert packing.encoder.cache_info().currsize == 0 and packing.encoder(packing.VOCABULARY) is not first
