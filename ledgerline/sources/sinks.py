@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ledgerline import rules
 from ledgerline.functions.text import download_name
+from ledgerline.session import staged
 
 
 def write_documents(parts: DataFrame, files: DataFrame, path: str) -> None:
@@ -43,3 +47,30 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def append_events(events: DataFrame, path: str) -> None:
     """Append cleaned events to a table partitioned by event date."""
     events.withColumn("event_date", F.to_date("created_at")).write.mode("append").partitionBy("event_date").parquet(path)
+
+
+def purge_events(spark: SparkSession, path: str, as_of: datetime, days: int = rules.RETENTION_DAYS) -> list[date]:
+    """Delete what is older than the retention from a table of `append_events`; the dates that went altogether.
+
+    Whole dates before the border are removed as folders, without reading them.
+    The border's date is read, written to the work folder and put in the place of
+    the old one. Run again, at any point of a broken run, it gives the same table.
+    """
+    border = as_of - timedelta(days=days)
+    table = spark.read.parquet(path)
+    dates = [r["event_date"] for r in table.select("event_date").where(F.col("event_date") <= F.to_date(F.lit(border))).distinct().collect()]
+    day = border.astimezone(timezone.utc).date() if border.tzinfo else border.date()
+    gone = sorted(d for d in dates if d < day)
+    if day in dates:
+        on_day = table.where(F.col("event_date") == F.lit(day))
+        kept = staged(on_day.where(F.col("created_at") >= F.lit(border)), "kept-events")
+        if kept.isEmpty():
+            gone.append(day)
+        elif kept.count() < on_day.count():
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("event_date").parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for d in gone:
+        folder = hadoop(f"{path}/event_date={d.isoformat()}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark.catalog.refreshByPath(path)
+    return gone
