@@ -345,12 +345,15 @@ def _leaf(tag, value):
     return f"'            <{tag}>' || {value} || chr(13) || chr(10)"
 
 
-@query("s07_documents", _STM + f""", blk AS (
+_BLOCKS = _STM + f""", blk AS (
   SELECT file_id, source_row, '          <STMTTRN>' || chr(13) || chr(10) || {_leaf('TRNTYPE', 'type')} || {_leaf('DTPOSTED', "strftime(d, '%Y%m%d') || CASE WHEN locale = 3 THEN lpad(CAST((k % 86400) // 3600 AS VARCHAR), 2, '0') || lpad(CAST((k % 3600) // 60 AS VARCHAR), 2, '0') || lpad(CAST(k % 60 AS VARCHAR), 2, '0') ELSE '' END")} ||
     {_leaf('TRNAMT', 'amount_text')} || {_leaf('FITID', 'fit_id')} || CASE WHEN reference <> '' THEN {_leaf('REFNUM', 'reference')} ELSE '' END ||
     {_leaf('NAME', "rtrim(regexp_replace(substr(replace(replace(replace(replace(name, 'É', 'E'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 1, 32), CASE WHEN length(name) + 10 <= 32 THEN '^$' ELSE '&[^;&]*$' END, ''))")} ||
     CASE WHEN memo IS NOT NULL THEN {_leaf('MEMO', 'memo')} ELSE '' END || '          </STMTTRN>' || chr(13) || chr(10) AS block FROM ident)
-SELECT file_id, count(*) AS blocks, md5(string_agg(block, '' ORDER BY source_row)) AS body FROM blk GROUP BY file_id""")
+"""
+
+
+@query("s07_documents", _BLOCKS + "SELECT file_id, count(*) AS blocks, md5(string_agg(block, '' ORDER BY source_row)) AS body FROM blk GROUP BY file_id")
 def document_bodies(spark, sf):
     from ledgerline.operators.statements import CRLF, documents
 
@@ -360,3 +363,23 @@ def document_bodies(spark, sf):
     # One part per statement here, as the fixture's statements are short.
     body = F.when(F.col("parts") == 1, inside)
     return docs.select("file_id", F.regexp_count("text", F.lit("<STMTTRN>")).cast("bigint").alias("blocks"), F.md5(body).alias("body"))
+
+
+@query("s07_statement_files", _BLOCKS + """
+SELECT md5(file_id) AS file_key, 'qbo' AS dialect, count(*) AS blocks, md5(string_agg(block, '' ORDER BY source_row)) AS body, true AS whole FROM blk GROUP BY file_id""")
+def statement_files(spark, sf):
+    """The written files themselves, one a statement, of parts of at most 50 rows."""
+    from ledgerline.operators.statements import documents
+    from ledgerline.session import work_dir
+    from ledgerline.sources.documents import write_statement_files
+
+    identified = identity.with_fit_ids(transactions(spark, sf))
+    parts = documents(identified, statements.statements(identified, meta(spark, sf), rows_per_part=50), "qbo", rows_per_part=50)
+    path = work_dir(spark, "statements")
+    write_statement_files(parts, headers(spark, sf).select("file_id", F.concat("file_id", F.lit(".csv")).alias("file_name")), path)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.split("path", "/").alias("p"), F.col("content").cast("string").alias("text"))
+    body = F.substring_index(F.element_at(F.split("text", r"<DTEND>[0-9]{8}\r\n"), 2), "        </BANKTRANLIST>", 1)
+    whole = F.startswith(F.col("text"), F.lit("OFXHEADER:100\r\n")) & F.endswith(F.col("text"), F.lit("</OFX>\r\n"))
+    return found.select(
+        F.element_at("p", -2).alias("file_key"), F.element_at("p", -3).alias("dialect"), F.regexp_count("text", F.lit("<STMTTRN>")).cast("bigint").alias("blocks"), F.md5(body).alias("body"), whole.alias("whole")
+    )

@@ -14,7 +14,7 @@ CRLF = "\r\n"
 ROWS_PER_PART = 20_000
 
 
-def statement_totals(transactions: DataFrame) -> DataFrame:
+def statement_totals(transactions: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Period, closing balance and end ids per file, in one partial aggregate."""
     row, balance = F.col("source_row"), F.col("balance_minor")
     return transactions.groupBy("file_id").agg(
@@ -24,12 +24,12 @@ def statement_totals(transactions: DataFrame) -> DataFrame:
         F.max_by(balance, F.when(balance.isNotNull(), row)).alias("last_balance"),
         F.min_by("fit_id", row).alias("first_fit_id"),
         F.max_by("fit_id", row).alias("last_fit_id"),
-        F.min(F.floor(row / ROWS_PER_PART)).alias("first_part"),
-        F.max(F.floor(row / ROWS_PER_PART)).alias("last_part"),
+        F.min(F.floor(row / rows_per_part)).alias("first_part"),
+        F.max(F.floor(row / rows_per_part)).alias("last_part"),
     )
 
 
-def statements(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
+def statements(transactions: DataFrame, accounts: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """The statement row of every account file, empty files included.
 
     ``accounts`` may also carry ``range_start``, ``range_end``, ``as_of_date``,
@@ -40,7 +40,7 @@ def statements(transactions: DataFrame, accounts: DataFrame) -> DataFrame:
     def given(name: str, kind: str) -> Column:
         return F.col(name) if name in accounts.columns else F.lit(None).cast(kind)
 
-    joined = accounts.join(statement_totals(transactions), "file_id", "left")
+    joined = accounts.join(statement_totals(transactions, rows_per_part), "file_id", "left")
     as_of = F.coalesce(given("as_of_date", "date"), F.col("last_date"), F.to_date(F.lit("1970-01-01")))
     count = F.coalesce("transaction_count", F.lit(0))
     return joined.select(
@@ -174,16 +174,17 @@ def _closing() -> Column:
     )
 
 
-def documents(transactions: DataFrame, statement: DataFrame, dialect: str | Column = "ofx") -> DataFrame:
+def documents(transactions: DataFrame, statement: DataFrame, dialect: str | Column = "ofx", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Statement documents as ordered parts: ``(file_id, dialect, part, parts, text)``.
 
-    A part holds at most `ROWS_PER_PART` rows of the source, so collecting one
+    A part holds at most `rows_per_part` rows of the source (the same number as
+    in `statements`), so collecting one
     is bounded however long the statement is; nearly every statement is a single
     part. The parts of a file joined in order are the document.
     """
     dialect = F.lit(dialect) if isinstance(dialect, str) else dialect
     blocks = transactions.select(
-        "file_id", "source_row", F.floor(F.col("source_row") / ROWS_PER_PART).alias("part"), transaction_block().alias("block")
+        "file_id", "source_row", F.floor(F.col("source_row") / rows_per_part).alias("part"), transaction_block().alias("block")
     )
     bodies = blocks.groupBy("file_id", "part").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", "block"))), lambda x: x["block"]), CRLF).alias("body")
