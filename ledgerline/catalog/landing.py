@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
-from ledgerline.catalog.common import FX, events, files, long, query, table
+from ledgerline import rules
+from ledgerline.catalog.common import FX, as_of, events, files, long, query, table
 from ledgerline.catalog.usage import ALLOW, CH, EV, _CUR, _shape
 from ledgerline.functions.records import records
-from ledgerline.operators import layout
+from ledgerline.operators import layout, rollup, telemetry
 from ledgerline.operators.telemetry import visitor_key
 from ledgerline.plans.convert import convert_files
 from ledgerline.session import work_dir
@@ -192,3 +195,34 @@ def landings(spark, sf):
 def passes(spark, sf):
     out = jobs.first_passes(_stream(spark, sf)).select("session_id", "event")
     return _drain(out, out, "passes")
+
+
+_LAST_HOURS = EV + ", r AS (SELECT ev.* FROM ev, now WHERE date_trunc('hour', created_at) BETWEEN date_trunc('hour', now.t) - INTERVAL 167 HOUR AND date_trunc('hour', now.t))"
+_SESSIONS = " UNION ALL ".join(f"SELECT 'stage {label}' AS metric, count(DISTINCT session_id) AS value, true AS within_bound FROM r WHERE event = '{event}'" for label, event in rules.FUNNEL)
+
+
+@query("m12_rollup_dashboard", _LAST_HOURS + f"""
+SELECT 'successes' AS metric, count(*) FILTER (event = 'conversion_success') AS value, true AS within_bound FROM r UNION ALL
+SELECT 'failures', count(*) FILTER (event = 'conversion_failed'), true FROM r UNION ALL SELECT 'logins', count(*) FILTER (event = 'user_logged_in'), true FROM r UNION ALL
+SELECT 'error ' || coalesce(error_code, 'UNKNOWN'), count(*), true FROM r WHERE event = 'conversion_failed' GROUP BY 1 UNION ALL
+SELECT 'landed ' || strftime(date_trunc('hour', created_at), '%Y-%m-%d %H:00'), count(*), true FROM r, now WHERE event = 'visitor_landed' AND created_at >= date_trunc('hour', now.t) - INTERVAL 23 HOUR GROUP BY 1 UNION ALL
+SELECT 'visitors', count(DISTINCT coalesce(ip, 'session:' || session_id)), true FROM r WHERE event = 'visitor_landed' UNION ALL {_SESSIONS}""")
+def rollup_dashboard(spark, sf):
+    """Numbers of the last 168 hours from the roll-up of a stream. Distinct numbers are shown exactly, beside whether the sketch comes near."""
+    made = _drain_closed(spark, lambda clock: jobs.hourly_rollup(jobs.with_clock(_stream(spark, sf), "created_at", clock)), _after(spark, sf), "rollup")
+    e = events(spark, sf)
+    now = as_of(e)
+    kept = rollup.hours_until(made, now)
+    sums = rollup.counters(kept).unpivot([], ["successes", "failures", "logins"], "metric", "value")
+    errors = rollup.failure_ranking(kept).select(F.concat(F.lit("error "), "error_code").alias("metric"), F.col("failures").alias("value"))
+    landed = rollup.hourly_buckets(made, now).where("landed > 0").select(F.concat(F.lit("landed "), "hour").alias("metric"), F.col("landed").alias("value"))
+    exact = sums.unionByName(errors).unionByName(landed).withColumn("within_bound", F.lit(True))
+
+    first = now.replace(minute=0, second=0, microsecond=0) - timedelta(hours=167)
+    recent = e.where(F.col("created_at") >= F.lit(first).cast(e.schema["created_at"].dataType))
+    stage = F.concat(F.lit("stage "), "label").alias("metric")
+    direct = telemetry.unique_visitors(recent).select(F.lit("visitors").alias("metric"), F.col("unique_visitors").alias("value")).unionByName(telemetry.funnel(recent).select(stage, F.col("sessions").alias("value")))
+    near = rollup.unique_visitors(kept).select(F.lit("visitors").alias("metric"), F.col("unique_visitors").alias("estimate")).unionByName(rollup.funnel(kept).select(stage, F.col("sessions").alias("estimate")))
+    bound = F.greatest(F.lit(1.0), 4 * jobs.SKETCH_ERROR * F.col("value"))
+    distinct = direct.join(near, "metric", "left").select("metric", "value", F.coalesce(F.abs(F.col("estimate") - F.col("value")) <= bound, F.lit(False)).alias("within_bound"))
+    return exact.unionByName(distinct).withColumn("value", F.col("value").cast("bigint"))

@@ -97,6 +97,27 @@ def rolling_visitors(hourly: DataFrame, hours: int = rules.DEFAULT_RANGE_HOURS,
     return merged.select(F.timestamp_seconds(begin).alias("range_start"), F.timestamp_seconds(begin + hours * 3600).alias("range_end"), "visitors")
 
 
+def hourly_rollup(events: DataFrame) -> DataFrame:
+    """What the dashboards need of an hour: ``(hour_start, event, error_code, events, sessions, visitors)``.
+
+    One row an hour, event and error code, appended when the hour closes; sessions
+    and visitors are sketches, which merge over hours. See `operators.rollup`.
+    """
+    code = F.when(F.col("event") == "conversion_failed", F.coalesce("error_code", F.lit(rules.UNKNOWN_ERROR)))
+    return (
+        _timed(events.withColumn("code", code))
+        .groupBy(F.window("created_at", "1 hour").alias("w"), "event", "code")
+        .agg(
+            F.count("event").alias("events"),
+            F.hll_sketch_agg("session_id", F.lit(SKETCH_BITS)).alias("sessions"),
+            F.hll_sketch_agg(visitor_key(), F.lit(SKETCH_BITS)).alias("visitors"),
+        )
+        # Ticks count as none. A filter on the event itself would be pushed below the watermark, which must see them.
+        .where(F.col("events") > 0)
+        .select(F.col("w.start").alias("hour_start"), "event", F.col("code").alias("error_code"), "events", "sessions", "visitors")
+    )
+
+
 def first_passes(events: DataFrame) -> DataFrame:
     """One ``preflight_pass`` per session, the first time it is seen."""
     passes = _timed(events).filter(F.col("event") == "preflight_pass")

@@ -114,3 +114,25 @@ def test_rolling_visitors_from_hourly_sketches(spark, hours, slide):
     found = jobs.rolling_visitors(jobs.hourly_visitors(events), hours, slide)
     exact = events.groupBy(F.window("created_at", f"{hours} hours", f"{slide} hours").alias("w")).agg(F.count_distinct("ip").alias("n")).select("w.start", "w.end", "n")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_dashboards_read_the_rollup_only(spark, tmp_path):
+    from ledgerline.operators import rollup, telemetry
+
+    start = datetime.datetime(2025, 1, 1)
+    rng = random.Random(4)
+    kinds = ["visitor_landed", "file_loaded", "preflight_pass", "conversion_success", "conversion_failed", "user_logged_in"]
+    rows = [(rng.choice(kinds), start + datetime.timedelta(minutes=rng.randrange(3000)), f"10.0.0.{rng.randrange(9)}", f"s{rng.randrange(30)}", rng.choice([None, "bad-date"])) for _ in range(500)]
+    events = spark.createDataFrame(rows, "event string, created_at timestamp_ntz, ip string, session_id string, error_code string")
+    now = start + datetime.timedelta(minutes=2990)
+    jobs.hourly_rollup(events).write.parquet(f"{tmp_path}/rollup")
+    table = spark.read.parquet(f"{tmp_path}/rollup")
+    whole = rollup.hours_until(table, now, 100)
+    pairs = [
+        (rollup.counters(whole), telemetry.counters(events)), (rollup.unique_visitors(whole), telemetry.unique_visitors(events)),
+        (rollup.funnel(whole), telemetry.funnel(events)), (rollup.failure_ranking(whole), telemetry.failure_ranking(events)),
+        (rollup.hourly_buckets(table, now), telemetry.hourly_buckets(events, now)),
+    ]
+    for quick, direct in pairs:
+        assert sorted(map(tuple, quick.select(*direct.columns).collect())) == sorted(map(tuple, direct.collect()))
+        assert quick.inputFiles() and all("/rollup/" in f for f in quick.inputFiles())
