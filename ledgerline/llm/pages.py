@@ -12,6 +12,9 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -47,10 +50,8 @@ _CLASS_OF = {w: i for i, (_, ws) in enumerate(NAMES.items()) for w in ws.split()
 BLOCK_TAGS = ["p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "div", "td", "span", "blockquote", "pre", "dd", "dt", "other"]
 
 _HIDDEN = "|".join(t for t in HIDDEN if t not in ("head", "object"))
-_TAG = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({_HIDDEN})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
-    re.S | re.I,
-)
+_OPENS = re.compile(rf"<(?:(!--)|({_HIDDEN})\b|(/?)([A-Za-z][^\s/>]*+)|([!?]))", re.I)
+_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _HIDDEN.split("|")}
 _ATTRIBUTES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BREAK = set(REGIONS) | {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "dt", "dd", "address", "html", "body", "head", "hr", "tbody", "thead", "fieldset", "details", "summary", "figcaption", "legend", "option"}
@@ -80,37 +81,128 @@ def _marks(tag: str, attributes: str) -> tuple[int, int]:
     return region, names
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of everything that is markup, in page order; no tag for what is left out whole.
+
+    Comments and hidden elements reach to their end or that of the page. A tag ends at the
+    first > outside quotes; one that has none is text. Quotes, ends and names that led nowhere
+    are not followed a second time, so the work grows with the page, whatever it holds.
+    """
+    marks = [(m.start(), m[0]) for m in re.finditer("[>\"']", page)]
+    places = [p for p, _ in marks]
+    partner: list[int] = [0] * len(marks)
+    later = {">": -1, '"': -1, "'": -1}
+    for i in range(len(marks) - 1, -1, -1):
+        partner[i] = later[marks[i][1]]
+        later[marks[i][1]] = i
+    last, dead = page.rfind(">"), set()
+
+    def tag_end(at: int) -> int:
+        i, passed = bisect_left(places, at), []
+        while 0 <= i < len(marks) and i not in dead:
+            if marks[i][1] == ">":
+                return places[i]
+            passed.append(i)
+            i = partner[i] + 1 if partner[i] >= 0 else -1
+        dead.update(passed)
+        return -1
+
+    at = page.find("<")
+    while at >= 0:
+        m = _OPENS.match(page, at)
+        end, slash, tag, attributes = 0, "", "", ""
+        if m is None:
+            pass
+        elif m[1]:
+            close = page.find("-->", m.end())
+            end = close + 3 if close >= 0 else len(page)
+        elif m.end() > last:
+            pass
+        elif m[2] or m[5]:
+            end = page.find(">", m.end()) + 1
+            if m[2] and not page.endswith("/", m.end(), end - 1):
+                close = _ENDS[m[2].lower()].search(page, end)
+                end = close.end() if close else len(page)
+        else:
+            close = tag_end(m.end())
+            if close >= 0:
+                end, slash, tag, attributes = close + 1, m[3], m[4].lower(), page[m.end() : close]
+        if end:
+            yield at, end, slash, tag, attributes
+        # Every < inside a name that led nowhere would lead there as well.
+        at = page.find("<", end or (m.end() if m else at + 1))
+
+
+class _Open:
+    """Elements that are open: (tag, regions, names) from the page inwards, found again without a search."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = [("", 0, 0)]
+        self.blocks = [0]  # places of those that are not inline
+        self.inline = [Counter()]  # open inline tags inside each of these
+        self.tags: Counter = Counter()  # open other tags
+
+    def push(self, tag: str, region: int, names: int):
+        _, regions, around = self.stack[-1]
+        if tag in INLINE:
+            self.inline[-1][tag] += 1
+        else:
+            self.blocks.append(len(self.stack)), self.inline.append(Counter())
+            self.tags[tag] += 1
+        self.stack.append((tag, regions | region, around | names))
+
+    def cut(self, place: int):
+        while len(self.stack) > place:
+            tag = self.stack.pop()[0]
+            if tag in INLINE:
+                self.inline[-1][tag] -= 1
+            else:
+                self.blocks.pop(), self.inline.pop()
+                self.tags[tag] -= 1
+
+    def end(self, tag: str):
+        """An end tag; an inline one does not close the blocks it is in."""
+        if tag in INLINE:
+            if self.inline[-1][tag]:
+                self.cut(next(i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag))
+        elif self.tags[tag]:
+            self.cut(next(i for i in reversed(self.blocks) if self.stack[i][0] == tag))
+
+    def block(self) -> tuple[str, int, int]:
+        return self.stack[self.blocks[-1]]
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order: references decoded, white space one space, trimmed, empty ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    open_ = _Open()
     pieces: list[str] = []
-    place = stack[0]
+    place = open_.stack[0]
     linked = anchors = at = 0
+    blank = True
 
     def close():
-        nonlocal linked
+        nonlocal linked, blank
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
                 out.append(Block(text, place[0], place[1], place[2], linked))
             pieces.clear()
-        linked = 0
+        linked, blank = 0, True
 
     def add(text: str):
-        nonlocal place, linked
+        nonlocal place, linked, blank
         if text:
-            if not pieces or not "".join(pieces).strip():
-                place = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
-                place = (place[0], stack[-1][1], stack[-1][2])
+            if blank:
+                place = (open_.block()[0], *open_.stack[-1][1:])
+                blank = not text.strip()
             pieces.append(text)
             if anchors:
                 linked += len(text)
 
-    for m in _TAG.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
+    for start, end, slash, tag, attributes in markup(page):
+        add(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "br":
@@ -118,28 +210,20 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             close()
-        if m[2]:
+        if slash:
             if tag == "a":
                 anchors = max(0, anchors - 1)
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            # An inline end tag does not close the blocks it is in.
-            if depth and not (tag in INLINE and any(s[0] not in INLINE for s in stack[depth:])):
-                del stack[depth:]
+            open_.end(tag)
             continue
-        if tag in VOID or m[4].endswith("/") and tag in INLINE:
+        if tag in VOID or attributes.endswith("/") and tag in INLINE:
             continue
         if tag in _CLOSES_P or tag == "li":
             same = {"p"} | ({"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else set())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in same:
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+            if open_.block()[0] in same:
+                open_.cut(open_.blocks[-1])
         if tag == "a":
             anchors += 1
-        region, names = _marks(tag, m[4])
-        stack.append((tag, stack[-1][1] | region, stack[-1][2] | names))
+        open_.push(tag, *_marks(tag, attributes))
     add(page[at:])
     close()
     return out
