@@ -31,6 +31,12 @@ ALLOWED = [
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+([/_-]+[A-Za-z]*[0-9]{0,4})*$",
 ]
+# The same without a second try at what was read: long strings are then matched in a loop.
+POSSESSIVE = {ALLOWED[3]: r"^[A-Za-z]++(?:[/_-]++[A-Za-z]*+[0-9]{0,4}+)*+$"}
+# The characters of candidates.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+# Matches whose places are summed in one go.
+CHUNK = 128
 REDACTED = "[REDACTED]"
 
 
@@ -41,7 +47,9 @@ def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -
     """
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = value if least is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("found"))
+
+    def state(at: Column) -> Column:
+        return F.struct(at.cast("int").alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("found"))
 
     def step(s: Column, x: Column) -> Column:
         start = s["at"] + F.length(x["gap"])
@@ -50,40 +58,67 @@ def _spans(text: Column, pattern: str, kind: int, least: Column | None = None) -
         kept = F.array(one) if least is None else F.filter(F.array(one), lambda _: F.length(x["group"]) >= least)
         return F.struct(end.cast("int").alias("at"), F.concat(s["found"], kept).alias("found"))
 
+    def numbered(m: Column) -> Column:
+        # Chunks, as an array that grows by one is copied each time.
+        def chunk(k: Column) -> Column:
+            return F.slice(m, k * CHUNK + 1, F.lit(CHUNK))
+
+        chunks = F.when(F.size(m) > 0, F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        lengths = F.transform(chunks, lambda k: F.aggregate(chunk(k), F.lit(0), lambda n, x: n + F.length(x["gap"]) + F.length(x["value"])))
+        begun = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(lengths, begun, lambda b, n: F.struct((b["at"] + n).alias("at"), F.concat(b["starts"], F.array(b["at"])).alias("starts")), lambda b: b["starts"])
+        placed = F.arrays_zip(chunks.alias("k"), starts.alias("start"))
+        return F.flatten(F.transform(placed, lambda c: F.aggregate(chunk(c["k"]), state(c["start"]), step, lambda s: s["found"])))
+
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(value))
-    matches = F.arrays_zip(gaps.alias("gap"), value.alias("value"), group.alias("group"))
-    return F.aggregate(matches, state, step, lambda s: s["found"])
+    return _bound(F.arrays_zip(gaps.alias("gap"), value.alias("value"), group.alias("group")), numbered)
+
+
+def _bound(value: Column, use) -> Column:
+    """An expression of a value that it uses several times, computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _hot_windows(value: Column) -> Column:
-    """(first, last) start of a window above the bound of the string's class; nulls if there is none."""
+    """(first, last) start of a window above the bound of the string's class; nulls if there is none.
+
+    The counts of the window's characters are kept in an array, which the character
+    that leaves and the one that enters change at each move.
+    """
     bound = F.lit(None).cast("double")
     for pattern, bits in reversed(CLASSES):
         bound = F.when(value.rlike(pattern), F.lit(bits)).otherwise(bound)
 
-    def count(part: Column, char: Column) -> Column:
-        return (F.length(part) - F.length(F.replace(part, char, F.lit("")))).cast("double")
-
     def weight(n: Column) -> Column:
-        return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
+        return F.when(n > 0, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+
+    def seen(counts: Column, s: Column, at: Column, first: Column, last: Column, least: Column) -> Column:
+        hot = F.round(F.lit(math.log2(WINDOW)) - s / WINDOW, 9) >= least
+        return F.struct(
+            counts.alias("counts"), s.alias("s"), (at + 1).alias("at"), F.when(hot, F.coalesce(first, at)).otherwise(first).alias("first"), F.when(hot, at).otherwise(last).alias("last"), least.alias("least")
+        )
 
-    window = F.substring(value, 1, WINDOW)
-    start = F.aggregate(F.array_distinct(F.split(window, "")), F.lit(0.0), lambda s, c: s + F.when(F.length(c) > 0, weight(count(window, c))).otherwise(F.lit(0.0)))
+    def scan(chars: Column) -> Column:
+        window = F.slice(chars, F.lit(1), F.lit(WINDOW))
+        counts = F.transform(F.array(*[F.lit(i) for i in range(1, len(ALPHABET) + 1)]), lambda c: F.size(F.filter(window, lambda x: x == c)))
+        start = F.aggregate(counts, F.lit(0.0), lambda s, n: s + weight(n))
+        many = F.greatest(F.size(chars) - WINDOW, F.lit(0))
+        moves = F.arrays_zip(F.slice(chars, F.lit(1), many).alias("leaves"), F.slice(chars, F.lit(WINDOW + 1), many).alias("enters"))
 
-    def seen(s: Column, first: Column, last: Column, i: Column) -> Column:
-        hot = F.round(F.lit(math.log2(WINDOW)) - s / WINDOW, 9) >= bound
-        return F.struct(s.alias("s"), F.when(hot, F.coalesce(first, i)).otherwise(first).alias("first"), F.when(hot, i).otherwise(last).alias("last"))
+        def step(state: Column, move: Column) -> Column:
+            leaves, enters = move["leaves"], move["enters"]
+            n = F.get(state["counts"], leaves - 1)
+            m = F.get(state["counts"], enters - 1) - F.when(leaves == enters, 1).otherwise(0)
+            s = state["s"] + weight(n - 1) - weight(n) + weight(m + 1) - weight(m)
+            moved = F.transform(state["counts"], lambda x, k: x - F.when(k + 1 == leaves, 1).otherwise(0) + F.when(k + 1 == enters, 1).otherwise(0))
+            return F.when(leaves == enters, seen(state["counts"], state["s"], state["at"], state["first"], state["last"], state["least"])).otherwise(
+                seen(moved, s, state["at"], state["first"], state["last"], state["least"])
+            )
 
-    def step(state: Column, i: Column) -> Column:
-        # The window moves from i - 1 to i: its first character leaves, the one after its end enters.
-        kept = value.substr(i + 1, F.lit(WINDOW - 1))
-        leaves, enters = value.substr(i, F.lit(1)), value.substr(i + WINDOW, F.lit(1))
-        n, m = count(kept, leaves), count(kept, enters)
-        return seen(state["s"] + weight(n) - weight(n + 1) + weight(m + 1) - weight(m), state["first"], state["last"], i)
+        none = F.lit(None).cast("int")
+        return F.aggregate(moves, seen(counts, start, F.lit(0), none, none, bound), step)
 
-    none = F.lit(None).cast("int")
-    moves = F.when(F.length(value) > WINDOW, F.sequence(F.lit(1), F.length(value) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(moves, seen(start, none, none, F.lit(0)), step)
+    return _bound(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c)), scan)
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -93,7 +128,7 @@ def _entropy_spans(text: Column) -> Column:
     def _any(value: Column) -> Column:
         out = allowed
         for pattern in ALLOWED:
-            out = out | value.rlike(pattern)
+            out = out | value.rlike(POSSESSIVE.get(pattern, pattern))
         return out
 
     strings = F.filter(_spans(text, CANDIDATE, 3), usable)
