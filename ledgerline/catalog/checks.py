@@ -91,7 +91,19 @@ _single("q04_amount_parse", "amount-parse")
 _single("q05_debit_credit", "debit-credit")
 _single("q06_balance_continuity", "balance-continuity")
 _single("q09_descriptions", "descriptions")
-_single("q12_offender_listing", "amount-parse")
+
+
+def _offenders(kind: str, cond: str) -> str:
+    return f"SELECT file_id, '{kind}' AS kind, {_n(cond)} AS offenders, coalesce({_lines(cond, _n(cond))}, '') AS listing FROM fx GROUP BY file_id"
+
+
+@query("q12_offender_listing", FX + " UNION ALL ".join([_offenders("bad_date", _BADD), _offenders("bad_amount", _BADA), _offenders("blank_description", _BLANK)]))
+def offenders(spark, sf):
+    """The listing itself, of files with many offenders, with few and with none."""
+    facts = quality.row_facts(corrupt_cells(spark, sf), mapping(spark, sf))
+    kinds = ("bad_date", "bad_amount", "blank_description")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"n_{k}").alias("offenders"), quality.listed(F.col(f"r_{k}"), F.col(f"n_{k}")).alias("listing")) for k in kinds]))
+    return facts.select("file_id", each.alias("x")).select("file_id", "x.kind", "x.offenders", "x.listing")
 
 
 @query("q13_report", _CHECKS + "SELECT file_id, count(*) FILTER (status = 'fail') AS failures, count(*) FILTER (status = 'warn') AS warnings, (count(*) FILTER (status = 'fail') = 0) AS ready FROM fin GROUP BY file_id")

@@ -139,3 +139,18 @@ fit AS (
 ident AS (
   SELECT *, CASE WHEN nth = 1 THEN base_id ELSE base_id || '-' || nth END AS fit_id FROM fit)
 """
+
+# The cells of every row as the locales write them.
+CELLS = FX + """, money AS (
+  SELECT *, format('{:,}', abs(minor) // 100) || '.' || lpad(CAST(abs(minor) % 100 AS VARCHAR), 2, '0') AS m,
+         format('{:,}', abs(balance_minor) // 100) || '.' || lpad(CAST(abs(balance_minor) % 100 AS VARCHAR), 2, '0') AS r,
+         CASE WHEN minor < 0 THEN '-' ELSE '' END AS ms, CASE WHEN balance_minor < 0 THEN '-' ELSE '' END AS rs FROM fx),
+drawn AS (
+  SELECT *, CASE locale
+    WHEN 0 THEN [strftime(d, '%-m/%-d/%Y'), description, ms || m, rs || r, memo_cell, reference]
+    WHEN 1 THEN [strftime(d, '%d/%m/%Y'), description, CASE WHEN minor < 0 THEN translate(m, ',.', '.,') ELSE '' END,
+                 CASE WHEN minor < 0 THEN '' ELSE translate(m, ',.', '.,') END, rs || translate(r, ',.', '.,'), memo_cell, reference]
+    WHEN 2 THEN [strftime(d, '%-m/%-d/%Y'), description, CASE WHEN minor < 0 THEN '($' || m || ')' ELSE '$' || m END, rs || r, memo_cell, reference]
+    ELSE [strftime(d + to_seconds(k % 86400), '%Y-%m-%d %H:%M:%S'), description, replace(m, ',', ''), CASE WHEN minor < 0 THEN 'DR' ELSE 'CR' END, rs || replace(r, ',', ''), memo_cell, reference]
+  END AS cells FROM money)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline import rules
-from ledgerline.catalog.common import FX, cells, headers, long, mapping, query
+from ledgerline.catalog.common import CELLS, FX, cells, headers, long, mapping, query
 from ledgerline.functions.text import header_key, layout_key
 from ledgerline.operators import banks, columns, formats, layout
 from ledgerline.sources.tables import table
@@ -21,7 +21,7 @@ _VALUES = ", ".join(f"({loc}, {i}, '{h}', '{r}', {c})" for loc, cols in enumerat
 ACCTS = f"""
 WITH acct AS (SELECT DISTINCT o_custkey // 40 AS account, lpad(CAST(o_custkey // 40 AS VARCHAR), 9, '0') AS file_id, (o_custkey // 40) % 4 AS locale FROM orders),
 m(locale, col_index, header, role, confidence) AS (VALUES {_VALUES}),
-mp AS (SELECT file_id, account, locale, CAST(col_index AS BIGINT) AS col_index, header, role, CAST(confidence AS DOUBLE) AS confidence FROM acct JOIN m USING (locale))
+mp AS (SELECT file_id, account, locale, CAST(col_index AS BIGINT) AS col_index, header, role, CAST(confidence AS DOUBLE) AS confidence, locale FROM acct JOIN m USING (locale))
 """
 
 
@@ -51,16 +51,26 @@ def header_roles(spark, sf):
     return _wide(columns.with_header_role(columns.explode_headers(headers(spark, sf)))).select("file_id", "col_index", "header_role", "header_confidence")
 
 
-@query("c02_content_roles", FX + """, s AS (SELECT * FROM fx)
-SELECT file_id, CAST(0 AS BIGINT) AS col_index, 'date' AS content_role, 0.8 AS content_confidence FROM s GROUP BY file_id UNION ALL
-SELECT file_id, 1, 'description', 0.5 FROM s GROUP BY file_id UNION ALL
-SELECT file_id, 2, 'amount', 0.5 FROM s WHERE locale = 0 GROUP BY file_id UNION ALL
-SELECT file_id, 2, 'amount', 0.5 FROM s WHERE locale = 3 GROUP BY file_id""")
+# What every cell is by its typed source: D date, N number, T text of three characters or more, S shorter text, '' blank.
+KINDS = FX + """, kind AS (
+  SELECT file_id, CASE WHEN description = '' THEN '' WHEN length(description) < 3 THEN 'S' ELSE 'T' END AS ds, CASE WHEN memo_cell = '' THEN '' WHEN length(memo_cell) < 3 THEN 'S' ELSE 'T' END AS me,
+         CASE WHEN reference = '' THEN '' WHEN length(reference) < 3 THEN 'S' ELSE 'T' END AS re, minor, locale FROM fx),
+cell_kind AS (
+  SELECT file_id, unnest(ks) AS kind, generate_subscripts(ks, 1) - 1 AS col_index FROM (
+    SELECT file_id, CASE locale WHEN 1 THEN ['D', ds, CASE WHEN minor < 0 THEN 'N' ELSE '' END, CASE WHEN minor < 0 THEN '' ELSE 'N' END, 'N', me, re]
+                                WHEN 3 THEN ['D', ds, 'N', 'S', 'N', me, re] ELSE ['D', ds, 'N', 'N', me, re] END AS ks FROM kind)),
+ratio AS (
+  SELECT file_id, CAST(col_index AS BIGINT) AS col_index, count(*) FILTER (kind <> '') AS filled, count(*) FILTER (kind = 'D') / count(*) FILTER (kind <> '') AS date,
+         count(*) FILTER (kind = 'N') / count(*) FILTER (kind <> '') AS number, count(*) FILTER (kind IN ('T', 'D')) / count(*) FILTER (kind <> '') AS txt FROM cell_kind GROUP BY ALL)
+"""
+
+
+@query("c02_content_roles", KINDS + """
+SELECT file_id, col_index, CASE WHEN date >= 0.8 THEN 'date' WHEN number >= 0.9 THEN 'amount' WHEN txt >= 0.7 THEN 'description' END AS content_role,
+       round(CASE WHEN date >= 0.8 THEN date * 0.8 WHEN number >= 0.9 THEN number * 0.5 WHEN txt >= 0.7 THEN txt * 0.5 END, 6) AS content_confidence FROM ratio""")
 def content_roles(spark, sf):
     profiled = columns.with_content_role(columns.profile_content(columns.column_samples(cells(spark, sf), None)))
-    locale = headers(spark, sf).select("file_id", "locale")
-    kept = (F.col("col_index") < 2) | ((F.col("col_index") == 2) & F.col("locale").isin(0, 3))
-    return _wide(profiled.join(locale, "file_id").filter(kept)).select("file_id", "col_index", "content_role", F.round("content_confidence", 6).alias("content_confidence"))
+    return _wide(profiled).select("file_id", "col_index", "content_role", F.round("content_confidence", 6).alias("content_confidence"))
 
 
 @query("c03_combined_roles", ACCTS + """
@@ -136,13 +146,15 @@ def convention(spark, sf):
     return columns.roles_by_file(mapping(spark, sf)).select("file_id", columns.amount_convention().alias("convention"))
 
 
-@query("c10_mapping_view", ACCTS + "," + FX.replace("WITH base", " base") + """,
-s AS (SELECT file_id, first(description ORDER BY source_row) FILTER (description <> '') AS sample FROM fx GROUP BY file_id)
-SELECT file_id, coalesce(sample, '—') AS sample, true AS has_date, true AS has_description, true AS has_amount, CASE locale WHEN 1 THEN 'debit / credit pair' ELSE 'signed amount' END AS convention_label
-FROM acct JOIN s USING (file_id)""")
+@query("c10_mapping_view", ACCTS + "," + CELLS.replace("WITH base", " base") + """,
+one AS (SELECT file_id, source_row, unnest(cells) AS value, generate_subscripts(cells, 1) - 1 AS col_index FROM drawn),
+s AS (SELECT file_id, col_index, min_by(value, source_row) AS sample FROM one WHERE value <> '' GROUP BY ALL)
+SELECT mp.file_id, mp.col_index, mp.header, mp.role, coalesce(sample, '—') AS sample, true AS has_date, true AS has_description, true AS has_amount,
+       CASE locale WHEN 1 THEN 'debit / credit pair' ELSE 'signed amount' END AS convention_label
+FROM mp LEFT JOIN s ON s.file_id = mp.file_id AND s.col_index = mp.col_index""")
 def mapping_view(spark, sf):
-    view = columns.mapping_view(cells(spark, sf), mapping(spark, sf)).filter(F.col("role") == "description")
-    return view.select("file_id", "sample", "has_date", "has_description", "has_amount", "convention_label")
+    view = columns.mapping_view(cells(spark, sf), mapping(spark, sf))
+    return _wide(view).select("file_id", "col_index", "header", "role", "sample", "has_date", "has_description", "has_amount", "convention_label")
 
 
 @query("c11_column_issues", ACCTS + """

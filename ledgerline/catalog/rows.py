@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline import rules
-from ledgerline.catalog.common import FX, cells, corrupt_cells, headers, long, mapping, meta, normalised, profile, query, transactions
+from ledgerline.catalog.common import CELLS, FX, cells, corrupt_cells, files, headers, long, mapping, meta, normalised, profile, query, transactions
 from ledgerline.functions import classify, dates, money, text
 from ledgerline.functions.staged import parse
 from ledgerline.operators import identity, normalize, skew, statements
 from ledgerline.operators.columns import cell, date_index, role_cell, roles_by_file
 from ledgerline.operators.formats import currency_conflicts, date_samples
-from ledgerline.plans.convert import convert_rows, to_documents
+from ledgerline.plans.convert import convert_rows, inspect_files, to_documents
 from ledgerline.sources.fixtures import cents
 from ledgerline.sources.tables import spread, table
 
@@ -283,11 +283,16 @@ def uids(spark, sf):
 _HEADS = "CASE locale WHEN 0 THEN 'Date|Description|Amount|Balance|Memo|Reference' WHEN 1 THEN 'Date|Description|Debit|Credit|Balance|Memo|Reference' WHEN 2 THEN 'Posting Date|Particulars|Amount|Running Bal.|Notes|Ref' ELSE 'Transaction Date|Details|Value|Type|Balance|Memo|Reference' END"
 
 
-@query("i04_source_digest", FX + f"""
-SELECT file_id, sha1((count(*) * 10) || ':' || replace({_HEADS}, '|', chr(31)) || ':' || count(*)) AS digest FROM fx GROUP BY file_id, locale""")
+@query("i04_source_digest", CELLS + f""", wrote AS (
+  SELECT *, file_id || '-' || (source_row // 2000) AS file, {_HEADS} AS heads, ([',', ';', '|', chr(9)])[locale + 1] AS sep FROM drawn),
+lines AS (SELECT *, list_reduce(list_transform(cells, lambda c: CASE WHEN contains(c, sep) OR contains(c, chr(34)) OR contains(c, chr(10)) THEN chr(34) || replace(c, chr(34), chr(34) || chr(34)) || chr(34) ELSE c END), lambda a, b: a || sep || b) AS line FROM wrote),
+txt AS (
+  SELECT file, file_id, locale, heads, count(*) AS n, CASE WHEN account % 3 = 0 THEN 'Account Statement' || chr(13) || chr(10) || 'Account: ' || file_id || chr(13) || chr(10) || chr(13) || chr(10) ELSE '' END ||
+         replace(heads, '|', sep) || chr(13) || chr(10) || array_to_string(list(line), chr(13) || chr(10)) || chr(13) || chr(10) || 'End of statement' || chr(13) || chr(10) AS t
+  FROM lines GROUP BY file, file_id, account, locale, heads, sep)
+SELECT file AS file_id, sha1((CASE locale WHEN 0 THEN 3 + strlen(t) WHEN 1 THEN 2 + 2 * length(t) WHEN 2 THEN length(t) ELSE strlen(t) END) || ':' || replace(heads, '|', chr(31)) || ':' || n) AS digest FROM txt""")
 def digests(spark, sf):
-    counts = cells(spark, sf).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"))
-    return headers(spark, sf).join(counts, "file_id").select("file_id", identity.source_digest(F.col("n") * 10, F.col("headers"), F.col("n")).alias("digest"))
+    return inspect_files(files(spark, sf)).files.select("file_id", F.col("source_digest").alias("digest"))
 
 
 # --- statements ------------------------------------------------------------------

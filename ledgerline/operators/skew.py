@@ -64,11 +64,18 @@ def occurrence_number(df: DataFrame, keys: list[str], position: str, out: str, s
     """1-based count of a row among the rows of its group, in ``position`` order.
 
     ``position`` is dense within the file, so slices of it are of bounded size
-    even when every row of a huge file shares one key.
+    even when every row of a huge file shares one key. The keys stand in one
+    struct, which compares null-safe by itself: numbering, totals and join then
+    share one partitioning. Only what begins in an earlier slice is joined, so the
+    join is empty, and left out, while no group is longer than a slice.
     """
-    sliced = df.withColumn("__slice", F.floor(F.col(position) / slice_rows))
-    numbered = number_rows(sliced, keys, "__slice", [position], out)
-    return numbered.withColumn(out, F.col(out) + 1).drop("__slice")
+    sliced = df.withColumns({"__key": F.struct(*keys), "__slice": F.floor(F.col(position) / slice_rows)})
+    earlier = W.partitionBy("__key").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
+    totals = sliced.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    carried = totals.withColumn("__before", F.sum("__n").over(earlier)).filter("__before > 0").drop("__n")
+    numbered = sliced.withColumn("__rn", F.row_number().over(W.partitionBy("__key", "__slice").orderBy(position)))
+    joined = numbered.join(carried, ["__key", "__slice"], "left")
+    return joined.select(*df.columns, (F.col("__rn") + F.coalesce("__before", F.lit(0))).cast("bigint").alias(out))
 
 
 def with_previous(

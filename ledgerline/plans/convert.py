@@ -15,7 +15,7 @@ from ledgerline import rules
 from ledgerline.operators import layout as lay
 from ledgerline.operators.columns import apply_overrides, apply_preset, layout_headers, map_columns
 from ledgerline.operators.formats import amount_samples, profile_formats, sample_collisions
-from ledgerline.operators.identity import with_fit_ids
+from ledgerline.operators.identity import source_digest, with_fit_ids
 from ledgerline.operators.normalize import accepted, account_meta, currency_issues, empty_file_issues, file_outcomes, normalise, reject_issues
 from ledgerline.operators.statements import documents, statements
 from ledgerline.session import staged
@@ -43,6 +43,7 @@ def inspect_files(
 ) -> Inspection:
     """Profile every file of a landing zone.
 
+    The files of the result carry their ``source_digest``, from the length as scanned, the headers and the rows.
     ``presets`` ``(file_id, bank_slug)`` lays declared bank layouts over the
     inferred roles, ``overrides`` ``(file_id, col_index, role)`` sets roles by
     hand; formats and sign convention are then derived from the resulting roles.
@@ -109,6 +110,7 @@ def _inspect(judged: DataFrame, heads: DataFrame, rows: DataFrame, presets: Data
     listing = judged.select("file_id", "file_name", "length", "kind", "format").join(
         heads.drop("file_name", "length", "kind", "format", "reject_code", "reject_message"), "file_id", "left"
     )
+    listing = listing.withColumn("source_digest", F.when(F.col("row_count").isNotNull(), source_digest(F.col("length"), F.col("headers"), F.col("row_count"))))
     return Inspection(listing, rows, mapping, profile, issues)
 
 

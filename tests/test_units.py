@@ -53,6 +53,24 @@ def test_occurrences_in_small_slices(spark):
         assert got[i] == seen[b]
 
 
+def test_occurrences_of_missing_keys(spark):
+    rows = [("f", i, None if i % 3 else "a") for i in range(60)] + [(None, i, None) for i in range(20)]
+    df = spark.createDataFrame(rows, "file_id string, source_row bigint, base string")
+    got = sorted((r.file_id or "", r.base or "", r.source_row, r.nth) for r in skew.occurrence_number(df, ["file_id", "base"], "source_row", "nth", slice_rows=7).collect())
+    seen, want = {}, []
+    for f, i, b in rows:
+        seen[f, b] = seen.get((f, b), 0) + 1
+        want.append((f or "", b or "", i, seen[f, b]))
+    assert got == sorted(want)
+
+
+def test_ids_need_two_scans_and_four_exchanges(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(1000).selectExpr("'f' AS file_id", "id AS source_row", "CAST(id % 9 AS string) AS base").write.parquet(path)
+    plan = skew.occurrence_number(spark.read.parquet(path), ["file_id", "base"], "source_row", "nth")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 2 and plan.count("Exchange hashpartitioning") <= 4
+
+
 def test_previous_in_small_slices(spark):
     df = spark.createDataFrame([("f", i, i * i) for i in range(100)], "file_id string, source_row bigint, x bigint")
     got = {r.source_row: r.prev for r in skew.with_previous(df, ["file_id"], "source_row", {"prev": "x"}, slice_rows=7).collect()}
