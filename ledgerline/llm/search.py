@@ -1,11 +1,13 @@
-"""Exact BM25 top-k: inverted index per shard, blocks by descending bound, exact merge.
+"""Exact BM25 top-k: inverted index per shard, block-max WAND, exact merge.
 
 The words of all texts are counted once for what scores need of the whole
 corpus: documents, words, documents a query word is in. Shards of a bounded
 number of documents then hold an inverted index of the query words, with the
-largest score of each word in each block of documents. Blocks whose largest
-scores do not add up to the current k-th best are skipped, others are scored
-exactly; the shards' best are merged by the same order.
+largest score of each word in each block of documents. A query has a cursor a
+word. Cursors are kept by the block they stand at; the first at which the words'
+largest scores add up to the k-th best so far is the pivot. Cursors behind it
+jump there, and the block is scored only if the largest scores its words have in
+it reach that score as well. The shards' best are merged by the same order.
 """
 
 from __future__ import annotations
@@ -91,42 +93,77 @@ def _search_block(spark, texts: DataFrame, asked: list[tuple[int, list[bytes]]],
     return ranked.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
+class _Index:
+    """Postings of one shard by word, with the largest score of every word in every block of documents.
+
+    An entry is what one word has in one block: its block, its largest score and
+    its postings. Entries of a word stand in document order.
+    """
+
+    def __init__(self, table: pa.Table, weight: np.ndarray, mean: float) -> None:
+        self.ids = np.array([np.iinfo(np.int64).max if d is None else d for d in table.column("doc_id").to_pylist()])
+        terms = table.column("terms").combine_chunks()
+        doc = np.repeat(np.arange(len(self.ids)), pc.list_value_length(terms).to_numpy())
+        term, count = terms.flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+        length = table.column("length").to_numpy()[doc]
+        score = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
+        order = np.lexsort((doc, term))
+        term, self.doc, self.score = term[order], doc[order], score[order]
+        block = self.doc // BLOCK_DOCS
+        starts = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.zeros(0, int)
+        self.start = np.append(starts, len(term))
+        self.block = block[starts]
+        self.peak = np.maximum.reduceat(self.score, starts) if len(term) else np.zeros(0)
+        self.first = np.searchsorted(term[starts], np.arange(len(weight) + 1))
+        self.scored = 0
+
+    def best(self, own: list[int], top: int) -> list[tuple[float, int, int]]:
+        """The best documents for the words: (-score, id, place), ascending."""
+        own = [t for t in own if self.first[t] < self.first[t + 1]]
+        if not own:
+            return []
+        low, high = self.first[own], self.first[np.array(own) + 1]
+        whole = np.array([self.peak[i:j].max() for i, j in zip(low, high)])
+        blocks = [self.block[i:j] for i, j in zip(low, high)]
+        at, over = low.copy(), np.iinfo(np.int64).max
+        stands = self.block[at]
+        best: list[tuple[float, int, int]] = []
+        while True:
+            # What cannot reach the k-th best, rounding included, is passed by.
+            bar = -best[-1][0] - 2 * 10.0**-DECIMALS if len(best) == top else 0.0
+            order = np.argsort(stands, kind="stable")
+            reach = np.cumsum(whole[order]) >= bar
+            pivot = int(np.argmax(reach))
+            if not reach[pivot] or stands[order[pivot]] == over:
+                return best
+            b = stands[order[pivot]]
+            behind = np.flatnonzero(stands < b)
+            for i in behind:
+                at[i] = low[i] + np.searchsorted(blocks[i], b)
+                stands[i] = self.block[at[i]] if at[i] < high[i] else over
+            here = np.flatnonzero(stands == b)
+            if self.peak[at[here]].sum() >= bar:
+                best = self._score(int(b), at[here], best, top)
+            at[here] += 1
+            for i in here:
+                stands[i] = self.block[at[i]] if at[i] < high[i] else over
+
+    def _score(self, b: int, entries: np.ndarray, best: list, top: int) -> list[tuple[float, int, int]]:
+        """`best` with the documents of one block."""
+        self.scored += 1
+        sums = np.zeros(BLOCK_DOCS)
+        for e in entries:
+            held = slice(self.start[e], self.start[e + 1])
+            sums[self.doc[held] - b * BLOCK_DOCS] += self.score[held]
+        sums = np.round(sums, DECIMALS)
+        found = [(-sums[k], int(self.ids[b * BLOCK_DOCS + k]), int(b * BLOCK_DOCS + k)) for k in np.flatnonzero(sums > 0)]
+        return sorted(best + found)[:top]
+
+
 def _best(table: pa.Table, asked, weight: np.ndarray, mean: float, top: int) -> pa.RecordBatch:
     """The best documents of one shard for each query."""
-    ids = np.array([np.iinfo(np.int64).max if d is None else d for d in table.column("doc_id").to_pylist()])
-    terms = table.column("terms").combine_chunks()
-    sizes = pc.list_value_length(terms).to_numpy()
-    doc = np.repeat(np.arange(len(ids)), sizes)
-    term, count = terms.flatten().to_numpy(), table.column("counts").combine_chunks().flatten().to_numpy().astype(float)
-    length = table.column("length").to_numpy()[doc]
-    score = weight[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean))
-    order = np.lexsort((doc, term))
-    term, doc, score = term[order], doc[order], score[order]
-    first = np.searchsorted(term, np.arange(len(weight) + 1))
-    n_blocks = -(-len(ids) // BLOCK_DOCS)
-    out: list[tuple[int, int | None, float]] = []
-    for query, own in asked:
-        lists = [(doc[first[t] : first[t + 1]], score[first[t] : first[t + 1]]) for t in own]
-        lists = [x for x in lists if len(x[0])]
-        bound = np.zeros(n_blocks)
-        for docs_, scores in lists:
-            block = docs_ // BLOCK_DOCS
-            starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            bound[block[starts]] += np.maximum.reduceat(scores, starts)
-        best: list[tuple[float, int, int]] = []  # (-score, id, place), ascending
-        # The most promising blocks raise the bar first; the bar then ends the search.
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == top and bound[b] < -best[-1][0] - 2 * 10.0**-DECIMALS:
-                break
-            sums = np.zeros(BLOCK_DOCS)
-            for docs_, scores in lists:
-                low, high = np.searchsorted(docs_, (b * BLOCK_DOCS, (b + 1) * BLOCK_DOCS))
-                sums[docs_[low:high] - b * BLOCK_DOCS] += scores[low:high]
-            sums = np.round(sums, DECIMALS)
-            for k in np.flatnonzero(sums > 0):
-                best.append((-sums[k], int(ids[b * BLOCK_DOCS + k]), int(b * BLOCK_DOCS + k)))
-            best = sorted(best)[:top]
-        out += [(query, None if i == np.iinfo(np.int64).max else i, -s) for s, i, _ in best]
+    index = _Index(table, weight, mean)
+    out = [(query, None if i == np.iinfo(np.int64).max else i, -s) for query, own in asked for s, i, _ in index.best(own, top)]
     kinds = [pa.int64(), pa.int64(), pa.float64()]
     columns = list(zip(*out)) or [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["query_id", "doc_id", "score"])

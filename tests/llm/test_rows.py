@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from made import prose
 from pyspark.sql import functions as F
@@ -193,6 +194,24 @@ def test_search_is_exact(make_docs, session):
     assert search.search(make_docs([]), queries).count() == 0 and search.search(make_docs(rows), queries.limit(0)).count() == 0
 
 
+def test_blocks_that_cannot_win_are_passed_by():
+    rng = np.random.default_rng(6)
+    n = 64 * 200
+    terms = [sorted({0} | set(rng.choice(np.arange(1, 40), 3).tolist())) for _ in range(n)]
+    # Two rare words stand together in twelve documents only, one in each of the first blocks.
+    for i in range(0, 64 * 12, 64):
+        terms[i] = sorted({*terms[i], 40, 41})
+    table = pa.table({"doc_id": np.arange(n), "length": rng.integers(5, 9, n), "terms": pa.array(terms, pa.list_(pa.int32())), "counts": pa.array([[1] * len(t) for t in terms], pa.list_(pa.int32()))})
+    weight = np.array([0.01] + [1.0] * 39 + [6.0, 6.0])
+    index = search._Index(table, weight, 7.0)
+    own = [0, 3, 40, 41]
+    got = index.best(own, 10)
+    length = table.column("length").to_numpy()
+    plain = sorted((-round(sum(weight[t] * 2.2 / (1 + 1.2 * (0.25 + 0.75 * length[i] / 7.0)) for t in own if t in terms[i]), 6), i) for i in range(n))[:10]
+    assert [(i, round(-s, 5)) for s, i, _ in got] == [(i, round(-s, 5)) for s, i in plain]
+    assert index.scored <= 12
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>if(a<b){"</p>"}</script></head><body><header><a href="/">Site</a></header>
 <nav><ul><li><a href=x>Home</a><li><a>About us</a></ul></nav><div class="cookie-notice">We use cookies &amp; more, accept them all please.</div>%s
 <aside><h3>Related</h3><p>Some other story, long enough to look like prose, is it not, yes it is.</p></aside><section id="comments"><h2>Comments</h2>
