@@ -8,7 +8,7 @@ from ledgerline.catalog.common import FX, cells, corrupt_cells, headers, long, m
 from ledgerline.operators import quality
 from ledgerline.operators.issues import fold_issues
 from ledgerline.operators.normalize import normalise, reject_issues
-from ledgerline.operators.skew import number_rows
+from ledgerline.operators.skew import SLICE_ROWS, number_rows
 from ledgerline.session import staged
 from ledgerline.sources.fixtures import cents
 
@@ -126,7 +126,7 @@ def _by_order_key(spark, sf):
         F.expr("o_custkey div 40").cast("string").alias("file_id"), F.expr("o_orderkey div 50000").alias("slice"), "o_orderkey",
         F.array(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderpriority"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("cells"),
     )
-    return number_rows(rows, ["file_id"], "slice", ["o_orderkey"], "source_row").select("file_id", "source_row", "cells")
+    return number_rows(rows, ["file_id"], "slice", ["o_orderkey"], "source_row", whole_rows=SLICE_ROWS).select("file_id", "source_row", "cells")
 
 
 @query("q03_date_sequence", f"""
@@ -151,7 +151,7 @@ def _fee_cells(spark, sf):
             F.concat(F.lit("0."), F.lpad(cents(F.col("l_tax")).cast("string"), 2, "0")), F.col("l_orderkey").cast("string"),
         ).alias("cells"),
     )
-    numbered = number_rows(rows, ["file_id"], "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "source_row")
+    numbered = number_rows(rows, ["file_id"], "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "source_row", whole_rows=SLICE_ROWS)
     return numbered.select("file_id", "source_row", "cells")
 
 

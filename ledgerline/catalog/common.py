@@ -43,7 +43,10 @@ def _staged_once(app: str, spark: SparkSession, sf_dir: str, what: str) -> DataF
         "profile": lambda: profile_formats(cells(spark, sf_dir), mapping(spark, sf_dir)),
         "normalised": lambda: normalise(cells(spark, sf_dir), profile(spark, sf_dir), meta(spark, sf_dir)),
     }[what]
-    return staged(spread(maker()), what)
+    made = staged(maker(), what)
+    # Asked of the written files: asking the plan itself would run its shuffles once more.
+    even = spread(made)
+    return made if even is made else staged(even, what)
 
 
 def _once(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:

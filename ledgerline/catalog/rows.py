@@ -250,7 +250,7 @@ def _fees(spark, sf):
         minor.alias("amount_minor"), F.col("l_linestatus").alias("name"), "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate",
     )
     day = rows.withColumn("day", F.to_date("l_shipdate"))
-    numbered = skew.number_rows(day, ["file_id"], "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "source_row")
+    numbered = skew.number_rows(day, ["file_id"], "day", ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "source_row", whole_rows=skew.SLICE_ROWS)
     return numbered.select(
         "file_id", F.col("file_id").alias("account_id"), "source_row", "date_posted", F.col("amount_minor").cast(money.MINOR).alias("amount_minor"),
         F.lit(2).alias("scale"), "name", F.lit(None).cast("string").alias("memo"),

@@ -7,8 +7,6 @@ carry one small row per slice across, so no task ever holds a hot group.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SLICE_ROWS = 65_536
@@ -21,41 +19,50 @@ def number_rows(
     order_by: list[str],
     row_column: str,
     running: dict[str, str] | None = None,
+    whole_rows: int = 0,
 ) -> DataFrame:
     """Zero-based position of every row in its group, plus running sums.
 
     ``slice_by`` must be a coarse, non-null prefix of the group's order (a day
     of a timestamp order, say). Rows are numbered inside ``keys + slice_by``;
-    the slices' own totals, one row each, give the offset. ``running`` maps a
-    new column to the integer column whose running sum it holds.
+    the slices' own totals, one row each, give the offset. Groups of up to
+    ``whole_rows`` rows, where the caller's slices would be no shorter than
+    the rows, are one slice. ``running`` maps a new column to the integer column
+    whose running sum it holds.
     """
     running = running or {}
-    part = keys + [slice_by]
-    inner = W.partitionBy(*part).orderBy(*order_by)
-    earlier = W.partitionBy(*keys).orderBy(slice_by).rowsBetween(W.unboundedPreceding, -1)
-
-    totals = df.groupBy(*part).agg(
+    # The keys stand in one struct, which compares null-safe by itself.
+    sliced = df.withColumns({"__key": F.struct(*keys), "__slice": F.col(slice_by)})
+    counted = sliced
+    if whole_rows:
+        sizes = sliced.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+        # At most one group in `whole_rows` rows is longer, hence the broadcasts.
+        long = sizes.filter(F.col("__n") > whole_rows).select("__key", F.lit(True).alias("__long"))
+        counted = sliced.join(F.broadcast(long), "__key", "left_semi")
+        sliced = sliced.join(F.broadcast(long), "__key", "left").withColumn("__slice", F.when(F.col("__long"), F.col("__slice")))
+    totals = counted.groupBy("__key", "__slice").agg(
         F.count(F.lit(1)).alias("__n"),
         *[F.sum(source).alias(f"__t_{name}") for name, source in running.items()],
     )
+    earlier = W.partitionBy("__key").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(
-        *part,
+        "__key", "__slice",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
         *[F.coalesce(F.sum(f"__t_{name}").over(earlier), F.lit(0)).alias(f"__o_{name}") for name in running],
     )
-    local = df.withColumns(
+    inner = W.partitionBy("__key", "__slice").orderBy(slice_by, *order_by)
+    local = sliced.withColumns(
         {"__rn": F.row_number().over(inner) - 1}
         | {
             f"__r_{name}": F.sum(source).over(inner.rowsBetween(W.unboundedPreceding, W.currentRow))
             for name, source in running.items()
         }
     )
-    # Null-safe, so rows with a missing key keep their place in the result.
-    same = [F.col(c).eqNullSafe(F.col(f"__k_{c}")) for c in part]
-    joined = local.join(offsets.withColumnsRenamed({c: f"__k_{c}" for c in part}), reduce(lambda a, b: a & b, same))
+    # Whole groups have no slice and find nothing here.
+    joined = local.join(offsets, ["__key", "__slice"], "left")
     out = joined.withColumns(
-        {row_column: (F.col("__rn") + F.col("__before")).cast("bigint")}
-        | {name: (F.col(f"__r_{name}") + F.col(f"__o_{name}")).cast("bigint") for name in running}
+        {row_column: (F.col("__rn") + F.coalesce("__before", F.lit(0))).cast("bigint")}
+        | {name: (F.col(f"__r_{name}") + F.coalesce(f"__o_{name}", F.lit(0))).cast("bigint") for name in running}
     )
     return out.select(*df.columns, row_column, *running)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline import rules
-from ledgerline.operators.skew import number_rows
+from ledgerline.operators.skew import SLICE_ROWS, number_rows
 from ledgerline.sources.tables import table
 
 CUSTOMERS_PER_ACCOUNT = 40
@@ -57,7 +57,7 @@ def statement_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", -cents(F.col("o_totalprice"))).otherwise(cents(F.col("o_totalprice"))).alias("minor"),
         F.when(stem == "", F.lit("")).otherwise(F.concat_ws(" ", stem, F.col("o_orderpriority"))).alias("description"),
     )
-    rows = number_rows(base, ["account"], "date", ["order_key"], "source_row", {"balance_minor": "minor"})
+    rows = number_rows(base, ["account"], "date", ["order_key"], "source_row", {"balance_minor": "minor"}, SLICE_ROWS)
     key = F.col("order_key")
     return rows.withColumns(
         {
