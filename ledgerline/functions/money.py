@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline import rules
-from ledgerline.functions.staged import Parser, parse
+from ledgerline.functions.staged import Parser, Quick, parse
 from ledgerline.functions.text import BLANKS, strip
 
 MINOR = "decimal(38,0)"
@@ -57,15 +57,17 @@ def minor_units(cell: Column, decimal_separator: Column, group_separator: Column
     """Parser of a money cell into signed minor units.
 
     Blank and unreadable cells are NULL, which is not zero. ``group_separator``
-    may be NULL. Cells of the common shape are read at once; the steps see NULL
-    for them, and for blank ones, and pass it through.
+    may be NULL. Blank cells and those of the common shape are read at once.
     """
 
-    def outer(v):
-        return {"fast": _common_minor(cell, decimal_separator, group_separator, scale)}
+    quick = Quick(
+        [lambda v: {"fast": _common_minor(cell, decimal_separator, group_separator, scale)}],
+        lambda v: v("fast").isNotNull() | (cell == ""),
+        lambda v: {"": v("fast").cast(MINOR)},
+    )
 
-    def rest(v):
-        return {"t": F.when(v("fast").isNull() & (cell != ""), strip(cell))}
+    def outer(v):
+        return {"t": strip(cell)}
 
     def parentheses(v):
         wrapped = F.startswith(v("t"), F.lit("(")) & F.endswith(v("t"), F.lit(")")) & (F.length(v("t")) > 1)
@@ -119,10 +121,9 @@ def minor_units(cell: Column, decimal_separator: Column, group_separator: Column
         return {"mag": F.when(v("ok"), F.when(F.length(text) <= 17, short).otherwise(long))}
 
     def signed(v):
-        slow = F.when(v("neg0") != (v("minus1") != v("minus2")), -v("mag")).otherwise(v("mag"))
-        return {"": F.coalesce(v("fast").cast(MINOR), slow.cast(MINOR))}
+        return {"": F.when(v("neg0") != (v("minus1") != v("minus2")), -v("mag")).otherwise(v("mag")).cast(MINOR)}
 
-    return Parser([outer, rest, parentheses, suffix, leading, trailing, ungroup, decimal_mark, parts, digits], signed)
+    return Parser([outer, parentheses, suffix, leading, trailing, ungroup, decimal_mark, parts, digits], signed, quick)
 
 
 def with_minor_units(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ledgerline import rules
-from ledgerline.functions.dates import with_date_parts
+from ledgerline.functions.dates import day_text, is_day_text
 from ledgerline.functions.money import looks_numeric
 from ledgerline.functions.text import first_match, header_key, layout_key, strip
 
@@ -46,7 +46,7 @@ def with_header_role(df: DataFrame, header: str = "header") -> DataFrame:
 def profile_content(samples: DataFrame) -> DataFrame:
     """Ratios over the non-blank samples of each column."""
     trimmed = samples.withColumn("value", strip(F.col("value")))
-    dated = with_date_parts(trimmed, "value", "d").withColumn("numeric", looks_numeric(F.col("value")))
+    dated = trimmed.withColumn("day", day_text(F.col("value"))).withColumns({"dated": is_day_text(F.col("day")), "numeric": looks_numeric(F.col("value"))})
     filled = F.col("value") != ""
 
     def share(condition: Column) -> Column:
@@ -54,7 +54,7 @@ def profile_content(samples: DataFrame) -> DataFrame:
 
     return dated.groupBy("file_id", "col_index").agg(
         F.count_if(filled).alias("filled"),
-        share(F.col("d_is_date")).alias("date_ratio"),
+        share(F.col("dated")).alias("date_ratio"),
         share(F.col("numeric")).alias("numeric_ratio"),
         share(~F.col("numeric") & (F.length("value") >= 3)).alias("text_ratio"),
         share(~F.col("numeric")).alias("nonnumeric_ratio"),
