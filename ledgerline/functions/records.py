@@ -45,19 +45,43 @@ def by_delimiter(delimiter: Column, make) -> Column:
 def split_cells(record: Column, delimiter: str) -> Column:
     """Cells of one record, unquoted."""
     d = re.escape(delimiter)
-    cell = rf"{d}({_QUOTED}[^{d}]*+|[^{d}]*+)"
-    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(cell), F.lit(1))
+    raw = F.regexp_extract_all(F.concat(F.lit(delimiter), record), F.lit(_delimited(d)), F.lit(1))
 
     def unquote(c: Column) -> Column:
         inner = F.substring(c, F.lit(2), F.length(c) - 2)
         quoted = c.rlike(rf"(?s)^{_QUOTED}$")
         return F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
 
-    return F.transform(raw, unquote)
+    # Without a quote every delimiter parts two cells.
+    return F.when(F.contains(record, F.lit('"')), F.transform(raw, unquote)).otherwise(F.split(record, d))
+
+
+def _delimited(d: str) -> str:
+    return rf"{d}({_QUOTED}[^{d}]*+|[^{d}]*+)"
+
+
+def _lines(text: Column, delimiter: str) -> Column:
+    """The records of a text as they stand. Without a quote every line end parts two records."""
+    quoted = F.regexp_extract_all(text, F.lit(record_pattern(delimiter)), F.lit(0))
+    return F.filter(F.when(F.contains(text, F.lit('"')), quoted).otherwise(F.split(text, "[\r\n]")), lambda r: r != "")
 
 
 def records(text: Column, delimiter: str) -> Column:
     """All non-blank records of a text as arrays of cells."""
-    lines = F.filter(F.regexp_extract_all(text, F.lit(record_pattern(delimiter)), F.lit(0)), lambda r: r != "")
-    cells = F.transform(lines, lambda r: split_cells(r, delimiter))
+    cells = F.transform(_lines(text, delimiter), lambda r: split_cells(r, delimiter))
     return F.filter(cells, lambda row: F.exists(row, lambda c: strip(c) != ""))
+
+
+def record_widths(text: Column, delimiter: str) -> Column:
+    """How many cells each of the `records` has, without making them."""
+    d = re.escape(delimiter)
+
+    def filled(r: Column) -> Column:
+        # Only a record of nothing but quotes, delimiters and blanks needs its cells to tell.
+        return r.rlike(rf'[^{d}"{BLANK_CLASS}]') | F.exists(split_cells(r, delimiter), lambda c: strip(c) != "")
+
+    def width(r: Column) -> Column:
+        parted = F.length(r) - F.length(F.replace(r, F.lit(delimiter), F.lit(""))) + 1
+        return F.when(F.contains(r, F.lit('"')), F.regexp_count(F.concat(F.lit(delimiter), r), F.lit(_delimited(d)))).otherwise(parted)
+
+    return F.transform(F.filter(_lines(text, delimiter), filled), width)

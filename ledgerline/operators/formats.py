@@ -10,6 +10,9 @@ from ledgerline.functions.text import strip
 from ledgerline.operators.columns import amount_convention, cell, date_index
 
 
+MONEY = ("amount", "debit", "credit", "balance")
+
+
 def _sampled(rows: DataFrame, roles: DataFrame, sample_rows: int | None) -> DataFrame:
     head = rows if sample_rows is None else rows.filter(F.col("source_row") < sample_rows)
     return head.select("file_id", "source_row", "cells").join(roles.select("file_id", "at"), "file_id", "left")
@@ -67,7 +70,7 @@ def infer_preview_order(samples: DataFrame, value: str = "value") -> DataFrame:
 
 def amount_samples(rows: DataFrame, roles: DataFrame, sample_rows: int | None = None) -> DataFrame:
     """Every money cell, one row per cell."""
-    cells = F.array(*[F.when(F.col(f"at.{r}").isNotNull(), cell(F.col(f"at.{r}"))) for r in ("amount", "debit", "credit", "balance")])
+    cells = F.array(*[F.when(F.col(f"at.{r}").isNotNull(), cell(F.col(f"at.{r}"))) for r in MONEY])
     return (
         _sampled(rows, roles, sample_rows)
         .select("file_id", F.explode(cells).alias("value"))
@@ -75,6 +78,12 @@ def amount_samples(rows: DataFrame, roles: DataFrame, sample_rows: int | None =
     )
 
 
+def money_files(rows: DataFrame, roles: DataFrame) -> DataFrame:
+    """The files of `amount_samples`: those with rows and a money column."""
+    money = F.coalesce(*[F.col(f"at.{r}") for r in MONEY])
+    return roles.filter(money.isNotNull()).select("file_id").join(rows.select("file_id"), "file_id", "left_semi")
+
+
 def currency_marks(value: Column) -> Column:
     """Currency tokens written inside a cell."""
     return F.transform(F.regexp_extract_all(value, F.lit(rules.CURRENCY_MARKS), F.lit(0)), strip)

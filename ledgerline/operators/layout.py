@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerline import rules
 from ledgerline.functions.dates import is_date_text
 from ledgerline.functions.money import looks_numeric
-from ledgerline.functions.records import by_delimiter, head_pattern, records
+from ledgerline.functions.records import by_delimiter, head_pattern, record_widths, records
 from ledgerline.functions.staged import pin
 from ledgerline.functions.text import strip
 
@@ -25,12 +25,15 @@ def line_ending(text: Column) -> Column:
     )
 
 
-def _head(text: Column, delimiter: str, sniff_rows: int | None) -> Column:
-    """The non-blank records under one candidate delimiter, or the first of them."""
-    if sniff_rows is None:
-        return records(text, delimiter)
-    lines = F.regexp_extract(text, head_pattern(delimiter, sniff_rows), 0)
-    return F.slice(records(lines, delimiter), 1, sniff_rows)
+def _widths(text: Column, delimiter: str, sniff_rows: int | None) -> Column:
+    """Widths of the non-blank records under one candidate delimiter, or of the first of them.
+
+    NULL where the text does not hold the candidate: one cell a record is no vote.
+    """
+    if sniff_rows is not None:
+        lines = F.regexp_extract(text, head_pattern(delimiter, sniff_rows), 0)
+        return F.slice(record_widths(lines, delimiter), 1, sniff_rows)
+    return F.when(F.contains(text, F.lit(delimiter)), record_widths(text, delimiter))
 
 
 def _vote(widths: Column, delimiter: str, order: int) -> Column:
@@ -59,7 +62,7 @@ def detect_delimiter(files: DataFrame, sniff_rows: int | None = None) -> DataFra
     All records vote; ``sniff_rows`` lets the first ones only.
     """
     text = F.col("text")
-    widths = {f"__w{i}": F.transform(_head(text, d, sniff_rows), F.size) for i, d in enumerate(rules.DELIMITERS)}
+    widths = {f"__w{i}": _widths(text, d, sniff_rows) for i, d in enumerate(rules.DELIMITERS)}
     voted = files.withColumns(widths).withColumns({f"__v{i}": _vote(F.col(f"__w{i}"), d, i) for i, d in enumerate(rules.DELIMITERS)})
     best = F.array_max(F.array(*[F.col(f"__v{i}") for i in range(len(rules.DELIMITERS))]))
     return pin(

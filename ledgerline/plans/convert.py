@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline import rules
 from ledgerline.operators import layout as lay
 from ledgerline.operators.columns import apply_overrides, apply_preset, layout_headers, map_columns
-from ledgerline.operators.formats import amount_samples, profile_formats, sample_collisions
+from ledgerline.operators.formats import money_files, profile_formats, sample_collisions
 from ledgerline.operators.identity import source_digest, with_fit_ids
 from ledgerline.operators.normalize import accepted, account_meta, currency_issues, empty_file_issues, file_outcomes, normalise, reject_issues
 from ledgerline.operators.statements import documents, statements
@@ -102,10 +102,11 @@ def _inspect(judged: DataFrame, heads: DataFrame, rows: DataFrame, presets: Data
         F.lit(None).cast("int").alias("column"),
     )
     collisions = sample_collisions(rows, profile, profile).withColumn("ordinal", F.lit(8))
-    issues = (
+    issues = staged(
         refused.unionByName(lay.layout_issues(heads))
-        .unionByName(lay.column_issues(profile, amount_samples(rows, profile)))
-        .unionByName(collisions)
+        .unionByName(lay.column_issues(profile, money_files(rows, profile)))
+        .unionByName(collisions),
+        "issues",
     )
     listing = judged.select("file_id", "file_name", "length", "kind", "format").join(
         heads.drop("file_name", "length", "kind", "format", "reject_code", "reject_message"), "file_id", "left"
@@ -127,7 +128,7 @@ def convert_rows(files: DataFrame, rows: DataFrame, profile: DataFrame, issues:
     found = reject_issues(normalised).unionByName(currency_issues(good)).withColumn("ordinal", F.lit(9))
     everything = found if issues is None else issues.unionByName(found)
     counts = good.groupBy("file_id").agg(F.count(F.lit(1)).alias("accepted_rows"))
-    outcomes = file_outcomes(files, counts, everything)
+    outcomes = staged(file_outcomes(files, counts, everything), "outcomes")
     everything = everything.unionByName(empty_file_issues(outcomes).withColumn("ordinal", F.lit(10)))
     usable = outcomes.filter(F.col("outcome") == "converted").select("file_id")
     transactions = with_fit_ids(good.join(usable, "file_id", "left_semi"))

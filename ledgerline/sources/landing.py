@@ -41,13 +41,20 @@ def _starts(hex_text: str) -> Column:
     return F.substring("content", 1, len(hex_text) // 2) == _bytes(hex_text)
 
 
+def control_characters(text: Column) -> Column:
+    """How many control characters a text holds; most hold none, and one look tells."""
+    controls = "".join(map(chr, [*range(1, 9), 11, *range(14, 32)]))
+    held = F.length(text) - F.length(F.translate(text, controls, ""))
+    return F.when(text.rlike(r"[\x01-\x08\x0b\x0e-\x1f]"), held).otherwise(F.lit(0))
+
+
 def triage(files: DataFrame) -> DataFrame:
     """Classify files by their whole content: ``kind``, ``format`` and the fatal ``reject_code``/``reject_message``."""
     sample = F.decode("content", "ISO-8859-1")
     seen = files.withColumns(
         {
             "__nul": F.contains(sample, F.lit("\u0000")),
-            "__control": F.length(F.regexp_replace(sample, r"[^\x01-\x08\x0b\x0e-\x1f]", "")) / F.greatest(F.col("length"), F.lit(1)),
+            "__control": control_characters(sample) / F.greatest(F.col("length"), F.lit(1)),
         }
     )
     return judge(seen)

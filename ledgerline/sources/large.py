@@ -22,7 +22,7 @@ from ledgerline.functions.text import strip
 from ledgerline.operators.layout import header_position, modal_vote
 from ledgerline.operators.skew import number_rows
 from ledgerline.session import staged
-from ledgerline.sources.landing import judge, resolve_encoding
+from ledgerline.sources.landing import control_characters, judge, resolve_encoding
 
 # A longer line is not held in memory: a file with one is refused, never cut.
 LONGEST_LINE = 64 << 20
@@ -70,7 +70,7 @@ def _measured(lines: DataFrame) -> DataFrame:
     """What triage and the charset need of each file, and how many of its bytes the lines account for."""
     text = F.decode("value", "ISO-8859-1")
     place = F.struct("block", "seq")
-    control = F.length(F.regexp_replace(text, r"[^\x01-\x08\x0b\x0e-\x1f]", ""))
+    control = control_characters(text)
     return lines.groupBy("file_id", "file_name", "length").agg(
         (F.sum(F.octet_length("value")) + F.count(F.lit(1))).alias("seen"),
         F.max(F.contains(text, F.lit("\u0000"))).alias("__nul"),

@@ -261,9 +261,11 @@ def convert_landed_files(files: DataFrame, checkpoint: str, path: str, available
     """Convert each newly landed file. Ids depend on file and account only, so a
     batch that is run again writes the same transactions to the same folder."""
     from ledgerline.plans.convert import convert_files
+    from ledgerline.sources.tables import spread
 
     def convert(batch: DataFrame, batch_id: int) -> None:
-        _, conversion = convert_files(batch)
+        # A few landed files with many rows are a few tasks; deal them out before the long steps.
+        _, conversion = convert_files(spread(batch))
         conversion.transactions.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return _start(files.writeStream.foreachBatch(convert).outputMode("append"), checkpoint, available_now)
