@@ -156,7 +156,7 @@ def _fee_cells(spark, sf):
 
 
 def _fee_checks(spark, sf, check, sample_rows=None):
-    rows = _fee_cells(spark, sf)
+    rows = staged(_fee_cells(spark, sf), "fees")
     given = _given_mapping(rows.select("file_id").distinct(), ["date", "description", "amount", "referenceNumber"])
     checks = quality.quality_checks(rows, given, _totals(rows), sample_rows)
     return checks.filter(F.col("check_id") == check).select("file_id", "status", "detail")
