@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerline.functions.dates import date_parts, is_date_text
-from ledgerline.functions.money import minor_units
+from ledgerline.functions.dates import PREVIEW_PARTS, date_parts, is_date_text, preview_parts
+from ledgerline.functions.money import minor_units, preview_number
 from ledgerline.functions.staged import parse
 
 
@@ -47,3 +47,28 @@ def test_money(spark):
         parser = minor_units(F.col("c"), F.lit(point), F.lit(comma).cast("string"), F.lit(scale))
         quick, slow = _both(spark, cells, parser, [""])
         assert quick == slow
+
+
+def _not_quick(spark, cells, parser):
+    """The cells the quick way leaves to the steps."""
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    for step in parser.quick.steps:
+        df = df.withColumns(step(F.col))
+    return [r.c for r in df.filter(~F.coalesce(parser.quick.ready(F.col), F.lit(False))).select("c").collect()]
+
+
+def test_preview_dates(spark):
+    pieces = ["1", "2", "05", "12", "13", "31", "0", "1999", "2024", "/", "/", "-", "-", ".", " ", ":", "10:20:30", " 10:20:30", "Jan", "2024-01-05", "1/2/2024", "T"]
+    cells = [*_cells("0123/-. :aT", pieces, 3000, 4), None]
+    quick, slow = _both(spark, cells, preview_parts(F.col("c")), PREVIEW_PARTS)
+    assert quick == slow
+    assert _not_quick(spark, ["", "1/31/2024", "31/01/2024", "2024-01-05 10:20:30", "0/0/0000"], preview_parts(F.col("c"))) == []
+
+
+def test_preview_numbers(spark):
+    pieces = ["1", "12", "234", ",", ".", "50", "-", "(", ")", "$", "USD ", " ", "DR", " CR", "+", "'", "1,234.56", "1.234,56", "1234.50"]
+    cells = [*_cells("0123,.-()$ ", pieces, 4000, 5), None, "€ 1,50", "-£2.00", "1.00\n", "123456789012345.67", "999,999,999,999,999.99"]
+    quick, slow = _both(spark, cells, preview_number(F.col("c")), ["", "ambiguous"])
+    assert quick == slow
+    written = ["", "1,234.56", "-1.234,56", "($1,234.56)", "$12.00", "1234.56", "12.00-", "12.00 DR", "USD 1,234.56", "(-12.00)", "+ 1,234.56 CR", "-0,01"]
+    assert _not_quick(spark, written, preview_number(F.col("c"))) == []
