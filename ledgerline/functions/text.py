@@ -153,9 +153,11 @@ def escaped_text(value: Column) -> Column:
 def markup_text(value: Column, cap: int) -> Column:
     """`escaped_text` cut to a length; a cut entity is dropped.
 
-    Looks at one character more than the cap and puts a marker in its place
-    when there is one, so that the text itself is evaluated once.
+    Printable ASCII that needs no folding, escaping or cutting is only trimmed.
+    For the rest, looks at one character more than the cap and puts a marker in its
+    place when there is one, so that the text itself is evaluated once.
     """
+    plain = (F.length(value) <= cap) & ~value.rlike(r"[^\x20-\x7e]|[&<>]|  ")
     head = F.substring(escaped_text(value), 1, cap + 1)
     marked = F.regexp_replace(head, rf"(?s)^(.{{{cap}}}).$", "$1\u0001")
-    return F.rtrim(F.regexp_replace(marked, "(&[^;&]*)?\u0001$", ""))
+    return F.when(plain, F.trim(value)).otherwise(F.rtrim(F.regexp_replace(marked, "(&[^;&]*)?\u0001$", "")))

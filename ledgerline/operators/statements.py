@@ -76,28 +76,39 @@ def _lines(parts: list[Column]) -> Column:
     return F.concat_ws(CRLF, *parts)
 
 
-def transaction_block(depth: int = 5) -> Column:
-    """The markup of one transaction; absent leaves leave no line."""
-    caps, inner = rules.TEXT_CAPS, depth + 1
+def transaction_leaves() -> dict[str, Column]:
+    """Values of the leaves of one transaction, in order; NULL or empty where there is none."""
+    caps = rules.TEXT_CAPS
     posted = F.when(F.col("time_seconds").isNull(), render_date(F.col("date_posted"))).otherwise(
         render_datetime(F.col("date_posted"), F.col("time_seconds"), F.lit(""))
     )
-    name = F.coalesce(F.nullif(markup_text(F.col("name"), caps["name"]), F.lit("")), F.col("type"))
-    return _lines(
-        [
-            _line(depth, "<STMTTRN>"),
-            _leaf(inner, "TRNTYPE", F.col("type")),
-            _leaf(inner, "DTPOSTED", posted),
-            _leaf(inner, "DTUSER", render_date(F.col("date_user"))),
-            _leaf(inner, "TRNAMT", render_minor(F.col("amount_minor"), F.col("scale"))),
-            _leaf(inner, "FITID", id_token(F.col("fit_id"), caps["fit_id"])),
-            _leaf(inner, "CHECKNUM", id_token(F.col("check_number"), caps["check_number"])),
-            _leaf(inner, "REFNUM", id_token(F.col("reference_number"), caps["reference_number"])),
-            _leaf(inner, "NAME", name),
-            _leaf(inner, "MEMO", markup_text(F.col("memo"), caps["memo"])),
-            _line(depth, "</STMTTRN>"),
-        ]
-    )
+    return {
+        "TRNTYPE": F.col("type"),
+        "DTPOSTED": posted,
+        "DTUSER": render_date(F.col("date_user")),
+        "TRNAMT": render_minor(F.col("amount_minor"), F.col("scale")),
+        "FITID": id_token(F.col("fit_id"), caps["fit_id"]),
+        "CHECKNUM": id_token(F.col("check_number"), caps["check_number"]),
+        "REFNUM": id_token(F.col("reference_number"), caps["reference_number"]),
+        "NAME": markup_text(F.col("name"), caps["name"]),
+        "MEMO": markup_text(F.col("memo"), caps["memo"]),
+    }
+
+
+def transaction_blocks(transactions: DataFrame, keep: list[Column], depth: int = 5) -> DataFrame:
+    """Columns to keep, and the markup of every transaction in ``block``; absent leaves leave no line.
+
+    The leaves are a projection of their own, so that each is made once however often the markup looks at it.
+    """
+    inner = depth + 1
+    leaves = transactions.select(*keep, *[value.alias(f"__{tag}") for tag, value in transaction_leaves().items()])
+
+    def value(tag: str) -> Column:
+        own = F.col(f"__{tag}")
+        return F.when(own != "", own).otherwise(F.col("__TRNTYPE")) if tag == "NAME" else own
+
+    lines = [_line(depth, "<STMTTRN>"), *[_leaf(inner, tag, value(tag)) for tag in transaction_leaves()], _line(depth, "</STMTTRN>")]
+    return leaves.select(*[c for c in leaves.columns if not c.startswith("__")], _lines(lines).alias("block"))
 
 
 def _opening(dialect: Column) -> Column:
@@ -181,21 +192,27 @@ def documents(transactions: DataFrame, statement: DataFrame, dialect: str | Colu
     in `statements`), so collecting one
     is bounded however long the statement is; nearly every statement is a single
     part. The parts of a file joined in order are the document.
+
+    Opening and closing lines meet the transactions in the aggregation that makes
+    the parts: texts are shuffled once, and never broadcast or joined.
     """
     dialect = F.lit(dialect) if isinstance(dialect, str) else dialect
-    blocks = transactions.select(
-        "file_id", "source_row", F.floor(F.col("source_row") / rows_per_part).alias("part"), transaction_block().alias("block")
-    )
-    bodies = blocks.groupBy("file_id", "part").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_row", "block"))), lambda x: x["block"]), CRLF).alias("body")
-    )
-    joined = statement.join(bodies, "file_id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
-    first, last = F.col("part") == F.col("first_part"), F.col("part") == F.col("last_part")
-    text = _lines([F.when(first, _opening(dialect)), F.col("body"), F.when(last, _closing())])
-    return joined.select(
-        "file_id",
+    blocks = transaction_blocks(transactions, [F.col("file_id"), F.floor(F.col("source_row") / rows_per_part).alias("part"), F.col("source_row")])
+    lines = blocks.select("file_id", "part", F.struct("source_row", "block").alias("line"))
+    each = statement.select("*", F.explode(F.sequence("first_part", "last_part")).alias("part"))
+    frame = F.struct(
         dialect.alias("dialect"),
-        "part",
         (F.col("last_part") - F.col("first_part") + 1).alias("parts"),
-        F.concat(text, F.lit(CRLF)).alias("text"),
+        F.when(F.col("part") == F.col("first_part"), _opening(dialect)).alias("opening"),
+        F.when(F.col("part") == F.col("last_part"), _closing()).alias("closing"),
+    )
+    frames = each.select("file_id", "part", frame.alias("frame"))
+    made = lines.unionByName(frames, allowMissingColumns=True).groupBy("file_id", "part").agg(
+        F.array_sort(F.collect_list("line")).alias("lines"), F.collect_list("frame").alias("frames")
     )
+    body = F.when(F.size("lines") > 0, F.array_join(F.transform("lines", lambda x: x["block"]), CRLF))
+    whole = made.select("file_id", "part", body.alias("body"), F.explode("frames").alias("frame"))
+    text = _lines([F.col("frame.opening"), F.col("body"), F.col("frame.closing")])
+    # Parts between the ends may have had no row that was accepted.
+    shown = whole.filter(F.coalesce("body", "frame.opening", "frame.closing").isNotNull())
+    return shown.select("file_id", "frame.dialect", "part", "frame.parts", F.concat(text, F.lit(CRLF)).alias("text"))

@@ -55,3 +55,36 @@ def test_a_failed_or_repeated_task_leaves_nothing_behind(tmp_path):
     assert _read(tmp_path)["ofx/k/a.ofx"] == b"0\r\n1\r\n2\r\n"
     writer.abort([first])
     assert list(_read(tmp_path)) == ["ofx/k/a.ofx"]
+
+
+def _moved(spark, rows):
+    """Transactions with what the markup looks at, from (file_id, source_row)."""
+    df = spark.createDataFrame(rows, "file_id string, source_row bigint")
+    return df.selectExpr(
+        "*", "'DEBIT' AS type", "DATE'2024-01-05' AS date_posted", "CAST(NULL AS int) AS time_seconds", "CAST(NULL AS date) AS date_user", "CAST(-150 AS decimal(38,0)) AS amount_minor", "2 AS scale",
+        "concat(file_id, '-', source_row) AS fit_id", "CAST(NULL AS string) AS check_number", "'' AS reference_number", "IF(source_row % 2 = 0, ' A & B ', '') AS name", "'note' AS memo", "CAST(source_row AS decimal(38,0)) AS balance_minor",
+    )
+
+
+def test_texts_meet_their_frames_without_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline import rules
+    from ledgerline.operators.statements import documents, statements
+
+    moved = _moved(spark, [("a", r) for r in (0, 1, 2, 3, 9)] + [("b", 7)])
+    accounts = spark.createDataFrame([("a",), ("b",), ("empty",)], "file_id string").select("file_id", F.col("file_id").alias("account_id"), *[F.lit(v).alias(k) for k, v in rules.ACCOUNT_DEFAULTS.items()])
+    rows = statements(moved, accounts, rows_per_part=2)
+    both = rows.crossJoin(spark.createDataFrame([("ofx",), ("qbo",)], "kind string"))
+    made = documents(moved, both, F.col("kind"), rows_per_part=2)
+    found = {(r.file_id, r.dialect, r.part): r for r in made.collect()}
+    # Rows 4 to 8 of the first file were refused: its parts 2 and 3 hold nothing.
+    assert sorted(k[::2] for k in found if k[1] == "qbo") == [("a", 0), ("a", 1), ("a", 4), ("b", 3), ("empty", 0)] and len(found) == 10
+    assert {r.parts for k, r in found.items() if k[0] == "a"} == {5}
+    for file, n in (("a", 5), ("b", 1), ("empty", 0)):
+        text = "".join(found[k].text for k in sorted(found) if k[:2] == (file, "qbo"))
+        assert text.startswith("OFXHEADER:100\r\n") and text.endswith("</OFX>\r\n") and text.count("<STMTTRN>") == text.count("<OFX>") * n and "\r\n\r\n<STM" not in text
+        assert text.count("<NAME>A &amp; B\r\n") == {"a": 2, "b": 0, "empty": 0}[file] and text.count("<NAME>DEBIT\r\n") == {"a": 3, "b": 1, "empty": 0}[file]
+    # Above the aggregation that makes the parts there is no join, which would carry every text to one side's few tasks.
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan.split("collect_list", 1)[0]
