@@ -13,7 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ VOCABULARY = "word_bpe_49k.json"
 SHARD_PIECES = 60_000
 # Words whose ids a worker keeps.
 KEPT_WORDS = 600_000
-# Letters without marks and a run of plain signs: one or two tokens of the word splitter, whatever follows.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{-~]*)")
+# Line by line: letters without marks and a run of plain signs, which are one or two tokens of the word splitter,
+# whatever follows; two empty groups for any other line.
+_PLAIN = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:;=?@\[-`{-~]*)$|.+$)", re.MULTILINE)
 
 
 class WordEncoder:
@@ -64,13 +65,13 @@ class WordEncoder:
         if len(self.known) > KEPT_WORDS:
             self._clear()
         parts = [t.split() for t in texts]
-        flat = [w for p in parts for w in p]
-        at = list(map(self.known.get, flat))
-        new = {w for w, i in zip(flat, at) if i is None}
-        if new:
-            self._learn(sorted(new))
-            at = list(map(self.known.__getitem__, flat))
-        at = np.array(at, np.int64)
+        flat = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            words = [flat[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(words)))
+            at[missing] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         sizes = self.size[at] if len(at) else at
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.first[at] - ends[:-1], sizes) + np.arange(ends[-1])] if len(at) else self.ids[:0]
@@ -79,10 +80,13 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]):
         """Ids of new strings; plain ones from those of their lower-cased letters and their signs, which many share."""
-        texts = [w.decode("utf-8", "replace") for w in new]
-        plain = [(m[1].lower(), m[2]) if (m := _PLAIN.fullmatch(t)) else None for t in texts]
-        self._learn_parts(sorted({part for p in plain if p for part in p if part not in self.parts}))
-        found = [self.parts[p[0]] + self.parts[p[1]] if p else self.tokenizer.encode(t, add_special_tokens=False).ids for p, t in zip(plain, texts)]
+        lines = b"\n".join(new).decode("utf-8", "replace")
+        plain = [(letters.lower(), signs) for letters, signs in _PLAIN.findall(lines)]
+        parts = self.parts
+        self._learn_parts([part for part in dict.fromkeys(chain.from_iterable(plain)) if part not in parts])
+        found = [parts[letters] + parts[signs] for letters, signs in plain]
+        for i in [i for i, own in enumerate(found) if not own]:
+            found[i] = self.tokenizer.encode(new[i].decode("utf-8", "replace"), add_special_tokens=False).ids
         sizes = np.array(list(map(len, found)), np.int64)
         base, start = len(self.known), len(self.ids)
         self.known.update(zip(new, range(base, base + len(new))))
@@ -95,10 +99,10 @@ class WordEncoder:
         groups = [new[i : i + 256] for i in range(0, len(new), 256)]
         encoded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for g, e in zip(groups, encoded):
-            ids = np.array(e.ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            ids = e.ids
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(g) and stops[-1] == len(ids):
-                self.parts.update(zip(g, (own.tolist() for own in np.split(ids, stops[:-1]))))
+                self.parts.update(zip(g, (ids[a:b] for a, b in zip([0, *stops], stops))))
             else:
                 self.parts.update((w, self.tokenizer.encode(w, add_special_tokens=False).ids) for w in g)
 

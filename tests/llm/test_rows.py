@@ -256,3 +256,28 @@ def test_a_worker_lets_go_of_what_another_operator_kept():
     assert packing.encoder(packing.VOCABULARY) is first
     common.make_room("toxicity")
     assert packing.encoder.cache_info().currsize == 0 and packing.encoder(packing.VOCABULARY) is not first
+
+
+def test_known_words_are_looked_up_once_and_odd_bytes_read_like_the_tokenizer():
+    from ledgerline.llm.packing import VOCABULARY, WordEncoder
+
+    class Counting(dict):
+        looked = 0
+
+        def get(self, *a):
+            self.looked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.looked += 1
+            return super().__getitem__(k)
+
+    made = WordEncoder(VOCABULARY)
+    odd = "Straße STRASSE, naïve! K Å K İx a b a\x85b x\x1cy (ab) ab) 'tis don't 12.5% \U0001f600 ￼ é́ ﻿".encode() + b" \xe2\x82 \xff\xfeab \xc3 end"
+    for text in (odd, odd[::-1], b"", b" \n "):
+        want = [i for w in text.split() for i in made.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids]
+        assert made.encode([text])[0].tolist() == want
+    made.known = Counting(made.known)
+    made.encode([odd * 50 + b" onenewword"])
+    # One look at every word, and a second one at those that were new.
+    assert made.known.looked <= len((odd * 50 + b" onenewword").split()) + 60
