@@ -71,8 +71,13 @@ def account_key(supplied: Column, file_name: Column) -> Column:
 
 
 def id_token(value: Column, cap: int) -> Column:
-    """Keep only characters an identifier leaf may hold."""
-    return F.substring(F.regexp_replace(value, "[^A-Za-z0-9._-]", ""), 1, cap)
+    """Keep only characters an identifier leaf may hold.
+
+    Most values hold no others. The word class, the same ASCII letters, digits
+    and underscore, is a table in Java, and far faster to ask than ranges.
+    """
+    kept = F.when(value.rlike(r"[^\w.-]"), F.regexp_replace(value, "[^A-Za-z0-9._-]", "")).otherwise(value)
+    return F.substring(kept, 1, cap)
 
 
 @lru_cache(maxsize=1)

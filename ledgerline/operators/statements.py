@@ -207,7 +207,9 @@ def documents(transactions: DataFrame, statement: DataFrame, dialect: str | Colu
         F.when(F.col("part") == F.col("last_part"), _closing()).alias("closing"),
     )
     frames = each.select("file_id", "part", frame.alias("frame"))
-    made = lines.unionByName(frames, allowMissingColumns=True).groupBy("file_id", "part").agg(
+    # Lists made before the shuffle would hold few lines each, and cost more than they save.
+    dealt = lines.unionByName(frames, allowMissingColumns=True).repartition("file_id", "part")
+    made = dealt.groupBy("file_id", "part").agg(
         F.array_sort(F.collect_list("line")).alias("lines"), F.collect_list("frame").alias("frames")
     )
     body = F.when(F.size("lines") > 0, F.array_join(F.transform("lines", lambda x: x["block"]), CRLF))

@@ -88,3 +88,29 @@ def test_texts_meet_their_frames_without_a_join(spark):
     # Above the aggregation that makes the parts there is no join, which would carry every text to one side's few tasks.
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan.split("collect_list", 1)[0]
+
+
+def test_identifiers_keep_ascii_word_characters_only(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from ledgerline.functions.text import id_token
+
+    values = ["ABC-1.x_9", "", "a b", "é1", "1٣x", "ß-K", "a\nb", "x" * 40, "#" * 30 + "y", "á"]
+    found = {r.v: r.t for r in spark.createDataFrame([(v,) for v in values], "v string").select("v", id_token(F.col("v"), 22).alias("t")).collect()}
+    assert found == {v: re.sub("[^A-Za-z0-9._-]", "", v)[:22] for v in values}
+    # Lists of lines are made once, behind the shuffle: a partial one before it would hold few lines each.
+    plan = _plan_of_documents(spark)
+    assert plan.index("partial_collect_list") < plan.index("Exchange hashpartitioning(file_id")
+
+
+def _plan_of_documents(spark):
+    from pyspark.sql import functions as F
+
+    from ledgerline import rules
+    from ledgerline.operators.statements import documents, statements
+
+    moved = _moved(spark, [("a", 0)])
+    accounts = spark.createDataFrame([("a",)], "file_id string").select("file_id", F.col("file_id").alias("account_id"), *[F.lit(v).alias(k) for k, v in rules.ACCOUNT_DEFAULTS.items()])
+    return documents(moved, statements(moved, accounts), "ofx")._jdf.queryExecution().executedPlan().toString()
