@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -60,8 +61,28 @@ def make_room(owner: str | None = None) -> None:
         _kept.pop(name)()
     if others:
         gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; else the C library and Arrow hold it for the next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """The same function of an iterator of batches; at the end of a task it gives freed memory back.
+
+    A worker idles for a minute beside the executor's JVM, while that runs steps without Python.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
 
 
 def map_batches(df: DataFrame, function, schema: str, owner: str | None = None) -> DataFrame:
@@ -75,4 +96,4 @@ def map_batches(df: DataFrame, function, schema: str, owner: str | None = None)
                 if out is not None and out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

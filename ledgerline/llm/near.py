@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import shingles
-from ledgerline.llm.common import map_batches
+from ledgerline.llm.common import give_back, map_batches
 from ledgerline.llm.components import components
 from ledgerline.session import staged
 
 # Up to this many sets under one key are paired by a join; above it, tiles hold about TILE hashes a slice.
 PAIRED, TILE = 24, 1 << 20
+# Bytes of a tile after which a worker gives freed memory back.
+LARGE = 4 << 20
 # Texts are looked up by up to this many ids sent to every executor; beyond it both sides are shuffled.
 SENT_IDS = 500_000
 # Hub rounds go on while each leaves at most this share of the memberships apart.
@@ -179,6 +181,9 @@ def tile_links(members: DataFrame, percent: int) -> DataFrame:
                 if label[j] != label[i] and shingles.links(n[j], n[i], shingles.shared_count(own[j], own[i]), percent):
                     label[label == label[j]] = label[i]
                     a.append(ids[i]), b.append(ids[j])
+        if table.nbytes >= LARGE:
+            del own, bits, signs
+            give_back()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return spread.groupBy("key", "tile", "x", "y").applyInArrow(compare, "a long, b long")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerline.llm.common import binaries, keep, map_batches, utf8
+from ledgerline.llm.common import binaries, keep, map_batches, tidy, utf8
 from ledgerline.session import staged
 
 CAPACITY, END_ID = 4096, 1
@@ -185,4 +185,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
         yield from table.to_batches(max_chunksize=50_000)
 
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-    return pieces.repartition(shards).mapInArrow(packed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.repartition(shards).mapInArrow(tidy(packed), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -14,7 +14,8 @@ from functools import lru_cache
 import numpy as np
 
 WIDTH = 5
-_SEGMENT = 1 << 20
+# Bytes hashed at a time: the tables of powers and each array of a segment stay at a few megabytes.
+_SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _SPACES = np.zeros(256, bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import crf
-from ledgerline.llm.common import held_out, map_batches
+from ledgerline.llm.common import held_out, map_batches, tidy
 
 # At most so many labelled documents are learnt from, taken by a hash of their id.
 SAMPLE = 8_000
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, tagged: int =
 
     sample = labelled_sample(docs, labels, "toxic", ["text"], most).coalesce(1)
     sample = sample.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    found = sample.mapInArrow(learn, "model binary").collect()
+    found = sample.mapInArrow(tidy(learn), "model binary").collect()
     return pickle.loads(bytes(found[0]["model"])) if found else fit([])
 
 
