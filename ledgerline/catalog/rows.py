@@ -362,12 +362,17 @@ _BLOCKS = _STM + f""", blk AS (
 def document_bodies(spark, sf):
     from ledgerline.operators.statements import CRLF, documents
 
-    identified = identity.with_fit_ids(transactions(spark, sf))
-    docs = documents(identified, statements.statements(identified, meta(spark, sf)), "qbo")
-    inside = F.concat(F.substring_index(F.element_at(F.split("text", r"<DTEND>[0-9]{8}\r\n"), 2), "        </BANKTRANLIST>", 1))
-    # One part per statement here, as the fixture's statements are short.
-    body = F.when(F.col("parts") == 1, inside)
-    return docs.select("file_id", F.regexp_count("text", F.lit("<STMTTRN>")).cast("bigint").alias("blocks"), F.md5(body).alias("body"))
+    from ledgerline.sources.documents import digests_of_files
+
+    # Rows without a file id are one statement, too: its parts are found under a name.
+    named = {"file_id": F.coalesce("file_id", F.lit(""))}
+    identified = identity.with_fit_ids(transactions(spark, sf)).withColumns(named)
+    docs = documents(identified, statements.statements(identified, meta(spark, sf).withColumns(named)), "qbo")
+    # All but the opening lines of the first part and the closing lines of the last.
+    inside = F.substring_index(F.element_at(F.split("text", r"<DTEND>[0-9]{8}\r\n"), -1), "        </BANKTRANLIST>", 1)
+    blocks = F.regexp_count("text", F.lit("<STMTTRN>")).cast("bigint")
+    found = digests_of_files(docs.select("file_id", "part", "parts", blocks.alias("blocks"), inside.alias("text")))
+    return found.select(F.nullif("file_id", F.lit("")).alias("file_id"), "blocks", F.col("digest").alias("body"))
 
 
 @query("s07_statement_files", _BLOCKS + """

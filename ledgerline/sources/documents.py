@@ -9,6 +9,7 @@ half-written statement behind.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -101,3 +102,39 @@ def write_statement_files(parts: DataFrame, files: DataFrame, path: str) -> None
     rows = named.select(folder.alias("folder"), download_name(F.col("file_name"), F.col("dialect")).alias("document"), F.col("part").cast("bigint").alias("part"), "text")
     ordered = rows.repartition("folder", "document").sortWithinPartitions("folder", "document", "part")
     ordered.write.format("statement_files").mode("append").save(path)
+
+
+def digests_of_files(parts: DataFrame) -> DataFrame:
+    """``(file_id, blocks, digest)`` of every file: blocks of its parts added up, md5 of their texts one after the other.
+
+    ``parts`` has ``(file_id, part, parts, blocks, text)``. Texts of files of a single part are digested where they are;
+    the others reach one task in order, which holds a batch of parts at a time however long the file is.
+    """
+    long = F.col("parts") > 1
+    rows = parts.select("file_id", "part", "blocks", F.when(~long, F.md5("text")).alias("digest"), F.when(long, F.col("text")).alias("text"))
+    ordered = rows.repartition("file_id").sortWithinPartitions("file_id", "part")
+    return ordered.mapInArrow(_digested, "file_id string, blocks bigint, digest string")
+
+
+def _digested(batches: Iterator) -> Iterator:
+    import pyarrow as pa
+
+    schema = pa.schema([("file_id", pa.string()), ("blocks", pa.int64()), ("digest", pa.string())])
+    open_ = None  # the file whose parts go on: its id, blocks so far, md5 so far
+    for batch in batches:
+        done, texts = [], batch.column("text")
+        small = (batch.column(c).to_pylist() for c in ("file_id", "blocks", "digest"))
+        for i, (file_id, blocks, digest) in enumerate(zip(*small)):
+            if open_ and (digest is not None or open_[0] != file_id):
+                done.append((open_[0], open_[1], open_[2].hexdigest()))
+                open_ = None
+            if digest is not None:
+                done.append((file_id, blocks, digest))
+                continue
+            open_ = open_ or [file_id, 0, hashlib.md5(usedforsecurity=False)]
+            open_[1] += blocks
+            open_[2].update(texts[i].as_buffer())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done), schema)], schema=schema)
+    if open_:
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((open_[0], open_[1], open_[2].hexdigest()), schema)], schema=schema)

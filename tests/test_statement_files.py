@@ -114,3 +114,41 @@ def _plan_of_documents(spark):
     moved = _moved(spark, [("a", 0)])
     accounts = spark.createDataFrame([("a",)], "file_id string").select("file_id", F.col("file_id").alias("account_id"), *[F.lit(v).alias(k) for k, v in rules.ACCOUNT_DEFAULTS.items()])
     return documents(moved, statements(moved, accounts), "ofx")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_of_several_parts_are_whole(spark, tmp_path):
+    import compare
+    import duckdb
+
+    import __spark_entry__ as entry
+    from ledgerline import catalog
+
+    con = duckdb.connect()
+    # Two statements of three and two parts, one of a single part, one of exactly a part.
+    made = """SELECT i AS o_orderkey, CASE WHEN i < 40010 THEN 1 WHEN i < 60011 THEN 41 WHEN i < 60100 THEN 81 ELSE 121 END::BIGINT AS o_custkey, CASE WHEN i % 3 = 0 THEN 'F' ELSE 'O' END AS o_orderstatus,
+        (i % 9973) * 1.25 + 0.01 AS o_totalprice, TIMESTAMP '1995-01-01' + to_days(CAST(i % 1500 AS INTEGER)) AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(80100) t(i)"""
+    con.execute(f"COPY ({made}) TO '{tmp_path}/orders.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    found = entry.queries()["s07_documents"](spark, str(tmp_path))
+    assert compare.difference(found, con, catalog.ORACLES["s07_documents"]) is None
+    assert sorted(r.blocks for r in found.collect()) == [89, 20_000, 20_001, 40_010]
+
+
+def test_parts_of_a_file_are_digested_in_order(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    rows = [(f"f{k}" if k else None, p, n, 2, f"file {k} part {p} é\r\n" * (1 + p)) for k, n in enumerate((5, 1, 300, 1, 2)) for p in range(n)]
+    parts = spark.createDataFrame(rows, "file_id string, part bigint, parts bigint, blocks bigint, text string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = sorted(map(tuple, docs.digests_of_files(parts).collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    whole = {}
+    for f, _, _, _, text in rows:
+        whole[f] = whole.get(f, "") + text
+    assert found == sorted(((f, 2 * sum(r[0] == f for r in rows), hashlib.md5(t.encode()).hexdigest()) for f, t in whole.items()), key=repr)
+    assert docs.digests_of_files(parts.where(F.lit(False))).count() == 0
