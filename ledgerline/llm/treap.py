@@ -21,9 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ledgerline.llm.common import binaries, map_batches, utf8
+from ledgerline.llm.common import binaries, give_back, make_room, map_batches, tidy, utf8
 from ledgerline.session import staged
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -37,7 +38,7 @@ BEAM = 128
 
 _KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 # Of four marks: how many there are, and how many come before each.
-_MARKS = np.array([m.bit_count() for m in range(16)], np.int64)
+_MARKS = np.array([m.bit_count() for m in range(16)], np.uint8)
 _BEFORE = np.array([[(m & ((1 << q) - 1)).bit_count() for q in range(4)] for m in range(16)], np.int64)
 
 
@@ -52,6 +53,15 @@ def impacts(tf: np.ndarray, n: np.ndarray, documents: int, total: int) -> np.nda
     return 1_000_000_000 * tf // (1000 * tf + 20 * m)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """The length and the compressed bytes: most drops are 0, as each cell has a quarter with its own peak."""
+    return values.nbytes.to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(written: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(memoryview(written)[8:], int.from_bytes(written[:8], "little"), codec="zstd"), kind)
+
+
 @dataclass
 class Treap:
     """Cells level by level; the children of a cell follow each other in the next level."""
@@ -70,6 +80,7 @@ class Treap:
             code |= ((rows >> b & 1) << (2 * b + 1) | (columns >> b & 1) << (2 * b)).astype(np.uint64)
         order = np.argsort(code, kind="stable")
         code, peak = code[order], values[order].astype(np.uint32)
+        del order
         marks, peaks = [np.zeros(len(code), np.uint8)], [peak]
         for _ in range(levels):
             above = code >> np.uint64(2)
@@ -85,18 +96,22 @@ class Treap:
     @classmethod
     def _linked(cls, levels: int, marks: np.ndarray, peaks: np.ndarray) -> Treap:
         many = _MARKS[marks]
-        return cls(levels, marks, peaks, 2 + np.cumsum(many) - many)
+        first = np.cumsum(many, dtype=np.int32 if len(marks) < 2**30 else np.int64)
+        first -= many
+        first += 2
+        return cls(levels, marks, peaks, first)
 
     def written(self) -> tuple[bytes, bytes]:
-        """Marks of all cells but the last level's, and how far each peak lies below that of the cell around it."""
+        """Marks of all cells but the last level's, and how far each peak lies below that of the cell around it, compressed."""
         points = len(self.marks) - int(np.searchsorted(self.first, len(self.marks)))
         inner = self.marks[: len(self.marks) - points]
         around = np.repeat(self.peaks[1 : len(inner)], _MARKS[inner[1:]])
-        return inner[1:].tobytes(), np.concatenate([self.peaks[1:2], around - self.peaks[2:]]).tobytes()
+        np.subtract(around, self.peaks[2:], out=around)
+        return _packed(inner[1:]), _packed(np.concatenate([self.peaks[1:2], around]))
 
     @classmethod
     def read(cls, levels: int, marks: bytes, drops: bytes) -> Treap:
-        inner, drop = np.frombuffer(marks, np.uint8), np.frombuffer(drops, np.uint32)
+        inner, drop = _unpacked(marks, np.uint8), _unpacked(drops, np.uint32)
         peaks = np.zeros(len(drop) + 1, np.uint32)
         peaks[1:2] = drop[:1]
         begin, end = 0, min(1, len(inner))  # the cells of one level
@@ -157,6 +172,7 @@ def index(docs: DataFrame, documents: int, total: int, id_column: str = "doc_id"
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), utf8(F.col(text_column)).alias("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         shard = _Shard()
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), binaries(batch.column("text"))):
@@ -164,10 +180,11 @@ def index(docs: DataFrame, documents: int, total: int, id_column: str = "doc_id"
             if shard.size >= SHARD_TERMS or len(shard.ids) >= SHARD_DOCS:
                 yield shard.row(documents, total)
                 shard = _Shard()
+                give_back()
         if shard.ids:
             yield shard.row(documents, total)
 
-    return texts.mapInArrow(build, _SHARD)
+    return texts.mapInArrow(tidy(build), _SHARD)
 
 
 class _Numbers(dict):
@@ -190,23 +207,35 @@ class _Shard:
             self.size += len(terms)
 
     def row(self, documents: int, total: int) -> pa.RecordBatch:
+        """The shard as one row; its counts are let go of on the way."""
         # Documents without a term are in no shard: no item finds them.
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
         column = np.empty(len(order), np.int64)
         column[order] = np.arange(len(order))
         length = np.array(self.lengths, np.int64)
         width = max(1, len(self.ids))
-        points, tf = np.unique(np.concatenate(self.tokens).astype(np.int64) * width + np.repeat(column, length), return_counts=True)
+        terms, held = pa.array(list(self.numbers), pa.binary()), len(self.numbers)
+        self.numbers = _Numbers()
+        points = np.concatenate(self.tokens).astype(np.int64)
+        self.tokens = []
+        points *= width
+        points += np.repeat(column, length)
+        points.sort()
+        starts = np.flatnonzero(np.concatenate([[True], points[1:] != points[:-1]]))
+        tf = np.diff(starts, append=len(points))
+        points = points[starts]
         number, place = points // width, points % width
-        held = np.bincount(number, minlength=len(self.numbers))
+        del points, starts
+        held = np.bincount(number, minlength=held)
         rank = np.argsort(-held, kind="stable")
         row = np.empty(len(rank), np.int64)
         row[rank] = np.arange(len(rank))
-        treap = Treap.of(row[number], place, impacts(tf.astype(np.int64), length[order][place], documents, total))
-        terms = list(self.numbers)
-        values = [[self.ids[i] for i in order], [terms[i] for i in rank], held[rank].tolist(), treap.levels, *treap.written()]
-        kinds = [pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], ["doc_ids", "terms", "held", "levels", "marks", "drops"])
+        treap = Treap.of(row[number], place, impacts(tf, length[order][place], documents, total))
+        del number, place, tf, row
+        marks, drops = treap.written()
+        lists = [pa.array([self.ids[i] for i in order], pa.int64()), terms.take(pa.array(rank)), pa.array(held[rank], pa.int64())]
+        values = [*(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists), pa.array([treap.levels], pa.int32()), pa.array([marks], pa.binary()), pa.array([drops], pa.binary())]
+        return pa.RecordBatch.from_arrays(values, ["doc_ids", "terms", "held", "levels", "marks", "drops"])
 
 
 def counts(docs: DataFrame, text_column: str = "text") -> tuple[int, int]:
@@ -231,7 +260,8 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, id_column: str = "
     """
     spark = docs.sparkSession
     documents, total = counts(docs, text_column)
-    shards = staged(index(docs, documents, total, id_column, text_column), "treaps")
+    # A row group a shard: writers and readers hold one at a time, however many a file has.
+    shards = staged(index(docs, documents, total, id_column, text_column), "treaps", **{"parquet.block.row.count.limit": "1"})
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = [sorted(set(terms_of(t))) for t in binaries(batch.column("text"))]
@@ -260,21 +290,29 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP, id_column: str = "
 def _search(spark, shards: DataFrame, weighed: DataFrame, top: int) -> DataFrame:
     """The best of every shard for the items of one block."""
     own = weighed.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms")).collect()
-    sent = spark.sparkContext.broadcast([(r["item_id"], [bytes(t["term"]) for t in r["terms"]], np.array([t["weight"] for t in r["terms"]], np.int64)) for r in own])
+    wanted = {t: k for k, t in enumerate(sorted({bytes(t["term"]) for r in own for t in r["terms"]}))}
+    asked = [(r["item_id"], np.array([wanted[bytes(t["term"])] for t in r["terms"]], np.int64), np.array([t["weight"] for t in r["terms"]], np.int64)) for r in own]
+    sent = spark.sparkContext.broadcast((list(wanted), asked))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
+        known = pa.array(sent.value[0], pa.binary())
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, terms, levels, marks, drops = (batch.column(c)[i].as_py() for c in ("doc_ids", "terms", "levels", "marks", "drops"))
-                treap, row = Treap.read(levels, marks, drops), {t: k for k, t in enumerate(terms)}
+                ids, terms = (batch.column(c)[i].values for c in ("doc_ids", "terms"))
+                treap = Treap.read(*(batch.column(c)[i].as_py() for c in ("levels", "marks", "drops")))
+                # The row of each wanted term, -1 where the shard has none.
+                number = pc.index_in(terms, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+                at, row = np.flatnonzero(number >= 0), np.full(len(known), -1, np.int64)
+                row[number[at]] = at
                 out: list[tuple] = []
-                for item, own_terms, weights in sent.value:
-                    rows = np.array([row.get(t, -1) for t in own_terms], np.int64)
+                for item, own_terms, weights in sent.value[1]:
+                    rows = row[own_terms]
                     some = rows >= 0
                     if some.any():
                         columns, scores = treap.best(rows[some], weights[some], top)
-                        out += [(item, ids[c], s) for c, s in zip(columns.tolist(), scores.tolist())]
-                columns = list(zip(*out)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "doc_id", "score"])
+                        out.append((pa.array([item] * len(columns), pa.int64()), ids.take(pa.array(columns)), pa.array(scores, pa.int64())))
+                columns = [pa.concat_arrays(c) for c in zip(*out)] or [pa.array([], pa.int64())] * 3
+                yield pa.RecordBatch.from_arrays(columns, ["item_id", "doc_id", "score"])
 
-    return shards.select("doc_ids", "terms", "levels", "marks", "drops").mapInArrow(search, "item_id long, doc_id long, score long")
+    return shards.select("doc_ids", "terms", "levels", "marks", "drops").mapInArrow(tidy(search), "item_id long, doc_id long, score long")

@@ -76,12 +76,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame to the shared work folder and read it back.
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write a frame to the shared work folder and read it back; options are those of Spark's Parquet writer.
 
     For rows several later steps need: they are computed once, the lineage ends
     at the files, and a lost executor costs only its own tasks.
     """
     path = work_dir(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -93,3 +93,46 @@ def test_only_a_part_of_the_cells_is_visited():
     made.marks = made.marks.view(type("Seen", (np.ndarray,), {"__getitem__": lambda s, k: (seen.append(np.size(k)), np.asarray(s)[k])[1]}))
     assert made.best(np.arange(8), np.ones(8, np.int64), 10, 32)[0].tolist() == list(range(100, 110))
     assert sum(seen) < len(values) / 8
+
+
+def test_writers_and_readers_hold_one_shard_at_a_time(session, make_docs, monkeypatch):
+    import pyarrow.parquet as pq
+
+    from ledgerline.session import staged
+
+    kept = {}
+
+    def stage(df, label, **options):
+        kept[label] = staged(df, label, **options)
+        return kept[label]
+
+    monkeypatch.setattr(treap, "staged", stage)
+    monkeypatch.setattr(treap, "SHARD_DOCS", 16)
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choices(["ka", "lo", "mi", "ter", "un"], k=12))) for i in range(128)]
+    items = [(1, "ka ter"), (2, "nowhere")]
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        found = got(treap.ranked(make_docs(docs).coalesce(1), session.createDataFrame(items, "item_id long, text string")))
+    finally:
+        session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    assert found == brute(docs, items)
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept["treaps"].inputFiles()]
+    assert sum(f.num_rows for f in files) >= 8 and all(f.num_row_groups == f.num_rows for f in files)
+
+
+def test_a_shard_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    shard = treap._Shard()
+    for i in range(600):
+        shard.add(i, b" ".join(b"w%d" % w for w in (60_000 * rng.random(500) ** 3).astype(int)))
+    made = shard.row(600, shard.size)
+    levels, marks, drops = (made.column(c)[0].as_py() for c in ("levels", "marks", "drops"))
+    tracemalloc.start()
+    cells = len(treap.Treap.read(levels, marks, drops).marks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Read at up to 22 bytes a cell and written in 4.7 before.
+    assert peak < 18 * cells and len(marks) + len(drops) < 2 * cells
